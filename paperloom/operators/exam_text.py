@@ -96,7 +96,7 @@ def language_exam(texts: DataFrame, answers: DataFrame) -> DataFrame:
     """doc, q_num, paragraph, question, choices, question_plus, answer of a language exam. answers(doc, q_num, answer)."""
     starts = F.concat(F.lit(r"(?Us)^(.*?)(?:^|\n)\s*"), F.col("q_from").cast("string"), F.lit(r"\s*\.\s+.*$"))
     found = F.regexp_like("segment", starts)
-    passage = F.when(found, F.regexp_extract("segment", starts, F.lit(1))).otherwise(F.substring("segment", F.lit(1), F.floor(F.length("segment") / 2).cast("int")))
+    passage = F.when(found, F.call_function("regexp_extract", F.col("segment"), starts, F.lit(1))).otherwise(F.expr("substring(segment, 1, cast(floor(length(segment) / 2) AS INT))"))
     rows = passages(texts).withColumn("_p", passage)
     rows = rows.withColumns({"paragraph": cleaned(F.col("_p")), "text": F.when(found, F.expr("substring(segment, length(_p) + 1)")).otherwise(F.col("segment"))}).filter(F.length("paragraph") >= LEAST_PASSAGE)
     parsed = with_parts(questions(rows, ["q_from", "q_to", "paragraph"])).filter(F.col("q_num").between(F.col("q_from"), F.least("q_to", F.lit(LAST_COMMON)))).filter(F.size("choices") > 0)

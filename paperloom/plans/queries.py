@@ -66,7 +66,7 @@ idf AS (SELECT term, df, CASE WHEN idf0 < 0 THEN 0.25 * avg_idf ELSE idf0 END AS
 q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest(regexp_extract_all(text, '[가-힣]+|[A-Za-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
 sc AS (SELECT qid, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
        FROM q JOIN idf USING (term) JOIN post USING (term) JOIN dl USING (doc_id), st GROUP BY qid, doc_id),
-fil AS (SELECT item_id AS qid, doc_id, 0.0::DOUBLE AS score FROM benchmark, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20) ANTI JOIN sc ON item_id = sc.qid AND doc_id = sc.doc_id),
+fil AS (SELECT item_id AS qid, doc_id, 0.0::DOUBLE AS score FROM benchmark, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20) d WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.qid = item_id AND sc.doc_id = d.doc_id)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (FROM sc UNION ALL FROM fil)),
 bm AS (SELECT qid, rank, doc_id, score FROM rk WHERE rank <= 10)
 """
