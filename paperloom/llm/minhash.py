@@ -3,16 +3,17 @@
 1. One pass makes each text's set of word shingles, a 128-bit digest of the set, the hashes of bands of
    minima, and a signature that keeps the low ``BITS`` bits of each minimum, packed into longs.
 2. Texts with equal digests are one node.
-3. Nodes that share a band are candidates. In a bucket, each member is compared with two of them, not with
-   all: linked nodes become components, and only buckets that still hold several components are looked at
-   again, with other centres. When few pairs between components are left, all of these are compared. So a
-   bucket of thousands of copies costs a multiple of its size, and each candidate pair is either compared
-   or already in one component.
+3. Nodes that share a band are candidates. In a bucket, each member is compared with one centre, the node
+   that meets the most others over all its buckets: for copies of one text that is the text or what is
+   nearest to it, so nearly all links are found with as many pairs as members. Linked nodes become
+   components. Of buckets that then still hold several components, all pairs between components are looked
+   at, each in the first band that it shares.
 4. A pair is compared by size, then by the similarity that the signatures' equal bits give, corrected for
    chance collisions, and at last by the full sets: 100 * intersection >= percent * union.
 
+So each candidate pair is either compared or already inside one component, and none is made within a component.
 A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-6; the
-estimate of such a pair falls under ESTIMATE with probability below 1e-7.
+estimate of such a pair, which deviates by 0.0217, falls under ESTIMATE with probability below 3e-6.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; a text with fewer
 words than a shingle has its whole sequence as the one shingle; repeated rows and equal ids each give a
@@ -29,17 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import bound_batches, map_batches, stored, text_bytes, work_dir
-from paperloom.llm.components import components
+from paperloom.llm.components import LOCAL_LINKS, components
 
-ROWS, BANDS, BITS = 5, 36, 2
-HASHES = ROWS * BANDS
+ROWS, BANDS = 5, 36
+#: Minima in the signature, of which the first ROWS * BANDS make the bands, and bits kept of each.
+HASHES, BITS = 360, 4
 LANES = 64 // BITS
 LONGS = -(-HASHES // LANES)
-#: Pairs whose estimated similarity is lower are not compared on full sets; percent 80 lies five deviations above.
-ESTIMATE = 0.6
-#: All pairs between components of a bucket are compared once they are no more than so many times the members.
-EXHAUST = 4
-CENTRE_ROUNDS = 6
+#: Pairs whose estimated similarity is lower are not compared on full sets.
+ESTIMATE = 0.7
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Shingles whose minima are taken at a time, to stay in the processor's cache.
 CHUNK = 1 << 16
@@ -94,7 +93,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 def bands_of(least: np.ndarray) -> np.ndarray:
     """A hash of each band's minima and its number, as signed longs."""
-    parts = least.reshape(len(least), BANDS, ROWS)
+    parts = least[:, : BANDS * ROWS].reshape(len(least), BANDS, ROWS)
     out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(least), BANDS)).copy()
     for k in range(ROWS):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
@@ -131,11 +130,14 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 def estimate(a: str, b: str):
     """The similarity that two packed signatures show: equal lanes, less those equal by chance, as a Column of the columns' names."""
-    lanes = int("01" * (64 // BITS), 2)
+    lanes = int(("0" * (BITS - 1) + "1") * LANES, 2)
     differ = None
     for k in range(LONGS):
         x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        one = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(lanes)))
+        for step in (1, 2, 4, 8):
+            if step < BITS:
+                x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        one = F.bit_count(x.bitwiseAND(F.lit(lanes)))
         differ = one if differ is None else differ + one
     chance = 2.0**-BITS
     return ((1 - differ / F.lit(float(HASHES))) - chance) / (1 - chance)
@@ -177,50 +179,34 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def linked_nodes(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, path: str) -> DataFrame:
+def linked_nodes(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, path: str, local_links: int) -> DataFrame:
     """node and label of the nodes that are linked with others."""
-    flat = nodes.select(F.explode("bands").alias("key"), "node")
-    ends = flat.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = stored(flat.join(ends, "key").select("key", "node", "low", "high"), f"{path}/members")
-    facts = nodes.select("node", F.col("n_shingles").alias("n"), "sig")
-
-    def sifted(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of (x, y) that are plausible."""
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
-        for end in "ab":
-            pairs = pairs.join(facts.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}")), end)
-        return pairs.filter(plausible(percent)).select("a", "b")
-
-    first = members.select(F.col("low").alias("x"), F.col("node").alias("y")).union(members.select(F.col("high").alias("x"), F.col("node").alias("y")))
-    tried = stored(sifted(first), f"{path}/pairs-0")
+    flat = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
+    shared = flat.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    members = stored(flat.join(shared, "key").select("key", "band", "node", "c"), f"{path}/members")
+    meets = members.groupBy("node").agg(F.sum(F.col("c") - 1).alias("meets"))
+    centres = members.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node")).alias("top")).select("key", F.col("top.node").alias("centre"))
+    pairs = members.join(centres, "key").filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    for end in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}")), end)
+    tried = stored(pairs.filter(plausible(percent)).select("a", "b"), f"{path}/pairs-0")
     links = stored(confirmed(tried, docs, nodes, shingle, percent, f"{path}/confirm-0"), f"{path}/links-0")
-    for k in range(1, CENTRE_ROUNDS + 2):
-        labels = stored(components(links, f"{path}/components-{k}"), f"{path}/labels-{k}")
-        named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        counts = named.groupBy("key", "label").agg(F.count("*").alias("c"))
-        mixed_keys = counts.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("labels")).filter("labels > 1")
-        mixed_keys = stored(mixed_keys.select("key", "c", ((F.col("c") * F.col("c") - F.col("cc")) / 2).cast("long").alias("between")), f"{path}/mixed-{k}")
-        total, size = mixed_keys.agg(F.coalesce(F.sum("between"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-        if not total:
-            return labels
-        last = total <= EXHAUST * max(size, 100_000) or k == CENTRE_ROUNDS + 1
-        left = named.join(mixed_keys.select("key"), "key").join(facts, "node")
-        if last:  # every pair between components; implausible ones are dropped in the join
-            x = left.select("key", F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-            y = left.select("key", F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & (F.col("label_x") != F.col("label_y")) & plausible(percent)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        else:  # another centre for each bucket
-            centre = left.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(k))).alias("c"))
-            pairs = sifted(left.join(centre, "key").filter("label != c.label").select(F.col("c.node").alias("x"), F.col("node").alias("y")))
-        new = stored(pairs.join(tried, ["a", "b"], "left_anti"), f"{path}/pairs-{k}")
-        links = stored(links.union(confirmed(new, docs, nodes, shingle, percent, f"{path}/confirm-{k}")), f"{path}/links-{k}")
-        if last:
-            return components(links, f"{path}/components-last")
-        tried = tried.union(new)
-    raise AssertionError("not reached")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    labels = stored(components(links, f"{path}/components-0", local_links), f"{path}/labels-0")
+
+    named = members.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    left = named.join(several, "key").join(nodes.select("node", F.col("n_shingles").alias("n"), "sig", "bands"), "node")
+    left = stored(left, f"{path}/left")
+    x, y = (left.select("key", F.col("band"), *[F.col(c).alias(f"{c}_{end}") for c in ("node", "label", "n", "sig", "bands")]) for end in "ab")
+    first_band = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), True) - 1
+    between = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & plausible(percent) & (first_band == x["band"])
+    rest = x.join(y, (x["key"] == y["key"]) & between).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), f"{path}/pairs-1")
+    more = confirmed(rest, docs, nodes, shingle, percent, f"{path}/confirm-1")
+    return components(stored(links.union(more), f"{path}/links-1"), f"{path}/components-1", local_links)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, local_links: int = LOCAL_LINKS) -> DataFrame:
     """doc_id, text_key (a hash of the text), n_shingles, digest, component_id and kept for each row of docs(doc_id, text)."""
     path = work_dir(docs.sparkSession, "minhash")
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -230,7 +216,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         F.min("doc_id").alias("doc_min"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
     )
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), f"{path}/nodes")
-    labels = stored(linked_nodes(docs, nodes, shingle, percent, path), f"{path}/labels")
+    labels = stored(linked_nodes(docs, nodes, shingle, percent, path, local_links), f"{path}/labels")
     named = nodes.select("digest", "doc_min", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.join(named.groupBy("label").agg(F.min("doc_min").alias("component_id")), "label").select("digest", "component_id")
     found = marked.select("doc_id", "text_key", "n_shingles", "digest").join(named, "digest", "left")
