@@ -8,8 +8,8 @@ A file is a row of frames, one per sequence:
     4 bytes   masked checksum of the payload
     1 byte    0x0A, the frame's end mark
 
-and a payload is: 1 byte flags (1: the sequence's id is null), 8 bytes id (signed), 1 byte bytes per token
-(2 or 4, by the vocabulary's size), then the tokens. All numbers are little-endian. A masked checksum is
+and a payload is: 1 byte flags (1: the sequence's id is null, 2: the tokens are a Zstandard frame), 8 bytes
+id (signed), 1 byte bytes per token (2 or 4, by the vocabulary's size), then the tokens. All numbers are little-endian. A masked checksum is
 CRC-32, turned right by 15 bits, plus a constant: so data that hold checksums don't check themselves.
 
 Files follow each other in ascending order of id, and so do the frames in each. A separate offset index
@@ -31,6 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,9 @@ HEAD, HEAD_SIZE, LENGTH, CHECK = "<Bqb", 10, "<Q", "<I"
 #: Bytes of text for one file. Tokens take about 1.3 times a text's bytes at worst in common text.
 SHARD_TEXT_BYTES = 16 << 20
 #: Words remembered in a worker, in each of two generations, and the longest that is.
-MEMO_WORDS, MEMO_BYTES = 150_000, 64
+MEMO_WORDS, MEMO_BYTES = 250_000, 64
+#: Marks that are a piece of their own after a letter, and the bytes of characters below U+0300.
+MARKS, BELOW_MARKS = (b".", b",", b";", b":", b"!", b"?"), bytes(range(0xCC))
 
 
 def masked_crc(data: bytes) -> int:
@@ -70,7 +73,12 @@ def read_frame(data: memoryview, at: int) -> tuple[memoryview, int]:
 
 
 class WordTokenizer:
-    """A tokenizer whose words stand by themselves: white space is dropped, and no piece or normal form reaches over it."""
+    """A tokenizer whose words stand by themselves: white space is dropped, and no piece or normal form reaches over it.
+
+    Each different word is encoded once and remembered. Before that, ASCII letters are lower-cased, as the
+    tokenizer does itself, where no combining mark can follow them (no character from U+0300 on) and no
+    special token is spelt. Letters alone are one piece, and a lone mark after them is one of its own.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -79,34 +87,67 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
+        names = self.model.get_vocab()
+        self.width = 2 if len(names) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        self.ends = np.zeros(max(names.values()) + 1, bool)  # tokens that end a piece
+        self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encode words in one call of the library."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for word, found in zip(words, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(found.ids, self.kind).tobytes()
+        self.marks = {m: self.whole([m])[0] for m in MARKS}
+
+    def whole(self, words: list[bytes]) -> list[bytes]:
+        """The token bytes of words, each encoded by itself."""
+        found = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(x.ids, self.kind).tobytes() for x in found]
+
+    def letters(self, words: list[bytes]) -> list[bytes]:
+        """The token bytes of words of letters alone: encoded as one text and parted after each piece."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            ids = np.array(self.model.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, self.kind)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(cuts) != len(part):
+                out += self.whole(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip([0, *cuts], cuts)]
+        return out
+
+    def learn(self, words: set[bytes]) -> None:
+        memo, older = self.memo, self.older
+        old = {w for w in words if w in older}
+        memo.update((w, older[w]) for w in old)
+        marked, plain, other = [], set(), []
+        for w in words - old:
+            text = w.decode("utf-8", "replace")
+            if text.isalpha():
+                plain.add(w)
+            elif w[-1:] in self.marks and text[:-1].isalpha():
+                marked.append(w)
+            else:
+                other.append(w)
+        stems = {w[:-1] for w in marked}
+        memo.update((w, older[w]) for w in stems if w in older and w not in memo)
+        letters = list((plain | stems).difference(memo))
+        memo.update(zip(letters, self.letters(letters), strict=True))
+        memo.update((w, memo[w[:-1]] + self.marks[w[-1:]]) for w in marked)
+        memo.update(zip(other, self.whole(other), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The token bytes of whole texts."""
-        split = [words_of(x) for x in texts]
+        split = [words_of(x if x.translate(None, BELOW_MARKS) or b"<|" in x else x.lower()) for x in texts]
         if len(self.memo) >= MEMO_WORDS:
             self.older, self.memo = self.memo, {}
-        memo, older = self.memo, self.older
-        for k, words in enumerate(split):
-            new = [w for w in set(words) if w not in memo]
-            for w in new:
-                if w in older:
-                    memo[w] = older[w]
-            self.learn([w for w in new if w not in memo])
-            split[k] = b"".join([memo[w] for w in words])
-            for w in new:
-                if len(w) > MEMO_BYTES:
-                    del memo[w]
-        return split
+        out: list[bytes] = []
+        for words in split:
+            self.learn(set(words).difference(self.memo))
+            out.append(b"".join(map(self.memo.__getitem__, words)))
+        for words in split:
+            for w in {w for w in words if len(w) > MEMO_BYTES}:
+                self.memo.pop(w, None)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -114,6 +155,19 @@ def load(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def payload_of(doc_id: int | None, tokens: bytes, width: int, compressor) -> bytes:
+    small = compressor.compress(tokens)
+    packed = len(small) < len(tokens)
+    return struct.pack(HEAD, (doc_id is None) + 2 * packed, doc_id or 0, width) + (small if packed else tokens)
+
+
+def tokens_of(payload: memoryview, expander) -> tuple[int | None, np.ndarray]:
+    """The id and tokens of a payload."""
+    flags, doc_id, width = struct.unpack_from(HEAD, payload)
+    raw = payload[HEAD_SIZE:]
+    return None if flags & 1 else doc_id, np.frombuffer(expander.decompress(raw) if flags & 2 else raw, f"<u{width}")
+
+
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_text_bytes: int = SHARD_TEXT_BYTES) -> None:
     """Encode docs(doc_id, text), append end_id to each, and write record files in ascending doc_id order.
 
@@ -126,12 +180,12 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard
     ordered = rows.repartitionByRange(max(1, -(-total // shard_text_bytes)), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
 
     def run(batches):
-        encoder = load(tokenizer)
+        encoder, compressor = load(tokenizer), zstandard.ZstdCompressor(level=1)
         last = encoder.kind.type(end_id).tobytes()
         for batch in batches:
             tokens = encoder.encode([x or b"" for x in batch.column(1).to_pylist()])
-            heads = [struct.pack(HEAD, i is None, i or 0, encoder.width) for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([frame(h + t + last) for h, t in zip(heads, tokens, strict=True)], pa.binary())], names=["frame"])
+            frames = [frame(payload_of(i, t + last, encoder.width, compressor)) for i, t in zip(batch.column(0).to_pylist(), tokens, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
     ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
@@ -146,14 +200,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     schema = "shard string, offset long, length long, doc_id long, before long, n_tokens long, ids_crc32 long"
 
     def run(batches):
+        expander = zstandard.ZstdDecompressor()
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 data, at, before, rows = memoryview(content.as_buffer()), 0, 0, []
                 while at < len(data):
                     payload, end = read_frame(data, at)
-                    null, doc_id, width = struct.unpack_from(HEAD, payload)
-                    ids = np.frombuffer(payload[HEAD_SIZE :], f"<u{width}")
-                    rows.append((name.as_py(), at, end - at, None if null else doc_id, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    doc_id, ids = tokens_of(payload, expander)
+                    rows.append((name.as_py(), at, end - at, doc_id, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     before += len(ids)
                     at = end
                 if rows:
@@ -192,14 +246,15 @@ def fetch(index: DataFrame, path: str) -> DataFrame:
     rows = files.select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content").join(wanted, "shard").select("content", "offsets")
 
     def run(batches):
+        expander = zstandard.ZstdDecompressor()
         for batch in batches:
             for content, offsets in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 data, ids, out = memoryview(content.as_buffer()), [], []
                 for at in offsets:
                     payload, _ = read_frame(data, at)
-                    null, doc_id, width = struct.unpack_from(HEAD, payload)
-                    ids.append(None if null else doc_id)
-                    out.append(np.frombuffer(payload[HEAD_SIZE :], f"<u{width}").astype(np.int64).tolist())
+                    doc_id, found = tokens_of(payload, expander)
+                    ids.append(doc_id)
+                    out.append(found.astype(np.int64).tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, ids array<long>")
