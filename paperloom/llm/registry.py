@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import binary_records, bpe, decontaminate, language_id, minhash, pii, quality_rules, rule_ensemble, warc
+from paperloom.llm import binary_records, bpe, decontaminate, language_id, minhash, pii, quality_rules, rule_ensemble, transcripts, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived input: conversations are written as transcripts without roles; see transcripts.as_transcripts."""
+    return transcripts.recovered_turns(table(spark, sf_dir, "conversations"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -56,7 +61,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_language_id, op3_warc, op5_minhash, op6_token_records, op7_rule_ensemble, op8_bpe, op9_pii, op10_decontaminate,
+        op1_quality_rules, op2_language_id, op3_warc, op4_transcripts, op5_minhash, op6_token_records, op7_rule_ensemble, op8_bpe, op9_pii, op10_decontaminate,
     )
 }
 
