@@ -1,4 +1,4 @@
-"""Okapi BM25 over DataFrames: an index of postings, and exact top-k for a batch of queries.
+"""Okapi BM25 over DataFrames: a stored index of postings, and exact top-k for a batch of queries.
 
 A document's score is the sum over query tokens, repeats included, of
 
@@ -11,10 +11,14 @@ that share no term score 0 and fill up the k.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import tokens
+from paperloom.workspace import work_dir
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 9
@@ -22,70 +26,86 @@ DIGITS = 9
 BROADCAST_TERMS = 1_000_000
 
 
-def tokenized(docs: DataFrame) -> DataFrame:
-    """doc_id, toks and dl of docs(doc_id, text)."""
-    return docs.select("doc_id", tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """term, doc_id, tf, dl. A document's tokens are counted before they are shuffled."""
-    return tokenized(docs).select("doc_id", "dl", F.explode("toks").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
-
-
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """One row: n_docs and avgdl."""
-    return tokenized(docs).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-
-
-def idf(docs: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """term, df, idf and avg_idf of every term."""
-    df = tokenized(docs).select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(corpus_stats(docs).select("n_docs"))).withColumn("idf0", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("idf0").alias("avg_idf"))
-    return raw.crossJoin(F.broadcast(mean)).select(
-        "term", "df", F.when(F.col("idf0") < 0, epsilon * F.col("avg_idf")).otherwise(F.col("idf0")).alias("idf"), "avg_idf"
-    )
+@dataclass(frozen=True)
+class Index:
+    """Tables below path: documents (doc_id, dl), postings (term, doc_id, tf, dl) in order of term, and terms (term, df)."""
+
+    spark: SparkSession
+    path: str
+
+    @property
+    def documents(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/documents")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/terms")
+
+    @cached_property
+    def size(self) -> tuple[int, float]:
+        """Number of documents and average length."""
+        row = self.documents.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+        return row[0], row[1]
+
+    def raw_idf(self) -> Column:
+        return F.log(self.size[0] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+    @cached_property
+    def mean_idf(self) -> float:
+        return self.terms.agg(F.coalesce(F.avg(self.raw_idf()), F.lit(0.0))).first()[0]
+
+    def idf(self, epsilon: float = EPSILON) -> DataFrame:
+        """term, df, idf of every term."""
+        return self.terms.select("term", "df", F.when(self.raw_idf() < 0, epsilon * self.mean_idf).otherwise(self.raw_idf()).alias("idf"))
+
+    def matches(self, queries: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+        """qid, doc_id and score of every document that shares a term with one of queries(qid, text).
+
+        A common term's postings lie in many files, so no task reads them all; query terms are sent to
+        them while there are no more than BROADCAST_TERMS, counted first.
+        """
+        asked = query_terms(queries)
+        hint = F.broadcast if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda x: x)
+        weighted = hint(asked).join(self.idf(epsilon), "term").select("qid", "term", "qtf", "idf")
+        norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / self.size[1])
+        part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
+        return self.postings.join(hint(weighted), "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+
+    def top_k(self, queries: DataFrame, k: int = 10, **constants: float) -> DataFrame:
+        """qid, rank, doc_id, score of the k best documents of each query.
+
+        Zeros for the fill come from the 2k first documents: a query with less than k matches has k others
+        among them. Only where the mean idf is negative, in tiny corpora, do zeros outrank matches, and then
+        all documents are candidates.
+        """
+        hits = self.matches(queries, **constants).withColumn("score", F.round("score", DIGITS))
+        first = self.documents.select("doc_id")
+        if self.mean_idf >= 0:
+            first = F.broadcast(first.orderBy("doc_id").limit(2 * k))
+        zeros = queries.select("qid").crossJoin(first).join(hits.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+        order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
+        ranked = hits.unionByName(zeros).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return ranked.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+def build(docs: DataFrame, path: str | None = None) -> Index:
+    """Store the index of docs(doc_id, text). A document's tokens are counted before they are shuffled."""
+    spark = docs.sparkSession
+    path = path or work_dir(spark, "bm25")
+    toks = docs.select("doc_id", tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
+    toks.select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/documents")
+    counted = toks.select("doc_id", "dl", F.explode("toks").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    ordered = counted.select("term", "doc_id", "tf", "dl").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    ordered.write.mode("overwrite").parquet(f"{path}/postings")
+    index = Index(spark, path)
+    index.postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    return index
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """qid, term, qtf of queries(qid, text)."""
     return queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-
-
-def matches(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
-    """qid, doc_id and score of every document that shares a term with a query.
-
-    The queries' terms, counted first, go to the documents: postings are cut down to them and scores are
-    summed for each document where it lies. Only beyond BROADCAST_TERMS is the corpus shuffled by term.
-    """
-    wanted = query_terms(queries).join(idf(docs, epsilon).select("term", "idf"), "term")
-    seen = query_terms(queries)
-    small = seen.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    hint = F.broadcast if small else (lambda x: x)
-    exploded = tokenized(docs).select("doc_id", "dl", F.explode("toks").alias("term")).join(hint(seen.select("term").distinct()), "term", "left_semi")
-    found = exploded.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    return (
-        found.join(hint(wanted), "term")
-        .crossJoin(F.broadcast(corpus_stats(docs).select("avgdl")))
-        .groupBy("qid", "doc_id")
-        .agg(F.sum(part).alias("score"))
-    )
-
-
-def top_k(queries: DataFrame, docs: DataFrame, k: int = 10, **constants: float) -> DataFrame:
-    """qid, rank, doc_id, score of the k best documents of each query.
-
-    Zeros for the fill come from the 2k first documents: a query with less than k matches has k others
-    among them. Only where the mean idf is negative, in tiny corpora, do zeros outrank matches, and then all
-    documents are candidates.
-    """
-    hits = matches(queries, docs, **constants).withColumn("score", F.round("score", DIGITS))
-    first = docs.select("doc_id").orderBy("doc_id").limit(2 * k)
-    mean = idf(docs).agg(F.coalesce(F.min("avg_idf"), F.lit(0.0)).alias("avg_idf"))
-    rest = docs.select("doc_id").crossJoin(F.broadcast(mean)).filter("avg_idf < 0").select("doc_id")
-    pool = queries.select("qid").crossJoin(F.broadcast(first.union(rest).distinct()))  # 2k rows
-    zeros = pool.join(hits.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
-    return hits.unionByName(zeros).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score")

@@ -63,7 +63,8 @@ def histogram(rows: DataFrame, value: Column, bins: int) -> DataFrame:
     """bin, n: equal widths from the least to the greatest value, the last bin closed; equal values all fall into bin 0."""
     x = rows.select(value.cast("double").alias("x")).filter("x is not null")
     ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    place = F.coalesce(F.least(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)), F.lit(0))
+    share = F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    place = F.least(F.floor(share * bins), F.lit(bins - 1))
     return x.crossJoin(F.broadcast(ends)).groupBy(place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -84,8 +84,19 @@ hy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c D
 """
 
 
+_INDEXES: dict[tuple[str, str], bm25.Index] = {}
+
+
+def bm25_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """The index of a corpus, built by the first query of a session that needs it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        _INDEXES[key] = bm25.build(docs(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def bm25_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.top_k(items(spark, sf_dir), docs(spark, sf_dir), hybrid.BM25_K)
+    return bm25_index(spark, sf_dir).top_k(items(spark, sf_dir), hybrid.BM25_K)
 
 
 def vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,25 +118,25 @@ def bm25_topk(spark, sf_dir):
 @query(f"WITH {BM25_CTES} SELECT qid, count(*) AS n, round(sum(score), 4) AS total FROM sc GROUP BY qid")
 def bm25_scores_all(spark, sf_dir):
     """All scores of each item, summed up."""
-    scores = bm25.matches(items(spark, sf_dir), docs(spark, sf_dir)).withColumn("score", F.round("score", bm25.DIGITS))
+    scores = bm25_index(spark, sf_dir).matches(items(spark, sf_dir)).withColumn("score", F.round("score", bm25.DIGITS))
     return scores.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
 
 @query(f"WITH {BM25_CTES} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf_dir):
     """Document frequency and weight of each term."""
-    return bm25.idf(docs(spark, sf_dir)).select("term", "df", r6("idf").alias("idf"))
+    return bm25_index(spark, sf_dir).idf().select("term", "df", r6("idf").alias("idf"))
 
 
 @query(f"WITH {BM25_CTES} SELECT term, sum(tf)::BIGINT AS total, max(tf)::BIGINT AS most, count(*) AS n FROM post GROUP BY term")
 def bm25_postings(spark, sf_dir):
     """Each term's postings, summed up."""
-    return bm25.postings(docs(spark, sf_dir)).groupBy("term").agg(F.sum("tf").alias("total"), F.max("tf").alias("most"), F.count("*").alias("n"))
+    return bm25_index(spark, sf_dir).postings.groupBy("term").agg(F.sum("tf").alias("total"), F.max("tf").alias("most"), F.count("*").alias("n"))
 
 
 @query(f"WITH {BM25_CTES} SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM st")
 def bm25_stats(spark, sf_dir):
-    return bm25.corpus_stats(docs(spark, sf_dir)).select("n_docs", r6("avgdl").alias("avgdl"))
+    return bm25_index(spark, sf_dir).documents.agg(F.count("*").alias("n_docs"), r6(F.avg("dl")).alias("avgdl"))
 
 
 @query(f"WITH {VEC_CTES} SELECT qid, rank, doc_id, round(distance, 6) AS distance FROM ve")
@@ -347,7 +358,7 @@ def length_stats(spark, sf_dir):
 
 
 @query("""WITH x AS (SELECT length(text)::DOUBLE AS x FROM documents), e AS (SELECT min(x) AS lo, max(x) AS hi FROM x)
-SELECT coalesce(least(floor((x - lo) / nullif(hi - lo, 0) * 30), 29), 0)::BIGINT AS bin, count(*) AS n FROM x, e GROUP BY 1""")
+SELECT least(floor(coalesce((x - lo) / nullif(hi - lo, 0), 0) * 30), 29)::BIGINT AS bin, count(*) AS n FROM x, e GROUP BY 1""")
 def histogram30(spark, sf_dir):
     return metrics.histogram(docs(spark, sf_dir), F.length("text"), 30)
 
