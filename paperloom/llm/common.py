@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.workspace import stored, work_dir
+
+__all__ = ["bound_batches", "decoded", "map_batches", "stored", "text_bytes", "unused", "words_of", "work_dir"]
+
 #: Rows in an Arrow batch. Texts may be very long, so batches stay small: at 100 KB a text, about 25 MB.
 BATCH_ROWS = 256
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that a Python worker's memory doesn't grow with text length."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -21,26 +31,6 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name below the shared folder that spark.checkpoint.dir names.
-
-    Only a local session may go without that setting; it gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="paperloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write df as Parquet and read it again: lineage ends here and survives a lost executor."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply fn to each Arrow batch of df; fn may return None for no rows."""
     bound_batches(df.sparkSession)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bound_batches, decoded, text_bytes, work_dir
+from paperloom.llm.common import bound_batches, decoded, text_bytes, unused, work_dir
 
 #: Masks of weight 6.
 MASKS = ("111111", "11011011", "1110010111", "11010001011", "101101001101")
@@ -190,7 +190,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int =
 
 
 def _clean(docs: DataFrame, shared) -> DataFrame:
-    raw = docs.withColumn("_raw_bytes", text_bytes())
+    raw = docs.withColumn(unused(docs, "_raw"), text_bytes())
 
     def run(batches):
         own = shared.value

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bound_batches, map_batches, stored, text_bytes, work_dir
+from paperloom.llm.common import bound_batches, map_batches, stored, text_bytes, unused, work_dir
 from paperloom.llm.components import LOCAL_LINKS, components
 
 ROWS, BANDS = 5, 36
@@ -235,11 +235,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     path = work_dir(docs.sparkSession, "keep-one")
     names = docs.columns
     found = stored(near_duplicates(docs.select("doc_id", "text"), shingle, percent), f"{path}/found")
-    held = docs.withColumn("_key", F.xxhash64("text"))
-    mine = lambda t: t["_id"].eqNullSafe(held["doc_id"]) & (t["_hash"] == F.col("_key"))
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_hash")).distinct()
-    left = held.join(gone, mine(gone), "left_anti")
+    key, id_, hash_ = (unused(docs, c) for c in ("_key", "_id", "_hash"))
+    held = docs.withColumn(key, F.xxhash64("text"))
+    gone = found.filter("not kept").select(F.col("doc_id").alias(id_), F.col("text_key").alias(hash_)).distinct()
+    left = held.join(gone, F.col(id_).eqNullSafe(held["doc_id"]) & (F.col(hash_) == F.col(key)), "left_anti")
     twice = found.filter("kept and digest is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1")
     if stored(twice, f"{path}/twice").limit(1).count():
-        left = left.dropDuplicates(["doc_id", "_key"])
-    return left.select(*names)
+        left = left.dropDuplicates(["doc_id", key])
+    return left.select(*[F.col(f"`{c}`") for c in names])

@@ -1,0 +1,552 @@
+"""The training-data operators against brute force, libraries, round trips and held-out accuracy, and on awkward tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from paperloom.llm import binary_records, bpe, components, decontaminate, language_id, minhash, pii, quality_rules, rule_ensemble, transcripts, warc
+from paperloom.llm.common import work_dir
+
+SF = "/root/testdata/sf0.001"
+BYTE_BPE, WORD_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"word{i % 977}" for i in range(60_000))
+EDGE = [
+    (1, None, "en", "a", 0), (2, "", None, None, 0), (None, "some text without an id", "en", "a", 5), (4, "twice twice", "fr", "b", None), (4, "twice twice", "fr", "b", None),
+    (5, LONG, "en", "a", len(LONG)), (6, " \n\t ", "de", "b", 4), (7, "é" * 5000, "fr", "b", 5000), (8, "12345 !?", None, "b", 8), (4, "same id, other text", "en", "c", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Nulls, empties, very long and repeated rows, and columns whose names operators use themselves."""
+    names = ["n_words", "kept", "host", "_raw", "row", "score", "digest", "node", "_key", "_raw_bytes", "n_tokens"]
+    return spark.createDataFrame(EDGE, DOCS).withColumns({n: F.lit(-7) for n in names})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+# ---------------------------------------------------------------- 1 quality rules
+
+def brute_repeats(words):
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    return len({i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)})
+
+
+def test_repeated_words():
+    rng = random.Random(1)
+    for _ in range(200):
+        words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randrange(30))]
+        assert quality_rules.repeated_words(words) == brute_repeats(words)
+
+
+def test_text_stats():
+    assert quality_rules.text_stats("a #b\n\nx y\nx y\n \n".encode()) == (4, 9, 1, 3, 1, 0)
+    assert quality_rules.text_stats(None) == (0, 0, 0, 0, 0, 0)
+
+
+def test_quality_edges(spark, edge, none):
+    got = quality_rules.quality_rules(edge).collect()
+    assert len(got) == len(EDGE) and all(r.kept is not None for r in got)
+    assert not any(r.kept for r in got if r.n_words < 50)
+    assert quality_rules.quality_rules(none).count() == 0
+    kept = quality_rules.keep_good(edge)
+    assert kept.columns == edge.columns and [r.doc_id for r in kept.collect()] == [r.doc_id for r in got if r.kept]
+    assert quality_rules.keep_good(none).count() == 0
+
+
+def test_host_verdicts(spark):
+    clean = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, clean, None, "good", 0) for i in range(300)] + [(1000 + i, "bad", None, "bad", 0) for i in range(300)] + [(2000, clean, None, "bad", 0)]
+    rows += [(3000 + i, clean + " #" * 20, None, "mixed", 0) for i in range(50)] + [(4000 + i, clean, None, "mixed", 0) for i in range(50)]
+    rows += [(5000, clean + " #" * 20, None, "good", 0)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[2000].host_verdict == "blocked" and not got[2000].kept  # a clean text of a blocked host
+    assert got[5000].host_verdict == "trusted" and got[5000].kept  # a soft failure of a trusted one
+    assert got[3000].host_verdict == "normal" and not got[3000].kept and got[4000].kept
+
+
+# ---------------------------------------------------------------- 2 language
+
+def plain_cost(text: bytes, train: list[bytes], order: int) -> float:
+    """Code length by dictionaries, one byte at a time."""
+    counts: dict[bytes, dict[int, int]] = {}
+    for t in train:
+        padded = bytes(order) + t
+        for i in range(len(t)):
+            for j in range(order + 1):
+                c = counts.setdefault(padded[i + order - j : i + order], {})
+                c[padded[i + order]] = c.get(padded[i + order], 0) + 1
+    # contexts of different lengths are kept apart by their length
+    total, padded = 0.0, bytes(order) + text
+    for i in range(len(text)):
+        for j in range(order, -1, -1):
+            c = counts.get(padded[i + order - j : i + order])
+            if not c:
+                continue
+            n = sum(c.values()) + len(c)
+            if padded[i + order] in c:
+                total -= np.log2(c[padded[i + order]] / n)
+                break
+            total -= np.log2(len(c) / n)
+        else:
+            total += 8
+    return total
+
+
+def test_code_lengths_equal_plain_ones():
+    rng = random.Random(2)
+    make = lambda n: bytes(rng.choice(b"abcd ") for _ in range(n))
+    train = {"x": [make(200), make(3)], "y": [make(150)]}
+    counts = {}
+    for k, v in train.items():
+        codes, n = np.unique(np.concatenate([language_id.groups(t) for t in v]), return_counts=True)
+        counts[k] = codes, n.astype(float)
+    scorer = language_id.Scorer(counts)
+    texts = [b"", b"a", b"zz", make(40), "é".encode() * 3]
+    got = scorer.code_lengths(texts)
+    for i, t in enumerate(texts):
+        for k, name in enumerate(scorer.names):
+            assert got[i, k] == pytest.approx(plain_cost(t, train[name], language_id.ORDER))
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_id.predict_language(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
+    assert all(0 < r.score <= 1 for r in rows)
+
+
+def test_language_edges(edge, none):
+    got = language_id.predict_language(edge).collect()
+    assert len(got) == len(EDGE)
+    assert [r.lang_pred for r in got if r.doc_id in (1, 2, 6, 8)] == ["und"] * 4
+    assert {r.held_out for r in got if r.doc_id is None} == {False}
+    assert language_id.predict_language(none).count() == 0
+    assert {r.lang_pred for r in language_id.predict_language(edge.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# ---------------------------------------------------------------- 3 WARC
+
+def test_warc(spark, tmp_path):
+    big, other = "x" * 1000, "é" * 600
+    rows = [(1, "http://a", big), (9, "http://b\n c", big), (5, None, big), (2, "u", "small"), (3, "u", "small"), (4, "u", None), (6, "u", ""), (7, "u", other), (7, "u", other), (None, "u", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha256", F.lit(1))
+    path = f"file://{tmp_path}/w"
+    warc.write_archive(pages, path)
+    assert spark.read.parquet(f"{path}/payloads").count() == 4
+    got = warc.record_digests(warc.read_records(spark, path)).collect()
+    by = {r.page_id: r for r in got}
+    assert len(got) == len(rows) and {i: by[i].record_type for i in (1, 9, 5, 2, 3, 4, 6, 7, None)} == {1: "revisit", 9: "response", 5: "revisit", 2: "response", 3: "response", 4: "response", 6: "response", 7: "response", None: "revisit"}
+    assert (by[1].refers_to, by[9].refers_to) == (9, None)
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        assert (by[i].payload_bytes, by[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+    records = {r.page_id: bytes(r.record) for r in warc.read_records(spark, path).collect()}
+    head, http, body = records[9].split(b"\r\n\r\n", 2)
+    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and b"WARC-Target-URI: http://b%20%20c\r\n" in head
+    assert int(re.search(rb"Content-Length: (\d+)", head)[1]) == len(http) + 4 + 1000 and body == big.encode() + b"\r\n\r\n"
+    assert records[1].endswith(b"Content-Length: 1000\r\n\r\n\r\n\r\n") and b"WARC-Refers-To: <urn:page:9>" in records[1]
+
+
+def test_warc_damage_stops_the_read(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    warc.write_archive(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"), path)
+    spark.read.parquet(f"{path}/payloads").withColumn("payload", F.lit("other").cast("binary")).write.parquet(f"{path}/x")
+    spark.read.parquet(f"{path}/x").write.mode("overwrite").parquet(f"{path}/payloads")
+    with pytest.raises(Exception, match="damaged payload"):
+        warc.read_records(spark, path).collect()
+
+
+def test_warc_empty(spark):
+    assert warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# ---------------------------------------------------------------- 4 transcripts
+
+def brute_states(model, rows):
+    """The best of all state sequences."""
+    from itertools import product
+
+    e = model.emissions(rows)
+    best = max(product(range(transcripts.STATES), repeat=len(rows)), key=lambda s: sum(model.moves[a, b] for a, b in zip((transcripts.START, *s), s)) + sum(e[k, x] for k, x in enumerate(s)))
+    return list(best)
+
+
+def test_viterbi_equals_all_sequences():
+    rng = np.random.default_rng(3)
+    counts = {("move", int(i), int(j)): int(rng.integers(0, 9)) for i in range(7) for j in range(6)} | {(str(f), s, v): int(rng.integers(0, 9)) for f, n in enumerate(transcripts.SIZES) for s in range(6) for v in range(n)}
+    model = transcripts.Model(counts)
+    for n in (1, 2, 5):
+        rows = [tuple(int(rng.integers(0, k)) for k in transcripts.SIZES) for _ in range(n)]
+        assert model.states(rows, transcripts.START, -1) == brute_states(model, rows)
+
+
+def test_blocks_give_what_the_whole_gives(spark):
+    rows = transcripts.as_transcripts(spark.read.parquet(f"{SF}/conversations.parquet"))
+    model = transcripts.train(rows)
+    key = lambda t: sorted(tuple(r) for r in t.collect())
+    assert key(transcripts.parse(rows, model)) == key(transcripts.parse(rows, model, block_turns=2))
+
+
+def test_roles_recovered(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    got = transcripts.recovered_turns(rows).filter("line = 0").select(F.col("conv").cast("long").alias("conv_id"), "turn", F.col("role").alias("found"))
+    joined = rows.join(got, ["conv_id", "turn"], "left").collect()
+    assert np.mean([r.role == r.found for r in joined]) > 0.85
+
+
+def test_transcript_edges(spark):
+    kind = "conv_id long, turn long, role string, text string, conv string, block int"
+    rows = [(1, 0, "user", "Hi?", "x", 1), (1, 0, "user", "Hi?", "x", 1), (1, 1, None, "Yes.\n\nNo.", "x", 1), (1, None, "system", None, "x", 1), (None, 0, "user", "alone", "x", 1), (2, 0, "odd", "", "x", 1), (3, 500, "user", LONG, "x", 1)]
+    got = transcripts.recovered_turns(spark.createDataFrame(rows, kind)).collect()
+    assert sum(r.text == "Hi?" for r in got) == 1 and any(r.text == "alone" for r in got) and not any(r.conv == "2" for r in got)
+    assert all(r.rendered == f"<|im_start|>{r.role}\n{r.text}<|im_end|>" for r in got)
+    assert transcripts.recovered_turns(spark.createDataFrame([], kind)).count() == 0
+
+
+# ---------------------------------------------------------------- 5 MinHash
+
+def brute_components(rows, size, percent=80):
+    sets = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append((i, {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()))
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x in range(len(sets)):
+        for y in range(x):
+            a, b = sets[x][1], sets[y][1]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                up[root(x)] = root(y)
+    least = {}
+    for x, (i, _) in enumerate(sets):
+        least[root(x)] = min(least.get(root(x), i), i)
+    return {i: (len(s), least[root(x)]) for x, (i, s) in enumerate(sets)}
+
+
+def near_copies(n=120, seed=4):
+    """Copies with a few to many words changed, chains of copies, exact copies in other case and spacing, short texts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(120)]
+    rows, chain = [(3, "One two"), (4, "one  TWO"), (5, "one two three"), (6, ""), (7, None), (8, "x")], base
+    for i in range(n):
+        kind = i % 4
+        if kind == 0:
+            chain = [w if rng.random() > 0.015 else word() for w in chain]
+            text = chain
+        elif kind == 1:
+            text = [w if rng.random() > 0.03 else word() for w in base]
+        elif kind == 2:
+            text = [word() for _ in range(rng.randrange(1, 90))]
+        else:
+            text = rng.choice([base, chain])
+            text = [w.upper() for w in text]
+        rows.append((10 + rng.randrange(100_000) * 200 + i, rng.choice([" ", "\n", "  "]).join(text)))
+    return rows
+
+
+@pytest.mark.parametrize(("size", "local_links"), [(4, components.LOCAL_LINKS), (5, 0)])
+def test_near_duplicates_equal_brute_force(spark, size, local_links):
+    rows = near_copies()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size, 80, local_links).collect()
+    want = brute_components(rows, size)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_components_by_stars(spark):
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
+    links = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long")
+    both = [{r.node: r.label for r in components.components(links, work_dir(spark, "t"), n).collect()} for n in (0, 1000)]
+    assert both[0] == both[1] and all(both[0][i] == 0 for i in range(41))
+
+
+def test_estimate(spark):
+    a, b = (minhash.minima([np.unique(minhash.mixed(np.arange(s + 1, s + 901, dtype=np.uint64)))]) for s in (0, 100))
+    df = spark.createDataFrame([(minhash.packed(a)[0].tolist(), minhash.packed(b)[0].tolist())], "x array<long>, y array<long>")
+    assert df.select(minhash.estimate("x", "y")).first()[0] == pytest.approx(0.8, abs=0.08)
+    assert df.select(minhash.estimate("x", "x")).first()[0] == pytest.approx(1.0)
+
+
+def test_near_duplicate_edges(edge, none):
+    got = minhash.near_duplicates(edge).collect()
+    assert len(got) == len(EDGE)
+    assert all(r.component_id == r.doc_id for r in got if r.doc_id in (1, 2, 6))
+    assert minhash.near_duplicates(none).count() == 0
+    kept = minhash.keep_one(edge)
+    assert kept.columns == edge.columns and kept.filter("doc_id = 4").count() == 2  # one of the repeated rows, and the other text
+    assert kept.count() == len(EDGE) - 1 and minhash.keep_one(none).count() == 0
+
+
+# ---------------------------------------------------------------- 6 binary records
+
+def test_records_equal_the_library(spark, documents):
+    model = Tokenizer.from_file(WORD_BPE)
+    extra = [(10**9 + k, t) for k, t in enumerate([None, "", "A̱ H̱x ΟΣ", "<|endoftext|>x <|STARTOFTEXT|>", "don't, it's!!  　a", "word, " * 3000, "ẞ" * 80])]
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()] + extra
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = work_dir(spark, "records")
+    binary_records.write_records(docs, path, WORD_BPE, 1, shard_text_bytes=100_000)
+    index = binary_records.write_index(binary_records.read_records(spark, path), work_dir(spark, "index"))
+    got = {r.doc_id: r for r in index.collect()}
+    ids = {r.doc_id: r.ids for r in binary_records.fetch(index, path).collect()}
+    at = 0
+    for i, text in sorted(rows):
+        want = [*model.encode(text or "", add_special_tokens=False).ids, 1]
+        assert ids[i] == want
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        at += len(want)
+    assert len({r.shard for r in got.values()}) > 2
+
+
+def test_damaged_frame():
+    data = bytearray(binary_records.frame(b"payload") + b"\n")
+    assert bytes(binary_records.read_frame(memoryview(data), 0)[0]) == b"payload"
+    for k in (0, 9, 14, len(data) - 3, len(data) - 1):
+        bad = bytearray(data)
+        bad[k] ^= 1
+        with pytest.raises(ValueError, match="damaged"):
+            binary_records.read_frame(memoryview(bad), 0)
+    with pytest.raises(ValueError, match="damaged"):
+        binary_records.read_frame(memoryview(data[:-4]), 0)
+
+
+def test_record_edges(edge, none):
+    got = binary_records.token_records(edge, WORD_BPE).orderBy("start").collect()
+    assert len(got) == len(EDGE) and got[0].doc_id is None and [r.n_tokens for r in got if r.doc_id in (1, 2, 6)] == [1, 1, 1]
+    assert binary_records.token_records(none, WORD_BPE).count() == 0
+
+
+# ---------------------------------------------------------------- 7 rules
+
+def test_rules_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = rule_ensemble.train(docs, labels)
+    assert 0 < len(model.rules) < 400
+    rows = rule_ensemble.quality_scores(docs, labels).filter("held_out").join(labels, "doc_id").collect()
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
+
+
+def test_compiled_rules_equal_array_rules(spark):
+    rule = rule_ensemble.simplified(((0, True, 1.0), (0, True, 2.0), (1, False, 5.0)))
+    assert rule.conditions == ((0, True, 2.0), (1, False, 5.0))
+    x = np.array([[3.0, 5.0], [2.0, 1.0], [9.0, 6.0]])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], f"{rule_ensemble.STATS[0]} double, {rule_ensemble.STATS[1]} double")
+    assert [r[0] for r in df.select(rule.column()).collect()] == rule.holds(x).tolist() == [True, False, False]
+
+
+def test_rule_edges(spark, edge, none):
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (7, None, 0), (99, 1, 0), (5, 5, 0)], "doc_id long, quality int, toxic int")
+    got = rule_ensemble.quality_scores(edge, labels).collect()
+    assert len(got) == len(EDGE) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert {r.score for r in rule_ensemble.quality_scores(edge, labels.limit(0)).collect()} == {0.5}
+    assert rule_ensemble.quality_scores(none, labels).count() == 0
+
+
+# ---------------------------------------------------------------- 8 BPE
+
+def awkward_texts(n=4000):
+    rng = random.Random(6)
+    sets = ["abcdefgh", "thean in", "éè ab", "  \n\t　\x1c\x85\xa0a", "0123 a'st", "日本語𝒳😀é", "aaaa", "#$% '", ".,a b"]
+    out = ["".join(rng.choice(rng.choice(sets)) for _ in range(rng.randrange(40))) for _ in range(n)]
+    out += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0, 0xD800), rng.randrange(0xE000, 0x1FFFF)])) for _ in range(30)) for _ in range(n // 4)]
+    return [*out, "<|endoftext|>a <|endoftext|>", "a" * 3000, "ab" * 3000, " " * 500, "", " a", "a ", "a  b", "it's we'll"]
+
+
+def test_bpe_equals_the_library():
+    own, model = bpe.BacktrackingBpe(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    for text in awkward_texts():
+        want = model.encode(text, add_special_tokens=False).ids
+        ids = own.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        assert own.decode(ids).decode() == model.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_edges(edge, none):
+    got = bpe.bpe_digests(edge, BYTE_BPE).collect()
+    assert len(got) == len(EDGE) and [r.n_tokens for r in got if r.doc_id in (1, 2)] == [0, 0]
+    assert {r.decoded_sha256 for r in got if r.doc_id == 5} == {hashlib.sha256(LONG.encode()).hexdigest()}
+    tokens = bpe.bpe_encode(edge, BYTE_BPE)
+    assert [r.decoded for r in bpe.bpe_decode(tokens, BYTE_BPE).collect()] == [t or "" for _, t, *_ in EDGE]
+    assert bpe.bpe_digests(none, BYTE_BPE).count() == 0
+
+
+# ---------------------------------------------------------------- 9 PII
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {
+                "email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 14 <= len(digits) <= 19 and pii.luhn(digits),
+                "phone": lambda: 10 <= len(digits) <= 15,
+            }[kind]()
+            if good:
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda x: (x[0], pii.ORDER[x[2]]))
+
+
+def test_spans_equal_expressions():
+    rng = random.Random(7)
+    sets = ["0123456789.", "ab@.-1", "+0123() .-", "0 1-2+", "012 -012 -4567", "a@b.+1 é", "1.2.25", "@.a", "٣1.2"]
+    for _ in range(20_000):
+        alphabet = rng.choice(sets)
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(45)))
+        assert [s for s in pii.find_spans(text) if s[2] in pii.KINDS] == brute_spans(text), text
+
+
+def test_added_kinds():
+    text = "IBAN: GB82 WEST 1234 5698 7654 32, ssn 123-45-6789 or SSN 000-45-6789, see https://bob:secret@host/x and http://host:80/a@b"
+    assert [(k, text[a:b]) for a, b, k in pii.find_spans(text) if k in pii.ADDED] == [("iban", "GB82 WEST 1234 5698 7654 32"), ("ssn", "123-45-6789"), ("login", "bob:secret")]
+    assert pii.masked("mail a@b.co now") == "mail [EMAIL] now" and pii.masked("") == ""
+
+
+def test_long_runs_are_linear():
+    assert pii.find_spans("a." * 200_000) == [] and len(pii.find_spans("1" * 200_000)) == 0 and pii.find_spans("a@" * 100_000) == []
+
+
+def test_pii_edges(edge, none):
+    assert pii.pii_spans(edge).count() == len(EDGE) and pii.pii_spans(none).count() == 0
+    out = pii.mask_pii(edge)
+    assert out.columns == edge.columns and [r.text for r in out.collect()] == [t for _, t, *_ in EDGE]
+
+
+# ---------------------------------------------------------------- 10 decontamination
+
+def brute_overlap(words, item, least=decontaminate.MIN_WORDS, percent=decontaminate.PERCENT):
+    """The longest stretch, over all alignments, or 0."""
+    best = 0
+    for shift in range(-len(item) + 1, len(words)):
+        lo, hi = max(0, -shift), min(len(item), len(words) - shift)
+        equal = [item[k] == words[k + shift] for k in range(lo, hi)]
+        for a in range(len(equal)):
+            for b in range(a + 1, len(equal) + 1):
+                if b - a >= min(least, len(item)) and 100 * sum(equal[a:b]) >= percent * (b - a):
+                    best = max(best, b - a)
+    return best
+
+
+def test_longest_stretch():
+    rng = random.Random(8)
+    for _ in range(500):
+        x = np.array([rng.random() < 0.75 for _ in range(rng.randrange(1, 25))])
+        want = max((b - a for a in range(len(x)) for b in range(a + 1, len(x) + 1) if 100 * x[a:b].sum() >= 80 * (b - a)), default=0)
+        got = decontaminate.longest_stretch(x)
+        assert (got[1] - got[0] if got else 0) == want
+
+
+def test_masks_survive_two_substitutions():
+    from itertools import combinations
+
+    for pair in combinations(range(15), 2):
+        hit = any(not any(m[p - s] == "1" for p in pair if s <= p < s + len(m)) for m in decontaminate.MASKS for s in range(15 - len(m) + 1))
+        assert hit, pair
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
+    items = [(k, " ".join(word() for _ in range(rng.randrange(1, 40)))) for k in range(12)] + [(90, None), (91, "")]
+    docs = []
+    for k in range(40):
+        body = [word() for _ in range(rng.randrange(60))]
+        if k % 2:
+            source = rng.choice(items[:12])[1].split()
+            a = rng.randrange(max(1, len(source) - 12)) if rng.random() < 0.4 else 0
+            part = [w if rng.random() > 0.08 else word() for w in source[a : a + 30]]
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = [w.upper() + "," for w in part]
+        docs.append((k, " ".join(body)))
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    words = {i: re.findall("[a-z]+", (t or "").lower()) for i, t in items}
+    want = {(d, i): n for d, t in docs for i in words if (n := brute_overlap(re.findall("[a-z]+", t.lower()), words[i]))}
+    for block in (decontaminate.BLOCK_WORDS, 100):
+        got = {(r.doc_id, r.item_id): r.overlap_words for r in decontaminate.find_overlaps(*tables, block_words=block).collect()}
+        assert got == want
+        clean = {r.doc_id for r in decontaminate.drop_contaminated(*tables, block_words=block).collect()}
+        assert clean == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_decontamination_edges(spark, edge, none):
+    bench = spark.createDataFrame([(None, "some text without an id"), (1, "twice twice"), (2, None)], "item_id long, text string")
+    got = decontaminate.find_overlaps(edge, bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id or 0) for r in got) == [(0, 0), (4, 1), (4, 1)]
+    out = decontaminate.drop_contaminated(edge, bench)
+    assert out.columns == edge.columns and out.count() == len(EDGE) - 3
+    assert decontaminate.find_overlaps(none, bench).count() == 0 and decontaminate.find_overlaps(edge, bench.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- pipeline
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Quality, near duplicates, benchmark, PII and BPE in plain Python over the smallest tables."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id for r in quality_rules.quality_rules(docs).collect() if r.kept}
+    parts = brute_components([(i, rows[i]) for i in sorted(kept)], 5)
+    kept = {i for i in kept if parts[i][1] == i}
+    bench = [re.findall(r"[^\W_]+", r.text.lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    dirty = {i for i in kept if any(" ".join(b) in " ".join(re.findall(r"[^\W_]+", rows[i].lower())) for b in bench)}
+    model = Tokenizer.from_file(BYTE_BPE)
+
+    def masked(text):
+        for a, b, kind in reversed(brute_spans(text)):
+            text = text[:a] + f"[{kind.upper()}]" + text[b:]
+        return text
+
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(got) == kept - dirty
+    for i, ids in got.items():
+        if all(a[1] <= b[0] for a, b in zip(brute_spans(rows[i]), brute_spans(rows[i])[1:])):
+            assert np.frombuffer(ids, "<u4").tolist() == model.encode(masked(rows[i]), add_special_tokens=False).ids
+
+
+def test_pipeline_edges(spark, edge, tmp_path):
+    assert len(corpus_pipeline.STAGES) == 5
+    for table in (edge, spark.createDataFrame([], DOCS)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, SF)
+            assert out.columns == table.columns
+            out.count()
+
+
+def test_rest_stands_without_this_subpackage():
+    import subprocess
+    import sys
+
+    root = Path(corpus_pipeline.__file__).parent
+    code = "import sys; sys.modules['paperloom.llm'] = None\nimport paperloom.plans.queries, paperloom.streaming.append, paperloom.operators.bm25"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
