@@ -8,33 +8,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.fixed import CHOOSER, DOCUMENT_GATE, HISTORY_GATE, NO_CHOICES, TEMPLATES
 from paperloom.functions.text import enumerated, stripped
 
-#: The default templates' texts.
-BASE = """<SYSTEM>
-지문을 읽고 질문의 답을 구하세요.
-</SYSTEM>
-
-<USER>
-지문:
-{paragraph}
-
-질문:
-{question}
-
-{question_plus}
-
-선택지:
-{choices}
-
-외부문서:
-{documents}
-
-1, 2, 3, 4, 5 중에 하나를 정답으로 고르세요.
-정답:
-</USER>
-"""
-TEMPLATES = {"base": BASE}
 FIELD = re.compile(r"\{(\w+)\}")
 BLOCK = re.compile(r"<(SYSTEM|USER|ASSISTANT)>(.*?)</\1>", re.DOTALL)
 
@@ -104,3 +80,16 @@ def few_shot(examples: DataFrame, head: str, tail: str) -> DataFrame:
     body = F.array_join(F.transform("x", lambda e, i: F.concat(F.lit("\n[예시 "), (i + 1).cast("string"), F.lit(" - "), e["domain"], F.lit("]\n"), e["text"], F.lit("\n"))), "")
     domains = F.array_join(F.array_sort(F.array_distinct(F.transform("x", lambda e: e["domain"]))), ", ")
     return grouped.select("target", F.concat(filled(head, {"domains": domains}), body, F.lit(tail)).alias("prompt"))
+
+
+def gate_prompts(paragraph: Column, question: Column, choices: Column) -> tuple[Column, Column]:
+    """The prompts of the two gate stages: is it a history problem, and does it need a document."""
+    listed = F.when(F.size(choices) > 0, enumerated(choices, "dot")).otherwise(F.lit(NO_CHOICES))
+    values = {"paragraph": paragraph, "question": question, "choices": listed}
+    return filled(HISTORY_GATE, values), filled(DOCUMENT_GATE, values)
+
+
+def chooser_prompt(query: Column, candidates: Column, limit: int = 2) -> Column:
+    """The prompt that asks for the ids of fitting documents; candidates is an array of (doc_id, title, snippet)."""
+    line = lambda c: F.concat(F.lit("- id: "), c["doc_id"], F.lit(" | title: "), F.coalesce(c["title"], F.lit("")), F.lit(" | snippet: "), F.coalesce(c["snippet"], F.lit("")))
+    return filled(CHOOSER, {"limit": F.lit(str(limit)), "query": query, "candidates": F.array_join(F.transform(candidates, line), "\n")})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.fixed import DOMAIN_KEYWORDS, GENERAL_DOMAIN
+
 #: The tokenizer's pattern, and what page extraction leaves behind.
 TOKEN = "[가-힣]+|[A-Za-z0-9]+"
 GLYPH_CODES = r"\(cid:\d+\)"
@@ -65,6 +67,12 @@ def best_name(scores: dict[str, Column], otherwise: str) -> Column:
     return out
 
 
+def detect_domain(paragraph: Column, question: Column, question_plus: Column) -> Column:
+    """The exam domain with the most keywords in a record's text."""
+    whole = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (paragraph, question, question_plus)]))
+    return best_name({d: keyword_score(whole, w) for d, w in DOMAIN_KEYWORDS.items()}, GENERAL_DOMAIN)
+
+
 def enumerated(choices: Column, style: str = "dash") -> Column:
     """Choices as text: dash '1 - a', dot '1. a', bullet '- a', one to a line; comma 'a, b'."""
     forms = {

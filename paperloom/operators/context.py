@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.fixed import CONTEXT_PREFACE, NO_TITLE
 from paperloom.functions.text import stripped
 
-#: Separators and the preface, which says three for any number of documents.
+#: Separators. The preface says three for any number of documents.
 SEPARATOR, MARK = "\n\n---\n\n", "\n\n[CONTEXT]\n"
-PREFACE = "다음은 문제와 관련된 참고 문서 3개입니다.\n\n"
 
 
 def query_text(paragraph: Column, question: Column) -> Column:
     return stripped(F.concat(F.coalesce(paragraph, F.lit("")), F.lit("\n"), F.coalesce(question, F.lit(""))))
 
 
-def assembled(hits: DataFrame, corpus: DataFrame, preface: str = PREFACE) -> DataFrame:
+def assembled(hits: DataFrame, corpus: DataFrame, preface: str = CONTEXT_PREFACE) -> DataFrame:
     """qid and documents: the hits' texts in order of rank, numbered. hits(qid, rank, doc_id) are top-k lists, corpus(doc_id, title, body)."""
     rows = hits.join(corpus, "doc_id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "body"))).alias("x"))
-    parts = F.transform("x", lambda e, i: F.concat(F.lit("#### "), (i + 1).cast("string"), F.lit(". "), F.coalesce(e["title"], F.lit("")), F.lit("\n"), F.coalesce(e["body"], F.lit(""))))
+    parts = F.transform("x", lambda e, i: F.concat(F.lit("#### "), (i + 1).cast("string"), F.lit(". "), F.coalesce(e["title"], F.lit(NO_TITLE)), F.lit("\n"), F.coalesce(e["body"], F.lit(""))))
     return rows.select("qid", F.concat(F.lit(preface), F.array_join(parts, SEPARATOR)).alias("documents"))
 
 

@@ -6,9 +6,10 @@ text is split there. White space is Unicode white space, as \\s is in the patter
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.fixed import IMAGE_SHEETS
 from paperloom.functions.text import cleaned, stripped
 
 CUT = "\x01"
@@ -81,6 +82,11 @@ def answer_sheet(sheets: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "q_num").agg(F.min_by("answer", "pos").alias("answer"))
 
 
+def image_sheet(spark: SparkSession, subject: str, year: int) -> DataFrame:
+    """q_num, answer of an exam whose answer sheet is an image."""
+    return spark.createDataFrame(sorted(IMAGE_SHEETS[subject, year].items()), "q_num int, answer string")
+
+
 def passages(texts: DataFrame) -> DataFrame:
     """doc, q_from, q_to, segment: the text after each [N~M] header up to the next; headers from 35 on and repeated ranges are left out."""
     parts = F.split(F.regexp_replace("text", f"(?U)(?={HEADER})", CUT), CUT)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions import literals, prompts, text
+from paperloom.functions import fixed, literals, prompts, text
 from paperloom.operators import answers, bm25, context, corpus, exam_text, hybrid, labeling, metrics, models, sampling, vectors
 from paperloom.sources import files
 
@@ -157,7 +157,7 @@ def hybrid_topk(spark, sf_dir):
 
 
 RAG_SQL = f"""{BM25_CTES}, {VEC_CTES}, {HY_CTES},
-ctx AS (SELECT qid, '다음은 문제와 관련된 참고 문서 3개입니다.' || chr(10) || chr(10) || string_agg('#### ' || rn || '. ' || source || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS documents
+ctx AS (SELECT qid, '{fixed.CONTEXT_PREFACE}' || string_agg('#### ' || rn || '. ' || source || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS documents
         FROM (SELECT hy.*, d.source, d.text, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rn FROM hy JOIN documents d USING (doc_id)) GROUP BY qid)"""
 
 

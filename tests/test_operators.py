@@ -322,3 +322,13 @@ def test_hot_paths_stay_in_the_jvm(spark):
     for name in ("bm25_topk", "hard_vote", "macro_f1", "choice_shuffle", "domain_detect"):
         plan = q.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan, name
+
+
+# ---------------------------------------------------------------- fixed texts
+
+def test_domains_and_gates(spark):
+    row = spark.createDataFrame([("고려와 조선", "금리?", None, ["a"])], "p string, q string, x string, c array<string>")
+    first, second = prompts.gate_prompts(F.col("p"), F.col("q"), F.col("c"))
+    got = row.select(text.detect_domain(F.col("p"), F.col("q"), F.col("x")), first, second).first()
+    assert got[0] == "한국사" and "1. a" in got[1] and "고려와 조선" in got[2]
+    assert exam_text.image_sheet(spark, "한국사", 2025).filter("q_num = 20").first()["answer"] == "1"
