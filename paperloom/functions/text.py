@@ -89,6 +89,12 @@ def choice_at(choices: Column, answer: Column) -> Column:
     return F.when(answer >= 1, F.get(choices, (answer - 1).cast("int")))
 
 
+def full_question(question: Column, question_plus: Column) -> Column:
+    """A question with what belongs to it, on a line of its own."""
+    plus = F.coalesce(question_plus, F.lit(""))
+    return F.when(plus != "", F.concat(question, F.lit("\n"), plus)).otherwise(question)
+
+
 def unfenced(text: Column) -> Column:
     """A model's answer without the code fence around it."""
     inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)

@@ -56,3 +56,30 @@ def within_tokens(rows: DataFrame, ids: str, most: int, before_truncation: bool
     if before_truncation:
         return rows.filter(F.size(ids) <= most)
     return rows.withColumn(ids, F.slice(ids, 1, most))
+
+
+def generated(rows: DataFrame, client: Callable[[], Callable[[str], str]], prompt: str = "prompt", tries: int = 3, wait: float = 2.0) -> DataFrame:
+    """rows with output and error: a client's text for each prompt, asked again up to tries times; client() is called once a task."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("output", T.StringType()), T.StructField("error", T.StringType())])
+
+    def ask(call: Callable[[str], str], text: str) -> tuple[str | None, str | None]:
+        import time
+
+        for k in range(tries):
+            try:
+                return call(text), None
+            except Exception as e:  # noqa: BLE001  a remote service may raise anything
+                error = str(e)
+                if k + 1 < tries:
+                    time.sleep(wait)
+        return None, error
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = client()
+        for frame in frames:
+            found = [ask(call, x) for x in frame[prompt]]
+            yield frame.assign(output=[x[0] for x in found], error=[x[1] for x in found])
+
+    return rows.mapInPandas(run, schema)

@@ -332,3 +332,52 @@ def test_domains_and_gates(spark):
     got = row.select(text.detect_domain(F.col("p"), F.col("q"), F.col("x")), first, second).first()
     assert got[0] == "한국사" and "1. a" in got[1] and "고려와 조선" in got[2]
     assert exam_text.image_sheet(spark, "한국사", 2025).filter("q_num = 20").first()["answer"] == "1"
+
+
+# ---------------------------------------------------------------- life of an exam table
+
+def raw_exams(spark, n=10):
+    rows = [(f"{i:02}", f"passage {i}", json.dumps({"question": "q", "choices": ["a", "b"], "answer": i % 2 + 1}), None) for i in range(n)]
+    return spark.createDataFrame(rows, schemas.EXAM_RAW)
+
+
+def test_inference_and_evaluation(spark):
+    from paperloom.plans import exam
+
+    corpus_rows = [("d1", None, "T", [], None, '{"k": "v"}', "passage 3"), ("d2", None, None, [], None, None, "other")]
+    docs = spark.createDataFrame(corpus_rows, schemas.CORPUS)
+    first = lambda m: F.array(F.lit(0.5), F.lit(0.5))
+    by_document = lambda m: F.when(m[1]["content"].contains("#### 1. T"), F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0)))
+    gates = (lambda p: F.when(p.contains("passage 3"), "A").otherwise("B"), lambda p: F.lit("A"))
+    assert {r.answer for r in exam.inference(raw_exams(spark), first, exam.Settings()).collect()} == {1}
+    got = {r.id: r.answer for r in exam.inference(raw_exams(spark), by_document, exam.Settings(retrieve=True), docs, gates).collect()}
+    assert [i for i, a in got.items() if a == 2] == ["03"] and len(got) == 10
+    rows, scores = exam.evaluation(raw_exams(spark), first, exam.Settings())
+    assert rows.count() == 2 and 0 <= scores.first()["accuracy"] <= 1
+
+
+def test_generated_tries_again(spark):
+    def client():
+        seen = []
+
+        def call(text):
+            seen.append(text)
+            if text == "bad" or (text == "late" and seen.count("late") < 2):
+                raise RuntimeError("no")
+            return text.upper()
+
+        return call
+
+    rows = spark.createDataFrame([("ok",), ("late",), ("bad",)], "prompt string").coalesce(1)
+    assert {r.prompt: (r.output, r.error) for r in models.generated(rows, client, wait=0).collect()} == {"ok": ("OK", None), "late": ("LATE", None), "bad": (None, "no")}
+
+
+def test_registry():
+    from paperloom.registry import Registry
+
+    parts = Registry("part")
+    parts.register("a")(1)
+    assert parts.get("a") == 1 and parts.names() == ["a"]
+    for bad in (lambda: parts.get("b"), lambda: parts.register("a")(2)):
+        with pytest.raises(KeyError):
+            bad()
