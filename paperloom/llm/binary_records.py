@@ -43,7 +43,7 @@ HEAD, HEAD_SIZE, LENGTH, CHECK = "<Bqb", 10, "<Q", "<I"
 #: Bytes of text for one file. Tokens take about 1.3 times a text's bytes at worst in common text.
 SHARD_TEXT_BYTES = 16 << 20
 #: Words remembered in a worker, in each of two generations, and the longest that is.
-MEMO_WORDS, MEMO_BYTES = 250_000, 64
+MEMO_WORDS, MEMO_BYTES = 400_000, 64
 #: Marks that are a piece of their own after a letter, and the bytes of characters below U+0300.
 MARKS, BELOW_MARKS = (b".", b",", b";", b":", b"!", b"?"), bytes(range(0xCC))
 
