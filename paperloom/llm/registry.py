@@ -100,4 +100,18 @@ SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, h AS payload_digest,
 FROM p LEFT JOIN m USING (b)
 """
 
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op3_warc": OP3_SQL}
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) >= 4 THEN ws[p:p + 3] ELSE ws END, ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS p FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * k >= 80 * (i.n + j.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN m ON m.x = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op3_warc": OP3_SQL, "op5_minhash": OP5_SQL}
