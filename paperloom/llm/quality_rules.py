@@ -95,47 +95,41 @@ def with_rules(stats: DataFrame) -> DataFrame:
     )
 
 
-def shrunk(hosts: DataFrame, fails: str, out: str) -> DataFrame:
-    """Adds out, the host's failure rate under the beta prior, and out_mean, the prior's mean.
+def prior(rate: float, square: float, hosts_share: float) -> float:
+    """The weight in documents of a beta prior with the mean rate, fitted by moments.
 
-    The prior is fitted by moments: the variance between hosts is what exceeds the binomial variance.
-    Where nothing exceeds it, the prior's weight is 10**6 documents, so every host gets the mean.
+    square: the mean over documents of their host's squared rate; hosts_share: hosts by documents. What the
+    variance between hosts exceeds that of sampling alone decides. Where nothing exceeds it, the weight is
+    10**6 documents, so every host gets the mean.
     """
-    sums = hosts.agg(
-        F.sum(fails).alias("k"), F.sum("n_docs").alias("n"), F.count("*").alias("h"),
-        F.sum(F.col(fails).cast("double") * F.col(fails) / F.col("n_docs")).alias("q"),
-    )
-    mean = F.col("k") / F.col("n")
-    within = mean * (1 - mean)
-    # the weighted variance of host rates, less what sampling alone gives
-    between = F.col("q") / F.col("n") - mean * mean - within * F.col("h") / F.col("n")
-    prior = sums.select(
-        mean.alias(f"{out}_mean"),
-        F.when(between > 1e-9, F.least(F.lit(1e6), F.greatest(F.lit(1.0), within / between - 1))).otherwise(F.lit(1e6)).alias("_weight"),
-    )
-    return (
-        hosts.crossJoin(F.broadcast(prior))  # one row
-        .withColumn(out, (F.col(fails) + F.col(f"{out}_mean") * F.col("_weight")) / (F.col("n_docs") + F.col("_weight")))
-        .drop("_weight")
-    )
-
-
-def host_verdicts(rules: DataFrame, block_rate: float = BLOCK_RATE, trust_ratio: float = TRUST_RATIO) -> DataFrame:
-    """One row per host: host, n_docs, the shrunk rates and verdict."""
-    hosts = rules.groupBy("host").agg(
-        F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("hard_fails"), F.sum((F.col("n_soft") > 0).cast("long")).alias("soft_fails")
-    )
-    hosts = shrunk(shrunk(hosts, "hard_fails", "hard_rate"), "soft_fails", "soft_rate")
-    return hosts.withColumn(
-        "host_verdict",
-        F.when(F.col("hard_rate") >= block_rate, "blocked").when(F.col("soft_rate") <= trust_ratio * F.col("soft_rate_mean"), "trusted").otherwise("normal"),
+    within = rate * (1 - rate)
+    between = square - rate * rate - within * hosts_share
+    return min(1e6, max(1.0, within / between - 1)) if between > 1e-9 else 1e6
+
+
+def host_verdicts(rules: DataFrame, path: str, block_rate: float = BLOCK_RATE, trust_ratio: float = TRUST_RATIO) -> DataFrame:
+    """One row per host: host, n_docs, the shrunk rates hard_rate and soft_rate, and host_verdict. The counts are stored at path, the prior's sums are one row."""
+    hosts = stored(
+        rules.groupBy("host").agg(
+            F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("hard_fails"), F.sum((F.col("n_soft") > 0).cast("long")).alias("soft_fails")
+        ),
+        f"{path}/counts",
     )
+    square = lambda c: F.sum(F.col(c).cast("double") * F.col(c) / F.col("n_docs"))
+    n, h, hard, soft, hard_q, soft_q = hosts.agg(F.sum("n_docs"), F.count("*"), F.sum("hard_fails"), F.sum("soft_fails"), square("hard_fails"), square("soft_fails")).first()
+    n = n or 1  # no hosts at all
+    means = {"hard": (hard or 0) / n, "soft": (soft or 0) / n}
+    for name, q in (("hard", hard_q), ("soft", soft_q)):
+        weight = prior(means[name], (q or 0.0) / n, h / n)
+        hosts = hosts.withColumn(f"{name}_rate", (F.col(f"{name}_fails") + F.lit(means[name] * weight)) / (F.col("n_docs") + F.lit(weight)))
+    verdict = F.when(F.col("hard_rate") >= block_rate, "blocked").when(F.col("soft_rate") <= trust_ratio * means["soft"], "trusted").otherwise("normal")
+    return stored(hosts.withColumn("host_verdict", verdict), f"{path}/hosts")
 
 
 def judge(rules: DataFrame, hosts: DataFrame) -> DataFrame:
     """rules with host_verdict and kept. Only hosts are grouped, never their documents.
 
-    hosts must be a stored table: it is counted here, and sent to all tasks only up to BROADCAST_HOSTS
+    hosts is a stored table: it is counted here, and sent to all tasks only up to BROADCAST_HOSTS
     rows. Beyond that it's a shuffled join, whose hot hosts adaptive execution splits.
     """
     side = hosts.select("host", "host_verdict")
@@ -160,7 +154,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = work_dir(spark, "quality")
     rules = with_rules(stored(document_stats(hosted(docs), ["doc_id", "host"]), f"{path}/stats"))
-    return judge(rules, stored(host_verdicts(rules), f"{path}/hosts"))
+    return judge(rules, host_verdicts(rules, path))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -171,7 +165,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     path = work_dir(spark, "quality")
-    hosts = stored(host_verdicts(with_rules(document_stats(hosted(docs.select("text", "source")), ["host"]))), f"{path}/hosts")
+    hosts = host_verdicts(with_rules(document_stats(hosted(docs.select("text", "source")), ["host"])), path)
     names = docs.columns
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", "source")
     rules = with_rules(document_stats(hosted(own), ["row", "host"]))
