@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperloom.llm import binary_records, bpe, decontaminate, language_id, minhash, pii, quality_rules, rule_ensemble, transcripts, warc
 
@@ -31,7 +32,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived input: conversations are written as transcripts without roles; see transcripts.as_transcripts."""
-    return transcripts.recovered_turns(table(spark, sf_dir, "conversations"))
+    turns = transcripts.recovered_turns(table(spark, sf_dir, "conversations"))
+    return turns.select(F.col("conv").try_cast("long").alias("conv_id"), "turn", "line", "role", "n_lines", "rendered")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
