@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import bound_batches, decoded, stored, work_dir
@@ -277,19 +277,28 @@ def parse(transcripts: DataFrame, model: Model, block_turns: int = BLOCK_TURNS)
 
     turns = cut.select("conv", "block", "turn", "raw", "before", "after").mapInArrow(run, TURNS)
     if ends is not None:
-        turns = mended(stored(turns, f"{path}/turns"))
+        turns = mended(stored(turns, f"{path}/turns"), block_turns)
     rendered = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.col("text"), F.lit("<|im_end|>"))
     return turns.select("conv", "turn", "line", "role", "n_lines", "text", rendered.alias("rendered"))
 
 
-def mended(turns: DataFrame) -> DataFrame:
-    """Pieces that begin in an earlier block are added to the turn they belong to."""
-    starts = turns.filter("turn is not null").groupBy("conv", "block").agg(F.max(F.struct("turn", "line")).alias("last"))
+def last_before(starts: DataFrame, block_turns: int) -> DataFrame:
+    """conv, block and last, the greatest of starts(conv, block, last) in the conversation's earlier blocks; level by level, as the borders are."""
+    up = F.floor(F.col("block") / block_turns).cast("long")
+    earlier = Window.partitionBy("conv", "above").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    own = starts.withColumn("above", up).withColumn("here", F.max("last").over(earlier))
+    if not (starts.agg(F.max("block")).first()[0] or 0) >= block_turns:
+        return own.select("conv", "block", F.col("here").alias("last"))
+    above = starts.groupBy("conv", up.alias("block")).agg(F.max("last").alias("last"))
+    outer = last_before(above, block_turns).select("conv", F.col("block").alias("above"), F.col("last").alias("outer"))
+    return own.join(outer, ["conv", "above"]).select("conv", "block", F.coalesce("here", "outer").alias("last"))
+
+
+def mended(turns: DataFrame, block_turns: int) -> DataFrame:
+    """Pieces that begin in an earlier block are added to the turn they belong to. turns is a stored table."""
+    starts = turns.groupBy("conv", "block").agg(F.max(F.when(F.col("turn").isNotNull(), F.struct("turn", "line"))).alias("last"))
     pieces = turns.filter("turn is null")
-    # the last start before the piece: of the starts of each conversation that has such pieces, one row a block
-    found = (
-        pieces.select("conv", "block").join(starts.select("conv", F.col("block").alias("b"), "last"), "conv").filter("b < block").groupBy("conv", "block").agg(F.max("last").alias("last"))
-    )
+    found = last_before(starts, block_turns)
     moved = pieces.join(found, ["conv", "block"]).select("conv", "block", F.col("last.turn").alias("turn"), F.col("last.line").alias("line"), "role", "n_lines", "text")
     split = moved.select("conv", "turn", "line").distinct()
     whole = turns.filter("turn is not null")
