@@ -94,6 +94,7 @@ class WordTokenizer:
         self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []  # learned in this batch, and forgotten after it
         self.marks = {m: self.whole([m])[0] for m in MARKS}
 
     def whole(self, words: list[bytes]) -> list[bytes]:
@@ -117,6 +118,7 @@ class WordTokenizer:
 
     def learn(self, words: set[bytes]) -> None:
         memo, older = self.memo, self.older
+        self.long += [w for w in words if len(w) > MEMO_BYTES]
         old = {w for w in words if w in older}
         memo.update((w, older[w]) for w in old)
         marked, plain, other = [], set(), []
@@ -129,6 +131,7 @@ class WordTokenizer:
             else:
                 other.append(w)
         stems = {w[:-1] for w in marked}
+        self.long += [w for w in stems if len(w) > MEMO_BYTES]
         memo.update((w, older[w]) for w in stems if w in older and w not in memo)
         letters = list((plain | stems).difference(memo))
         memo.update(zip(letters, self.letters(letters), strict=True))
@@ -144,9 +147,9 @@ class WordTokenizer:
         for words in split:
             self.learn(set(words).difference(self.memo))
             out.append(b"".join(map(self.memo.__getitem__, words)))
-        for words in split:
-            for w in {w for w in words if len(w) > MEMO_BYTES}:
-                self.memo.pop(w, None)
+        for w in self.long:
+            self.memo.pop(w, None)
+        self.long.clear()
         return out
 
 
