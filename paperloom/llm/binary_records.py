@@ -77,7 +77,8 @@ class WordTokenizer:
 
     Each different word is encoded once and remembered. Before that, ASCII letters are lower-cased, as the
     tokenizer does itself, where no combining mark can follow them (no character from U+0300 on) and no
-    special token is spelt. Letters alone are one piece, and a lone mark after them is one of its own.
+    special token is spelt. Letters alone are one piece, and a lone mark after them is one of its own, unless
+    the last letter ends in a combining mark once it is in normal form and lower case: ``apart`` asks the model.
     """
 
     def __init__(self, path: str):
@@ -96,12 +97,22 @@ class WordTokenizer:
         self.older: dict[bytes, bytes] = {}
         self.long: list[bytes] = []  # learned in this batch, and forgotten after it
         self.marks = {m: self.whole([m])[0] for m in MARKS}
+        self.after: dict[str, bool] = {}
 
     def whole(self, words: list[bytes]) -> list[bytes]:
         """The token bytes of words, each encoded by itself."""
         found = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
+    def apart(self, letter: str) -> bool:
+        """Whether each mark after this letter is a piece of its own."""
+        found = self.after.get(letter)
+        if found is None:
+            raw = letter.encode()
+            alone, *both = self.whole([raw, *(raw + m for m in MARKS)])
+            found = self.after[letter] = both == [alone + self.marks[m] for m in MARKS]
+        return found
+
     def letters(self, words: list[bytes]) -> list[bytes]:
         """The token bytes of words of letters alone: encoded as one text and parted after each piece."""
         out: list[bytes] = []
@@ -126,7 +137,7 @@ class WordTokenizer:
             text = w.decode("utf-8", "replace")
             if text.isalpha():
                 plain.add(w)
-            elif w[-1:] in self.marks and text[:-1].isalpha():
+            elif w[-1:] in self.marks and text[:-1].isalpha() and self.apart(text[-2]):
                 marked.append(w)
             else:
                 other.append(w)

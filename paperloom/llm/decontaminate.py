@@ -5,8 +5,10 @@ any word. Hashes of the test items' seeds meet those of the documents' seeds; ea
 an item and a document, and around it the words are compared one by one. The alignment counts if some
 stretch of at least ``min(MIN_WORDS, words of the item)`` words has ``PERCENT`` percent or more equal words.
 
-Every two substitutions in 15 words leave one of MASKS unbroken (a test proves it). Items shorter than a
-mask are found whole, all words equal. Words are runs of letters, digits and non-ASCII characters in lower case.
+No such stretch of MIN_WORDS words or more is missed. Every pattern of 13 to 25 words with a fifth of them
+substituted leaves one of MASKS unbroken (a test goes through all), and a longer stretch has a half, of 13
+words or more, that has as large a share of equal words. Shorter items are found whole in the same way, by
+SHORT_MASKS: with one other word from five words on, with two from ten on. Words are runs of letters, digits and non-ASCII characters in lower case.
 
 Test items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is sent to all tasks is bounded
 (about 50 bytes a word); the documents are read once for each block, and never shuffled.
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import bound_batches, decoded, text_bytes, unused, work_dir
 
 #: Masks of weight 6.
-MASKS = ("111111", "11011011", "1110010111", "11010001011", "101101001101")
+MASKS = ("1101111", "111010011", "11100100011")
+#: For items of 5 to 12 words. Masks of weight 4.
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
 MIN_WORDS, PERCENT = 13, 80
 BLOCK_WORDS = 500_000
 #: Bits of the table that most document seeds fail at.
@@ -58,8 +62,10 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_of(n: int) -> tuple[str, ...]:
-    """The masks for an item of n words; a shorter item is one seed."""
-    return MASKS if n >= max(map(len, MASKS)) else (*[m for m in MASKS if len(m) <= n], "1" * n) if n else ()
+    """The masks for an item of n words; one that may have no other word is one seed."""
+    if 100 * (n - 1) < PERCENT * n:
+        return ("1" * n,) if n else ()
+    return MASKS if n >= MIN_WORDS else SHORT_MASKS
 
 
 class Index:
@@ -104,6 +110,8 @@ class Index:
             own = self.words[item]
             start, end = max(0, -shift), min(len(own), len(words) - shift)
             equal = own[start:end] == words[shift + start : shift + end]
+            if 100 * np.count_nonzero(equal) < PERCENT * min(MIN_WORDS, len(own)):
+                continue
             stretch = longest_stretch(equal)
             if stretch and stretch[1] - stretch[0] >= min(MIN_WORDS, len(own)):
                 a, b = stretch

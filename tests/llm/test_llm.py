@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from pathlib import Path
 
@@ -326,6 +327,16 @@ def test_records_equal_the_library(spark, documents):
     assert len({r.shard for r in got.values()}) > 2
 
 
+def test_marks_after_letters():
+    """Every letter outside the large blocks of Han and Hangul before every mark; some end in a combining mark in normal form."""
+    letters = [chr(c) for c in range(0x20000) if chr(c).isalpha() and not 0x3400 <= c < 0xD800]
+    assert sum(not unicodedata.normalize("NFC", c).lower()[-1].isalpha() for c in letters) == 60
+    texts = ["SİTESİ.", "হয়,", *(f"xA{c}{m.decode()}" for c in letters for m in binary_records.MARKS)]
+    got = binary_records.WordTokenizer(WORD_BPE).encode([x.encode() for x in texts])
+    want = Tokenizer.from_file(WORD_BPE).encode_batch(texts, add_special_tokens=False)
+    assert [x for x, g, w in zip(texts, got, want, strict=True) if np.frombuffer(g, "<u2").tolist() != w.ids] == []
+
+
 def test_damaged_frame():
     data = bytearray(binary_records.frame(b"payload") + b"\n")
     assert bytes(binary_records.read_frame(memoryview(data), 0)[0]) == b"payload"
