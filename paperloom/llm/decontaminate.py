@@ -7,8 +7,8 @@ stretch of at least ``min(MIN_WORDS, words of the item)`` words has ``PERCENT``
 
 No such stretch of MIN_WORDS words or more is missed. Every pattern of 13 to 25 words with a fifth of them
 substituted leaves one of MASKS unbroken (a test goes through all), and a longer stretch has a half, of 13
-words or more, that has as large a share of equal words. Shorter items are found whole in the same way, by
-SHORT_MASKS: with one other word from five words on, with two from ten on. Words are runs of letters, digits and non-ASCII characters in lower case.
+words or more, that has as large a share of equal words. Of shorter items, copies with all words equal are found,
+and others only where one of SHORT_MASKS fits. Words are runs of letters, digits and non-ASCII characters in lower case.
 
 Test items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is sent to all tasks is bounded
 (about 50 bytes a word); the documents are read once for each block, and never shuffled.
@@ -31,8 +31,7 @@ from paperloom.llm.common import bound_batches, decoded, text_bytes, unused, wor
 
 #: Masks of weight 6.
 MASKS = ("1101111", "111010011", "11100100011")
-#: For items of 5 to 12 words. Masks of weight 4.
-SHORT_MASKS = ("1111", "11011", "10111", "11101")
+SHORT_MASKS = ("111111", "11011011", "1110010111", "11010001011", "101101001101")
 MIN_WORDS, PERCENT = 13, 80
 BLOCK_WORDS = 500_000
 #: Bits of the table that most document seeds fail at.
@@ -62,10 +61,8 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_of(n: int) -> tuple[str, ...]:
-    """The masks for an item of n words; one that may have no other word is one seed."""
-    if 100 * (n - 1) < PERCENT * n:
-        return ("1" * n,) if n else ()
-    return MASKS if n >= MIN_WORDS else SHORT_MASKS
+    """The masks for an item of n words; a short item is one seed more."""
+    return MASKS if n >= MIN_WORDS else (*[m for m in SHORT_MASKS if len(m) <= n], "1" * n) if n else ()
 
 
 class Index:

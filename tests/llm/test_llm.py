@@ -487,6 +487,33 @@ def test_masks_survive_two_substitutions():
         assert hit, pair
 
 
+def broken(masks, n, others):
+    """A pattern of n words with so many others that no mask fits, or None."""
+    from itertools import combinations
+
+    at = [sum(1 << s + k for k, c in enumerate(m) if c == "1") for m in masks for s in range(n - len(m) + 1)]
+    every = (sum(1 << p for p in x) for x in combinations(range(n), others))
+    return next((bin(x) for x in every if all(x & m for m in at)), None)
+
+
+def test_masks_survive_a_fifth_of_substitutions():
+    """A longer stretch has a half of 13 words or more with as large a share of equal words, down to 25 words."""
+    assert decontaminate.MIN_WORDS == 13 and decontaminate.PERCENT == 80
+    assert {n: broken(decontaminate.MASKS, n, n // 5) for n in range(13, 26)} == dict.fromkeys(range(13, 26))
+
+
+def test_copies_with_every_fifth_word_replaced():
+    for n in (13, 15, 20, 25, 40, 200):
+        item = [f"w{k}" for k in range(n)]
+        index = decontaminate.Index([(0, " ".join(item).encode())])
+        for phase in range(5):
+            copy = ["other" if k % 5 == phase else w for k, w in enumerate(item)]
+            if 5 * copy.count("other") <= n:
+                assert index.overlaps(decontaminate.normal_words(" ".join(copy).encode()))[0][0] == n
+    index = decontaminate.Index([(0, b"a b c d e f g h i j k l m")])
+    assert index.overlaps(decontaminate.normal_words(b"a b x d e f g x i j k l m"))[0] == (13, 11, 0)
+
+
 def test_overlaps_equal_brute_force(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
