@@ -502,6 +502,20 @@ def test_masks_survive_a_fifth_of_substitutions():
     assert {n: broken(decontaminate.MASKS, n, n // 5) for n in range(13, 26)} == dict.fromkeys(range(13, 26))
 
 
+def test_short_items_survive_a_fifth_of_substitutions():
+    from itertools import combinations
+
+    for n in range(1, 13):
+        assert broken(decontaminate.masks_of(n), n, n // 5) is None
+        item = [f"w{k}" for k in range(n)]
+        index = decontaminate.Index([(0, " ".join(item).encode())])
+        for gone in combinations(range(n), n // 5):
+            copy = ["a", *["other" if k in gone else w for k, w in enumerate(item)], "b"]
+            assert index.overlaps(decontaminate.normal_words(" ".join(copy).encode())) == {0: (n, n - n // 5, 1)}
+        more = ["other" if k <= n // 5 else w for k, w in enumerate(item)]
+        assert index.overlaps(decontaminate.normal_words(" ".join(more).encode())) == {}
+
+
 def test_copies_with_every_fifth_word_replaced():
     for n in (13, 15, 20, 25, 40, 200):
         item = [f"w{k}" for k in range(n)]
