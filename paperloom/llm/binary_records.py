@@ -233,10 +233,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def write_index(records: DataFrame, path: str) -> DataFrame:
     """Store the offset index of records, with each record's place among all tokens (start), and return it.
 
-    Shards follow each other by name. Only shards are put in order in one task, one row for each file.
+    Shards follow each other by the part number in their name, which Spark pads to five digits only. Only shards are put in order in one task, one row for each file.
     """
     sums = records.groupBy("shard").agg(F.sum("n_tokens").alias("tokens"))
-    first = sums.select("shard", (F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")).alias("first"))
+    part = F.regexp_extract("shard", r"^part-(\d+)", 1).try_cast("long")
+    first = sums.select("shard", (F.sum("tokens").over(Window.orderBy(part, F.length("shard"), "shard")) - F.col("tokens")).alias("first"))
     placed = records.join(first, "shard").withColumn("start", F.col("first") + F.col("before")).drop("first", "before")
     return stored(placed, path)
 

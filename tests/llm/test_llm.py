@@ -327,6 +327,12 @@ def test_records_equal_the_library(spark, documents):
     assert len({r.shard for r in got.values()}) > 2
 
 
+def test_shards_follow_by_number(spark):
+    rows = [(f"part-{k:05d}-x-c000.txt", 0, k + 1) for k in (100_000, 10_001, 10_000, 99_999, 9)]
+    index = binary_records.write_index(spark.createDataFrame(rows, "shard string, before long, n_tokens long"), work_dir(spark, "index"))
+    assert [(r.n_tokens, r.start) for r in index.orderBy("start").collect()] == [(10, 0), (10_001, 10), (10_002, 10_011), (100_000, 20_013), (100_001, 120_013)]
+
+
 def test_marks_after_letters():
     """Every letter outside the large blocks of Han and Hangul before every mark; some end in a combining mark in normal form."""
     letters = [chr(c) for c in range(0x20000) if chr(c).isalpha() and not 0x3400 <= c < 0xD800]
