@@ -42,6 +42,8 @@ MARKER = regex.compile(r"\s*(?:[#*\[<]{0,3})([\p{L}]{1,12})(?:[\]>*]{0,2}):\s?")
 SIZES = (5, 10, 4, 4, 2)
 STATES = 2 * len(ROLES)  # state = 2 * role + (1 on a further line)
 START = STATES
+#: What a block ends in, in training, where its last role is unknown.
+UNKNOWN = -1
 
 
 def features(line: str, blank: bool) -> tuple[tuple[int, ...], int]:
@@ -154,33 +156,54 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
 
 
 def train(labelled: DataFrame) -> Model:
-    """Counts states, moves and features of labelled(conv_id, turn, text, role); the counts' number is fixed."""
+    """Counts states, moves and features of labelled(conv_id, turn, text, role); the counts' number is fixed.
+
+    Each block also gives its first and last state, and moves between blocks are counted from the last state
+    before each block, or START where there is none.
+    """
     bound_batches(labelled.sparkSession)
+    path = work_dir(labelled.sparkSession, "training")
 
     def run(batches):
         counts: dict[tuple[str, int, int], int] = {}
+        ends: list[tuple[str, int, int | None, int | None]] = []
 
         def add(*key) -> None:
             counts[key] = counts.get(key, 0) + 1
 
-        for (_, block), rows in grouped(batches):
-            state = START if block == 0 else None
+        for (conv, block), rows in grouped(batches):
+            state, first, known = None, None, True  # known: no role was unknown since the block's begin
             for _, raw, role in rows:
                 if role not in ROLES:
-                    state = None
+                    state, known = None, False
                     continue
                 for k, (line, blank) in enumerate(lines_of(raw)):
                     now = 2 * ROLES.index(role) + (k > 0)
                     if state is not None:
                         add("move", state, now)
+                    elif known:
+                        first = now
                     for f, v in enumerate(features(line, blank)[0]):
                         add(str(f), now, v)
                     state = now
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts]), *(pa.array([k[i] for k in counts], pa.int64()) for i in (1, 2)), pa.array(list(counts.values()), pa.int64())], names=["t", "i", "j", "n"])
-
-    summed = blocks(labelled, ["role"]).mapInArrow(run, "t string, i long, j long, n long").groupBy("t", "i", "j").agg(F.sum("n").alias("n"))
-    return Model({(r["t"], r["i"], r["j"]): r["n"] for r in summed.collect()})
+            # a block without lines passes the state before it on, one that ends in an unknown role gives UNKNOWN
+            ends.append((conv, block, first, state if state is not None or known else UNKNOWN))
+            if len(ends) == 1000:
+                yield rows_of([(c, b, "end", i, j, 1) for c, b, i, j in ends])
+                ends.clear()
+        found = [(c, b, "end", i, j, 1) for c, b, i, j in ends] + [(None, None, *k, n) for k, n in counts.items()]
+        if found:
+            yield rows_of(found)
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3], strict=True)], names=["conv", "block", "t", "i", "j", "n"])
+
+    found = stored(blocks(labelled, ["role"]).mapInArrow(run, "conv string, block long, t string, i long, j long, n long"), f"{path}/counts")
+    ends = found.filter("t = 'end'")
+    before = last_before(ends.select("conv", "block", F.when(F.col("j").isNotNull(), F.struct("block", F.col("j").alias("state"))).alias("last")), BLOCK_TURNS)
+    between = ends.filter("i is not null").join(before, ["conv", "block"]).select(F.lit("move").alias("t"), F.coalesce("last.state", F.lit(START)).cast("long").alias("i"), F.col("i").alias("j"), "n")
+    every = found.filter("t != 'end'").select("t", "i", "j", "n").unionByName(between.filter(F.col("i") != UNKNOWN))
+    return Model({(r["t"], r["i"], r["j"]): r["n"] for r in every.groupBy("t", "i", "j").agg(F.sum("n").alias("n")).collect()})
 
 
 PASSAGE = "conv string, block long, passage array<double>"

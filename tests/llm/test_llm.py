@@ -209,6 +209,22 @@ def test_blocks_give_what_the_whole_gives(spark):
     assert key(transcripts.parse(rows, model)) == key(transcripts.parse(rows, model, block_turns=2))
 
 
+def test_training_counts_moves_between_blocks(spark):
+    """The same conversations learned with turns in one block, over borders, and each turn in a block of its own."""
+    talk = [("system", "Be kind."), ("user", "Hi?"), ("assistant", "Yes.\nNo."), ("user", None), ("user", "And?"), ("odd", "lost"), ("user", "Why?"), ("assistant", "So.")]
+    rows = [(c, t, *x) for c in (1, 2) for t, x in enumerate(talk[c - 1 :] * 2)] + [(3, 0, None, "lost"), (3, 1, "user", "Hi?")]
+
+    def learned(step, first):
+        model = transcripts.train(spark.createDataFrame([(c, first + step * t, role, text) for c, t, role, text in rows], "conv_id long, turn long, role string, text string"))
+        return np.vstack([model.moves, *[x.T for x in model.seen]])
+
+    want = learned(1, 0)
+    for step, first in ((1, 60), (7, 0), (100, 1_700_000_000)):
+        assert np.array_equal(learned(step, first), want)
+    moves = np.exp(transcripts.train(spark.createDataFrame([(1, 99, "user", "Hi?"), (1, 700, "assistant", "Yes.")], "conv_id long, turn long, role string, text string")).moves)
+    assert moves[transcripts.START].argmax() == 2 and moves[2].argmax() == 4
+
+
 def test_roles_recovered(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     got = transcripts.recovered_turns(rows).filter("line = 0").select(F.col("conv").cast("long").alias("conv_id"), "turn", F.col("role").alias("found"))
