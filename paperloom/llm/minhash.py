@@ -6,12 +6,16 @@
 3. Nodes that share a band are candidates. In a bucket, each member is compared with one centre, the node
    that meets the most others over all its buckets: for copies of one text that is the text or what is
    nearest to it, so nearly all links are found with as many pairs as members. Linked nodes become
-   components. Of buckets that then still hold several components, all pairs between components are looked
-   at, each in the first band that it shares.
+   components. Of buckets that then still hold several components, small ones (up to SMALL_BUCKET members) have
+   all pairs between components looked at, each in the first band that it shares. The nodes of larger ones are joined
+   by prefixes of their sets, rarest shingles first, with bounds on sizes and places: see ``prefix_pairs``. This
+   loses no pair that reaches the similarity, and pairs that have only common shingles in common, such as pages of one
+   template, are never made.
 4. A pair is compared by size, then by the similarity that the signatures' equal bits give, corrected for
    chance collisions, and at last by the full sets: 100 * intersection >= percent * union.
 
-So each candidate pair is either compared or already inside one component, and none is made within a component.
+So each pair that could be similar enough is either compared or already inside one component, and none is made within
+a component. What remains can be many only where many pairs come close to the similarity by rare shingles too.
 A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-6; the
 estimate of such a pair, which deviates by 0.0217, falls under ESTIMATE with probability below 3e-6.
 
@@ -40,6 +44,12 @@ LONGS = -(-HASHES // LANES)
 #: Pairs whose estimated similarity is lower are not compared on full sets.
 ESTIMATE = 0.7
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Buckets of so many members have all pairs between components looked at, 8 a member at most; larger ones go by prefixes.
+SMALL_BUCKET = 16
+#: Parts that a large component is dealt in.
+SALTS = 16
+#: Classes of size for each factor of e.
+SIZE_CLASSES = 32
 #: Shingles whose minima are taken at a time, to stay in the processor's cache.
 CHUNK = 1 << 16
 
@@ -148,20 +158,25 @@ def plausible(percent: int):
     return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate("sig_a", "sig_b") >= ESTIMATE)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, path: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Only texts of nodes in pairs are fetched."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "digest", "doc_min"), "node")
+def node_texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int, path: str) -> DataFrame:
+    """node and text of the nodes in wanted(node), each once."""
+    wanted = wanted.distinct().join(nodes.select("node", "digest", "doc_min"), "node")
     rows = docs.select(F.col("doc_id").alias("_id"), text_bytes()).join(wanted, F.col("_id").eqNullSafe(F.col("doc_min"))).select("node", "digest", "text")
-    bound_batches(docs.sparkSession)
 
     def own(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Of several texts under one id, the node's own."""
         same = [xxhash.xxh3_128_digest(shingle_set(x, shingle).tobytes()) == d for x, d in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        return batch.filter(pa.array(same)).select(["node", "text"])
+        return batch.filter(pa.array(same, pa.bool_())).select(["node", "text"])
 
     texts = stored(map_batches(rows, own, "node long, text binary"), f"{path}/texts")
-    if texts.count() > nodes.select("node").join(wanted.select("node"), "node", "left_semi").count():  # repeated rows
+    if texts.count() > wanted.count():  # repeated rows
         texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")), f"{path}/texts-once")
+    return texts
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, path: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. Only texts of nodes in pairs are fetched."""
+    texts = node_texts(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), shingle, path)
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def compare(batches):
@@ -193,21 +208,83 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int,
     links = stored(confirmed(tried, docs, nodes, shingle, percent, f"{path}/confirm-0"), f"{path}/links-0")
     labels = stored(components(links, f"{path}/components-0", local_links), f"{path}/labels-0")
 
-    named = members.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    left = named.join(several, "key").join(nodes.select("node", F.col("n_shingles").alias("n"), "sig", "bands"), "node")
-    left = stored(left, f"{path}/left")
-    x, y = (left.select("key", F.col("band"), *[F.col(c).alias(f"{c}_{end}") for c in ("node", "label", "n", "sig", "bands")]) for end in "ab")
-    first_band = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), True) - 1
-    between = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & plausible(percent) & (first_band == x["band"])
-    rest = x.join(y, (x["key"] == y["key"]) & between).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), f"{path}/pairs-1")
+    rest = stored(between_components(docs, members, labels, nodes, shingle, percent, path).join(tried, ["a", "b"], "left_anti"), f"{path}/pairs-1")
     more = confirmed(rest, docs, nodes, shingle, percent, f"{path}/confirm-1")
     return components(stored(links.union(more), f"{path}/links-1"), f"{path}/components-1", local_links)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, local_links: int = LOCAL_LINKS) -> DataFrame:
-    """doc_id, text_key (a hash of the text), n_shingles, digest, component_id and kept for each row of docs(doc_id, text)."""
+def between_components(docs: DataFrame, members: DataFrame, labels: DataFrame, nodes: DataFrame, shingle: int, percent: int, path: str) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, lie in different components and may be similar enough; all that are."""
+    named = members.select("key", "band", "node", "c").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    left = stored(named.join(several, "key"), f"{path}/left")
+    own = lambda end, extra=(): nodes.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in extra])
+
+    few = left.filter(F.col("c") <= SMALL_BUCKET).select("key", "band", "node", "label")
+    x, y = (few.select("key", "band", F.col("node").alias(end), F.col("label").alias(f"label_{end}")) for end in "ab")
+    near = x.join(y.drop("band"), "key").filter("a < b and label_a != label_b").join(own("a", ["bands"]), "a").join(own("b", ["bands"]), "b")
+    first_band = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), True) - 1
+    near = near.filter(plausible(percent) & (first_band == F.col("band"))).select("a", "b")
+
+    crowd = stored(left.filter(F.col("c") > SMALL_BUCKET).select("node", "label").distinct(), f"{path}/crowd")
+    if crowd.limit(1).count():
+        far = prefix_pairs(shingles_of(docs, nodes, crowd, shingle, path), percent, path)
+        near = near.union(far.join(own("a"), "a").join(own("b"), "b").filter(plausible(percent)).select("a", "b"))
+    return near.distinct()
+
+
+def shingles_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int, path: str) -> DataFrame:
+    """node, label, n and shingles (hashes) of the nodes in wanted(node, label)."""
+    texts = node_texts(docs, nodes, wanted.select("node"), shingle, f"{path}/crowd-texts")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(x, shingle).view(np.int64) for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "shingles"])
+
+    return stored(map_batches(texts, run, "node long, n long, shingles array<long>").join(wanted, "node"), f"{path}/crowd-shingles")
+
+
+def prefix_pairs(sets: DataFrame, percent: int, path: str) -> DataFrame:
+    """Pairs (a, b) of sets(node, label, n, shingles), a stored table, that differ in label and may reach the similarity.
+
+    Shingles are ordered: first those of one label only, then the rarest. Two sets that have overlap o in
+    common have the first common shingle at places i and j with n - i >= o on both sides, and o is at least
+    percent / (100 + percent) of both sizes' sum. So only the first places of each set are looked up, the
+    larger set looks for the smaller one, and classes of size bound its places before the join. Shingles
+    of one label are never looked up, and for each key the label with the most sets never meets itself, so what
+    the join goes through is of the order of what it gives.
+    """
+    p, q = percent, 100 + percent
+    flat = sets.select(F.explode("shingles").alias("s"), "node", "label")
+    shared = flat.groupBy("s").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("s", "df")
+    found = flat.select("s", "node").join(stored(shared, f"{path}/shared"), "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("held"))  # one text's shingles
+    places = found.join(sets.select("node", "label", "n"), "node").withColumn("alone", F.col("n") - F.size("held"))
+    reach = F.greatest(F.lit(0), F.col("n") - F.ceil(p * F.col("n") / 100) + 1 - F.col("alone")).cast("int")
+    posted = places.select("node", "label", "n", "alone", F.posexplode(F.slice("held", 1, reach)).alias("k", "x")).select("node", "label", "n", F.col("x.s").alias("s"), (F.col("alone") + F.col("k")).alias("at"))
+    posted = stored(posted, f"{path}/posted")
+    met = posted.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("s")
+    posted = posted.join(met, "s")
+
+    size_class = lambda n: F.floor(F.log(n.cast("double")) * SIZE_CLASSES).cast("int")
+    least = F.ceil(p * F.col("n") / 100)
+    kept = posted.filter(q * (F.col("n") - F.col("at")) >= 2 * p * F.col("n")).withColumn("size", size_class(F.col("n")))
+    sought = posted.withColumn("size", F.explode(F.sequence(size_class(least), size_class(F.col("n")))))
+    smallest = F.greatest(least, F.floor(F.exp(F.col("size") / SIZE_CLASSES)) - 1)
+    sought = sought.filter(q * (F.col("n") - F.col("at")) >= p * (F.col("n") + smallest))
+    crowds = kept.groupBy("s", "size", "label").agg(F.count("*").alias("sets")).groupBy("s", "size").agg(F.max(F.struct("sets", "label"))["label"].alias("most"))
+    crowds = stored(crowds, f"{path}/crowds")
+    kept = kept.join(crowds, ["s", "size"]).withColumn("side", (F.col("label") == F.col("most")).cast("int"))
+    sought = sought.join(crowds, ["s", "size"]).withColumn("side", F.explode(F.when(F.col("label") == F.col("most"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    x = sought.select("s", "size", "side", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "at")])
+    y = kept.select("s", "size", "side", *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "n", "at")])
+    smaller = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("node_y") < F.col("node_x")))
+    enough = q * F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= p * (F.col("n_x") + F.col("n_y"))
+    pairs = x.join(y, ["s", "size", "side"]).filter((F.col("label_x") != F.col("label_y")) & smaller & enough)
+    return stored(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), f"{path}/prefix-pairs")
+
+
+def classes(docs: DataFrame, shingle: int, percent: int, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """doc_id, text_key, n_shingles, digest, label (a number of the component, null for an empty set) and component_id of each row of docs(doc_id, text)."""
     path = work_dir(docs.sparkSession, "minhash")
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     marked = stored(signatures(docs, shingle), f"{path}/signatures")
@@ -217,29 +294,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, local_
     )
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), f"{path}/nodes")
     labels = stored(linked_nodes(docs, nodes, shingle, percent, path, local_links), f"{path}/labels")
-    named = nodes.select("digest", "doc_min", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.join(named.groupBy("label").agg(F.min("doc_min").alias("component_id")), "label").select("digest", "component_id")
+    named = nodes.select("digest", "doc_min", "node").join(labels, "node", "left")
+    # only linked nodes have a label; of a large component each task sends one row, and salt parts it in the join
+    least = named.filter("label is not null").groupBy("label").agg(F.min("doc_min").alias("component_id"))
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    parts = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = named.filter("label is not null").withColumn("salt", salt).join(parts, ["label", "salt"]).select("digest", "label", "component_id")
+    named = linked.union(named.filter("label is null").select("digest", F.col("node").alias("label"), F.col("doc_min").alias("component_id")))
     found = marked.select("doc_id", "text_key", "n_shingles", "digest").join(named, "digest", "left")
-    own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.withColumn("component_id", own).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        "doc_id", "text_key", "n_shingles", "digest", "component_id", "kept"
-    )
+    return found.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """doc_id, text_key (a hash of the text), n_shingles, digest, component_id and kept for each row of docs(doc_id, text)."""
+    found = classes(docs, shingle, percent, local_links)
+    return found.select("doc_id", "text_key", "n_shingles", "digest", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns; rows equal in id and text stay once.
+    """The rows of docs without near duplicates: one row of each component, with all its columns.
 
-    Rows are found again by id and a hash of the text, as ids may be null or repeated. Rows without an id in
-    a component without any stay.
+    It is the one with the lowest id (null last), then the lowest hash of the text; of repeated rows any one. Rows
+    without words are linked with nothing and all stay. Rows are found again by id and a hash of the text, as ids may be null or repeated.
     """
     path = work_dir(docs.sparkSession, "keep-one")
     names = docs.columns
-    found = stored(near_duplicates(docs.select("doc_id", "text"), shingle, percent), f"{path}/found")
+    found = stored(classes(docs.select("doc_id", "text"), shingle, percent).filter("digest is not null").select("doc_id", "text_key", "label"), f"{path}/found")
     key, id_, hash_ = (unused(docs, c) for c in ("_key", "_id", "_hash"))
-    held = docs.withColumn(key, F.xxhash64("text"))
-    gone = found.filter("not kept").select(F.col("doc_id").alias(id_), F.col("text_key").alias(hash_)).distinct()
+    held = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    first = found.groupBy("label").agg(F.min(rank).alias("best"))
+    others = found.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")  # most rows are alone
+    crowd = stored(found.join(others, "label"), f"{path}/crowd")
+    best = first.select("best.doc_id", "best.text_key")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+    gone = crowd.join(best, same(crowd, best), "left_anti").select(F.col("doc_id").alias(id_), F.col("text_key").alias(hash_)).distinct()
     left = held.join(gone, F.col(id_).eqNullSafe(held["doc_id"]) & (F.col(hash_) == F.col(key)), "left_anti")
-    twice = found.filter("kept and digest is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1")
-    if stored(twice, f"{path}/twice").limit(1).count():
-        left = left.dropDuplicates(["doc_id", key])
+    twice = crowd.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(id_), F.col("text_key").alias(hash_))
+    twice = stored(twice, f"{path}/twice")
+    if twice.limit(1).count():
+        again = lambda how: left.join(twice, F.col(id_).eqNullSafe(left["doc_id"]) & (F.col(hash_) == F.col(key)), how)
+        left = again("left_anti").unionByName(again("left_semi").dropDuplicates(["doc_id", key]))
     return left.select(*[F.col(f"`{c}`") for c in names])

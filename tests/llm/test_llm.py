@@ -297,6 +297,55 @@ def test_near_duplicates_equal_brute_force(spark, size, local_links):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("size", [4, 5])
+def test_prefixes_lose_no_link(spark, size, monkeypatch):
+    """All larger buckets go by prefixes, down to two members, over copies whose changes come from few words."""
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 1)
+    rng = random.Random(11)
+    base = [rng.choice(["of", "the", "and", "a"]) if k % 5 == 0 else f"w{k}" for k in range(60)]
+    rows = near_copies(80)
+    for i in range(150):
+        text = [rng.choice(["of", "the", "and"]) if rng.random() < rng.choice([0.01, 0.04, 0.07]) else w for w in base]
+        rows.append((10**9 + i, " ".join(text[rng.randrange(6) : len(text) - rng.randrange(12)])))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, size)
+
+
+def test_prefix_pairs_hold_all_similar_ones(spark):
+    rng = random.Random(12)
+    sets = []
+    for node in range(300):
+        base = set(range(k := rng.choice([0, 1000]), k + rng.randrange(20, 40)))
+        sets.append((node, rng.choice([node, 1, 2]), sorted((base - set(rng.sample(sorted(base), 2))) | {rng.randrange(60) + k for _ in range(3)})))
+    table = spark.createDataFrame([(i, j, len(x), x) for i, j, x in sets], "node long, label long, n long, shingles array<long>")
+    for percent in (60, 80, 95):
+        got = {(r.a, r.b) for r in minhash.prefix_pairs(table, percent, work_dir(spark, "t")).collect()}
+        want = {(i, j) for i, a, x in sets for j, b, y in sets if i < j and a != b and 100 * len({*x} & {*y}) >= percent * len({*x} | {*y})}
+        assert want and want <= got and all(sets[i][1] != sets[j][1] for i, j in got)
+
+
+def test_boilerplate_makes_no_pairs(spark):
+    """Texts with 26 words in common and 4 of their own: similarity 0.74, all in the same buckets."""
+    common, made = [f"w{k}" for k in range(26)], []
+    for n in (100, 400):
+        rows = [(i, " ".join([*common, *(f"own{i}x{k}" for k in range(4))])) for i in range(n)]
+        path = work_dir(spark, "t")
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        nodes = minhash.signatures(docs, 4).withColumns({"node": F.col("doc_id"), "doc_min": F.col("doc_id")}).select("node", "digest", "doc_min", "n_shingles", "bands", "sig")
+        assert minhash.linked_nodes(docs, minhash.stored(nodes, f"{path}/nodes"), 4, 80, path, 10**6).count() == 0
+        made.append(sum(spark.read.parquet(f"{path}/{t}").count() for t in ("pairs-0", "pairs-1", "prefix-pairs")))
+    assert made[1] <= 4 * made[0]  # four times the texts
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Null ids, one id on several texts, and repeated rows."""
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, text), (None, text + " x"), (None, "alone " * 3), (7, "same id " + text), (7, text.upper()), (9, "one two"), (9, "one two"), (9, "other text"), (None, "é"), (None, "é"), (3, ""), (3, ""), (None, None)]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept if r.text and not r.text.endswith(text) and r.text != text.upper()) == [(0, "alone " * 3), (0, "é"), (9, "one two"), (9, "other text")]
+    assert sum(bool(r.text) and text in r.text.lower() for r in kept) == 1 and sum(not r.text for r in kept) == 3
+
+
 def test_components_by_stars(spark):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
