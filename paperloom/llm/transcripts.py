@@ -6,13 +6,14 @@ line or a further one. Transitions and emissions are counted on conversations wh
 one added to each count. Viterbi finds the likeliest states, and each recovered turn, its marker removed, is
 rendered as ``<|im_start|>role\\ntext<|im_end|>``.
 
-A conversation is cut into blocks of BLOCK_TURNS turn numbers. Each block of a longer one gives the best
+A conversation's rows are numbered by a sort over ranges of (conversation, turn, hash of the text), and cut into
+blocks of BLOCK_ROWS rows, whatever their turn numbers are. Each block of a longer one gives the best
 scores from each state before it to each state at its end, a small matrix; matrices of blocks multiply (in
 max and plus) like those of lines, level by level, and then the states at all borders are read off. So no
-task holds more than a block's text or BLOCK_TURNS matrices, however long a conversation is.
+task holds more than a block's rows or BLOCK_ROWS matrices, however long a conversation is.
 
-Defined cases: rows follow each other by turn, then text; a null turn comes first; rows that repeat in all
-of conversation, turn and text count once; a row without conversation is one of its own; null and blank
+Defined cases: rows follow each other by turn, those of one turn number by a hash of their text; a null turn comes
+first and stays null; repeated rows are each a row; a row without conversation is one of its own; null and blank
 texts have no lines and give no turn; a null or unknown role is not learned from; other columns are ignored.
 """
 
@@ -26,11 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from paperloom.llm.common import bound_batches, decoded, stored, work_dir
 
 ROLES = ("system", "user", "assistant")
-BLOCK_TURNS = 64
+BLOCK_ROWS = 64
 FOLDS = 5
 #: Speaker markers and the class of each.
 MARKERS = {
@@ -131,14 +133,37 @@ def borders(passages: list[np.ndarray], before: int, after: int) -> list[tuple[i
     return out[::-1]
 
 
-def blocks(rows: DataFrame, extra: list[str], block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """conv, block, turn, raw and extra, each block together and in order."""
-    turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("row "), F.xxhash64("turn", "text").cast("string")))
-    once = rows.select(conv.alias("conv"), turn.alias("turn"), F.col("text").cast("string").alias("text"), *extra).distinct()
-    block = F.floor((F.col("turn") + 1) / block_turns).cast("long")
-    dealt = once.withColumn("block", block).repartition("conv", "block")
-    return dealt.sortWithinPartitions("conv", "block", "turn", "text").select("conv", "block", "turn", F.col("text").cast("binary").alias("raw"), *extra)
+def blocks(rows: DataFrame, extra: list[str], path: str, block_rows: int) -> DataFrame:
+    """conv, block, row (its number in the conversation), turn, raw and extra, each block together and in order. Numbered rows are stored at path.
+
+    Rows are sorted by ranges and numbered in each task; only conversations that go on in a further task, one for
+    each task at most, get what the tasks before them counted.
+    """
+    bound_batches(rows.sparkSession)
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+    held = rows.select(conv.alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").cast("binary").alias("raw"), *extra)
+    order = [F.asc("conv"), F.asc_nulls_first("turn"), F.xxhash64("raw")]
+    dealt = held.repartitionByRange(*order).sortWithinPartitions(*order, "raw")
+
+    def number(batches):
+        last, at = None, 0
+        for batch in batches:
+            numbers = []
+            for conv in batch.column(0).to_pylist():
+                last, at = conv, at + 1 if conv == last else 0
+                numbers.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "row"])
+
+    numbered = dealt.mapInArrow(number, StructType([*dealt.schema.fields, StructField("row", LongType())])).withColumn("task", F.spark_partition_id())
+    numbered = stored(numbered, f"{path}/numbered")
+    parts = numbered.groupBy("conv", "task").agg(F.count("*").alias("n"))
+    long_ = parts.groupBy("conv").agg(F.count("*").alias("parts")).filter("parts > 1").select("conv")
+    before = F.sum("n").over(Window.partitionBy("conv").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    before = stored(parts.join(long_, "conv").select("conv", "task", F.coalesce(before, F.lit(0)).alias("earlier")), f"{path}/earlier")
+    # at most two rows for each task
+    placed = numbered.join(F.broadcast(before), ["conv", "task"], "left").withColumn("row", F.col("row") + F.coalesce("earlier", F.lit(0)))
+    cut = placed.withColumn("block", F.floor(F.col("row") / block_rows).cast("long")).select("conv", "block", "row", "turn", "raw", *extra)
+    return cut.repartition("conv", "block").sortWithinPartitions("conv", "block", "row")
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -173,7 +198,7 @@ def train(labelled: DataFrame) -> Model:
 
         for (conv, block), rows in grouped(batches):
             state, first, known = None, None, True  # known: no role was unknown since the block's begin
-            for _, raw, role in rows:
+            for _, _, raw, role in rows:
                 if role not in ROLES:
                     state, known = None, False
                     continue
@@ -198,9 +223,9 @@ def train(labelled: DataFrame) -> Model:
     def rows_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3], strict=True)], names=["conv", "block", "t", "i", "j", "n"])
 
-    found = stored(blocks(labelled, ["role"]).mapInArrow(run, "conv string, block long, t string, i long, j long, n long"), f"{path}/counts")
+    found = stored(blocks(labelled, ["role"], path, BLOCK_ROWS).mapInArrow(run, "conv string, block long, t string, i long, j long, n long"), f"{path}/counts")
     ends = found.filter("t = 'end'")
-    before = last_before(ends.select("conv", "block", F.when(F.col("j").isNotNull(), F.struct("block", F.col("j").alias("state"))).alias("last")), BLOCK_TURNS)
+    before = last_before(ends.select("conv", "block", F.when(F.col("j").isNotNull(), F.struct("block", F.col("j").alias("state"))).alias("last")), BLOCK_ROWS)
     between = ends.filter("i is not null").join(before, ["conv", "block"]).select(F.lit("move").alias("t"), F.coalesce("last.state", F.lit(START)).cast("long").alias("i"), F.col("i").alias("j"), "n")
     every = found.filter("t != 'end'").select("t", "i", "j", "n").unionByName(between.filter(F.col("i") != UNKNOWN))
     return Model({(r["t"], r["i"], r["j"]): r["n"] for r in every.groupBy("t", "i", "j").agg(F.sum("n").alias("n")).collect()})
@@ -214,10 +239,10 @@ def matrix(values) -> np.ndarray:
     return np.asarray(values, float).reshape(STATES + 1, STATES + 1)
 
 
-def all_borders(passages: DataFrame, path: str, block_turns: int, level: int = 0) -> DataFrame:
-    """The states before and after each block of passages(conv, block, passage), in tasks of block_turns blocks at most."""
-    up = F.floor(F.col("block") / block_turns).cast("long").alias("above")
-    if not (passages.agg(F.max("block")).first()[0] or 0) >= block_turns:
+def all_borders(passages: DataFrame, path: str, block_rows: int, level: int = 0) -> DataFrame:
+    """The states before and after each block of passages(conv, block, passage), in tasks of block_rows blocks at most."""
+    up = F.floor(F.col("block") / block_rows).cast("long").alias("above")
+    if not (passages.agg(F.max("block")).first()[0] or 0) >= block_rows:
 
         def whole(p: pd.DataFrame) -> pd.DataFrame:
             p = p.sort_values("block")
@@ -231,10 +256,10 @@ def all_borders(passages: DataFrame, path: str, block_turns: int, level: int = 0
         total = matrix(p["passage"].iloc[0])
         for x in p["passage"].iloc[1:]:
             total = joined(total, matrix(x))
-        return pd.DataFrame({"conv": p["conv"].iloc[:1], "block": p["block"].iloc[:1] // block_turns, "passage": [total.ravel().tolist()]})
+        return pd.DataFrame({"conv": p["conv"].iloc[:1], "block": p["block"].iloc[:1] // block_rows, "passage": [total.ravel().tolist()]})
 
     above = stored(passages.groupBy("conv", up).applyInPandas(lift, PASSAGE), f"{path}/passages-{level + 1}")
-    ends = all_borders(above, path, block_turns, level + 1).select("conv", F.col("block").alias("above"), "before", "after")
+    ends = all_borders(above, path, block_rows, level + 1).select("conv", F.col("block").alias("above"), "before", "after")
 
     def within(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("block")
@@ -244,93 +269,97 @@ def all_borders(passages: DataFrame, path: str, block_turns: int, level: int = 0
     return passages.select("*", up).join(ends, ["conv", "above"]).groupBy("conv", "above").applyInPandas(within, BORDER)
 
 
-TURNS = "conv string, block long, turn long, line long, role string, n_lines long, text string"
+TURNS = "conv string, block long, row long, turn long, line long, role string, n_lines long, text string"
 
 
-def parse(transcripts: DataFrame, model: Model, block_turns: int = BLOCK_TURNS) -> DataFrame:
+def parse(transcripts: DataFrame, model: Model, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per recovered turn of transcripts(conv_id, turn, text): conv, turn and line where it begins, role, n_lines, text and rendered.
 
-    A turn that goes on over a block's border is put together again by the place where it begins.
+    A turn that goes on over a block's border is put together again by the place where it begins, which is one text cell
+    in the end, as a row's text is.
     """
     spark = transcripts.sparkSession
     bound_batches(spark)
     path = work_dir(spark, "transcripts")
     shared = spark.sparkContext.broadcast(model)
-    cut = blocks(transcripts, [], block_turns)
+    cut = stored(blocks(transcripts, [], path, block_rows), f"{path}/blocks")
     long_ = cut.groupBy("conv").agg(F.max("block").alias("top"), F.min("block").alias("low")).filter("top > low").select("conv")
 
     def run_passages(batches):
         for (conv, block), rows in grouped(batches):
-            seen = [features(*x)[0] for _, raw in rows for x in lines_of(raw)]
+            seen = [features(*x)[0] for _, _, raw in rows for x in lines_of(raw)]
             yield pa.RecordBatch.from_arrays([pa.array([conv]), pa.array([block], pa.int64()), pa.array([shared.value.passage(seen).ravel().tolist()])], names=["conv", "block", "passage"])
 
     many = stored(long_, f"{path}/long")
     ends = None
     if many.limit(1).count():  # most conversations are one block
-        kept = cut.join(many, "conv", "left_semi").repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "raw")
+        kept = cut.join(many, "conv", "left_semi").repartition("conv", "block").sortWithinPartitions("conv", "block", "row")
         passages = stored(kept.mapInArrow(run_passages, PASSAGE), f"{path}/passages-0")
-        ends = stored(all_borders(passages, path, block_turns), f"{path}/borders")
-        cut = cut.join(ends, ["conv", "block"], "left").repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "raw")
+        ends = stored(all_borders(passages, path, block_rows), f"{path}/borders")
+        cut = cut.join(ends, ["conv", "block"], "left")
     else:
         cut = cut.withColumns({"before": F.lit(None).cast("int"), "after": F.lit(None).cast("int")})
+    cut = cut.repartition("conv", "block").sortWithinPartitions("conv", "block", "row")
 
     def run(batches):
         for (conv, block), rows in grouped(batches):
-            before, after = rows[0][2:]
+            before, after = rows[0][3:]
             places, seen, bodies = [], [], []
-            for turn, raw, _, _ in rows:
+            for row, turn, raw, _, _ in rows:
                 for k, (line, blank) in enumerate(lines_of(raw)):
                     found, size = features(line, blank)
-                    places.append((turn, k))
+                    places.append((row, turn, k))
                     seen.append(found)
                     bodies.append((line, line[size:]))
             out: list[list] = []
             states = shared.value.states(seen, START if before is None else before, -1 if after is None else after)
             for place, state, (line, body) in zip(places, states, bodies, strict=True):
                 if state % 2 == 0:
-                    out.append([*place, ROLES[state // 2], 1, body])
+                    out.append([*place, ROLES[state // 2], 1, [body]])
                 elif out:
-                    out[-1][3] += 1
-                    out[-1][4] += "\n" + line
+                    out[-1][4] += 1
+                    out[-1][5].append(line)
                 else:  # of a turn that began in an earlier block
-                    out.append([None, None, ROLES[state // 2], 1, line])
+                    out.append([None, None, None, ROLES[state // 2], 1, [line]])
             if out:
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+                for x in out:
+                    x[5] = "\n".join(x[5])
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([conv] * len(out)), pa.array([block] * len(out), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=[x.split()[0] for x in TURNS.split(", ")])
 
-    turns = cut.select("conv", "block", "turn", "raw", "before", "after").mapInArrow(run, TURNS)
+    turns = cut.select("conv", "block", "row", "turn", "raw", "before", "after").mapInArrow(run, TURNS)
     if ends is not None:
-        turns = mended(stored(turns, f"{path}/turns"), block_turns)
+        turns = mended(stored(turns, f"{path}/turns"), block_rows)
     rendered = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.col("text"), F.lit("<|im_end|>"))
     return turns.select("conv", "turn", "line", "role", "n_lines", "text", rendered.alias("rendered"))
 
 
-def last_before(starts: DataFrame, block_turns: int) -> DataFrame:
+def last_before(starts: DataFrame, block_rows: int) -> DataFrame:
     """conv, block and last, the greatest of starts(conv, block, last) in the conversation's earlier blocks; level by level, as the borders are."""
-    up = F.floor(F.col("block") / block_turns).cast("long")
+    up = F.floor(F.col("block") / block_rows).cast("long")
     earlier = Window.partitionBy("conv", "above").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     own = starts.withColumn("above", up).withColumn("here", F.max("last").over(earlier))
-    if not (starts.agg(F.max("block")).first()[0] or 0) >= block_turns:
+    if not (starts.agg(F.max("block")).first()[0] or 0) >= block_rows:
         return own.select("conv", "block", F.col("here").alias("last"))
     above = starts.groupBy("conv", up.alias("block")).agg(F.max("last").alias("last"))
-    outer = last_before(above, block_turns).select("conv", F.col("block").alias("above"), F.col("last").alias("outer"))
+    outer = last_before(above, block_rows).select("conv", F.col("block").alias("above"), F.col("last").alias("outer"))
     return own.join(outer, ["conv", "above"]).select("conv", "block", F.coalesce("here", "outer").alias("last"))
 
 
-def mended(turns: DataFrame, block_turns: int) -> DataFrame:
+def mended(turns: DataFrame, block_rows: int) -> DataFrame:
     """Pieces that begin in an earlier block are added to the turn they belong to. turns is a stored table."""
-    starts = turns.groupBy("conv", "block").agg(F.max(F.when(F.col("turn").isNotNull(), F.struct("turn", "line"))).alias("last"))
-    pieces = turns.filter("turn is null")
-    found = last_before(starts, block_turns)
-    moved = pieces.join(found, ["conv", "block"]).select("conv", "block", F.col("last.turn").alias("turn"), F.col("last.line").alias("line"), "role", "n_lines", "text")
-    split = moved.select("conv", "turn", "line").distinct()
-    whole = turns.filter("turn is not null")
-    parts = whole.join(split, ["conv", "turn", "line"], "left_semi").unionByName(moved)
-    glued = parts.groupBy("conv", "turn", "line").agg(
-        F.first("role").alias("role"), F.sum("n_lines").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text")
+    starts = turns.groupBy("conv", "block").agg(F.max(F.when(F.col("row").isNotNull(), F.struct("row", "line", "turn"))).alias("last"))
+    pieces = turns.filter("row is null")
+    found = last_before(starts, block_rows)
+    moved = pieces.join(found, ["conv", "block"]).select("conv", "block", F.col("last.row").alias("row"), F.col("last.turn").alias("turn"), F.col("last.line").alias("line"), "role", "n_lines", "text")
+    split = moved.select("conv", "row", "line").distinct()
+    whole = turns.filter("row is not null")
+    parts = whole.join(split, ["conv", "row", "line"], "left_semi").unionByName(moved)
+    glued = parts.groupBy("conv", "row", "line").agg(
+        F.first("turn").alias("turn"), F.first("role").alias("role"), F.sum("n_lines").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text")
     )
     names = ["conv", "turn", "line", "role", "n_lines", "text"]
-    return whole.join(split, ["conv", "turn", "line"], "left_anti").select(*names).unionByName(glued.select(*names))
+    return whole.join(split, ["conv", "row", "line"], "left_anti").select(*names).unionByName(glued.select(*names))
 
 
 def marker(role: Column, style: Column) -> Column:

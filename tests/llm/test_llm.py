@@ -206,11 +206,23 @@ def test_blocks_give_what_the_whole_gives(spark):
     rows = transcripts.as_transcripts(spark.read.parquet(f"{SF}/conversations.parquet"))
     model = transcripts.train(rows)
     key = lambda t: sorted(tuple(r) for r in t.collect())
-    assert key(transcripts.parse(rows, model)) == key(transcripts.parse(rows, model, block_turns=2))
+    whole = key(transcripts.parse(rows, model))
+    assert whole == key(transcripts.parse(rows, model, block_rows=2)) == key(transcripts.parse(rows.repartition(7), model, block_rows=3))
 
 
-def test_training_counts_moves_between_blocks(spark):
-    """The same conversations learned with turns in one block, over borders, and each turn in a block of its own."""
+def test_one_turn_number_is_many_blocks(spark):
+    """100,000 rows of one conversation with one turn number or none; each task holds a block's rows."""
+    rows = spark.range(100_000).select(F.lit(5).alias("conv_id"), F.when(F.col("id") % 2 == 0, 7).alias("turn"), F.concat(F.when(F.col("id") % 3 == 0, "User: ").otherwise("AI: "), F.lit("line "), F.col("id") % 1000).alias("text"))
+    cut = transcripts.blocks(rows, [], work_dir(spark, "t"), 64)
+    sizes = cut.groupBy("block").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b")).collect()
+    assert len(sizes) == 1563 and all(r.n == min(64, 100_000 - 64 * r.block) and (r.a, r.b) == (64 * r.block, 64 * r.block + r.n - 1) for r in sizes)
+    roles = rows.withColumn("role", F.when(F.col("text").startswith("User"), "user").otherwise("assistant"))
+    got = transcripts.parse(rows, transcripts.train(roles)).agg(F.count("*").alias("n"), F.sum("n_lines").alias("lines")).first()
+    assert (got.n, got.lines) == (100_000, 100_000)
+
+
+def test_training_counts_moves_between_blocks(spark, monkeypatch):
+    """The same conversations learned in one block and over borders, whatever the turn numbers are."""
     talk = [("system", "Be kind."), ("user", "Hi?"), ("assistant", "Yes.\nNo."), ("user", None), ("user", "And?"), ("odd", "lost"), ("user", "Why?"), ("assistant", "So.")]
     rows = [(c, t, *x) for c in (1, 2) for t, x in enumerate(talk[c - 1 :] * 2)] + [(3, 0, None, "lost"), (3, 1, "user", "Hi?")]
 
@@ -221,6 +233,9 @@ def test_training_counts_moves_between_blocks(spark):
     want = learned(1, 0)
     for step, first in ((1, 60), (7, 0), (100, 1_700_000_000)):
         assert np.array_equal(learned(step, first), want)
+    monkeypatch.setattr(transcripts, "BLOCK_ROWS", 2)
+    assert np.array_equal(learned(1, 0), want)
+    monkeypatch.undo()
     moves = np.exp(transcripts.train(spark.createDataFrame([(1, 99, "user", "Hi?"), (1, 700, "assistant", "Yes.")], "conv_id long, turn long, role string, text string")).moves)
     assert moves[transcripts.START].argmax() == 2 and moves[2].argmax() == 4
 
@@ -236,7 +251,7 @@ def test_transcript_edges(spark):
     kind = "conv_id long, turn long, role string, text string, conv string, block int"
     rows = [(1, 0, "user", "Hi?", "x", 1), (1, 0, "user", "Hi?", "x", 1), (1, 1, None, "Yes.\n\nNo.", "x", 1), (1, None, "system", None, "x", 1), (None, 0, "user", "alone", "x", 1), (2, 0, "odd", "", "x", 1), (3, 500, "user", LONG, "x", 1)]
     got = transcripts.recovered_turns(spark.createDataFrame(rows, kind)).collect()
-    assert sum(r.text == "Hi?" for r in got) == 1 and any(r.text == "alone" for r in got) and not any(r.conv == "2" for r in got)
+    assert sum(r.text == "Hi?" for r in got) == 2 and any(r.text == "alone" for r in got) and not any(r.conv == "2" for r in got)
     assert all(r.rendered == f"<|im_start|>{r.role}\n{r.text}<|im_end|>" for r in got)
     assert transcripts.recovered_turns(spark.createDataFrame([], kind)).count() == 0
 
