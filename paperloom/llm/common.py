@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from paperloom.workspace import stored, work_dir
 
-__all__ = ["bound_batches", "decoded", "map_batches", "stored", "text_bytes", "unused", "words_of", "work_dir"]
+__all__ = ["bound_batches", "decoded", "map_batches", "map_rows", "place_of", "quoted", "stored", "text_bytes", "unused", "words_of", "work_dir"]
 
 #: Rows in an Arrow batch. Texts may be very long, so batches stay small: at 100 KB a text, about 25 MB.
 BATCH_ROWS = 256
@@ -24,6 +25,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column; where none has just that name, of the first that differs in case only, as Spark finds it."""
+    names = df.columns
+    return names.index(name) if name in names else [c.lower() for c in names].index(name.lower())
+
+
+def quoted(name: str) -> str:
+    """A column name with dots, spaces or back quotes, as an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that a Python worker's memory doesn't grow with text length."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -31,6 +43,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow for columns of any names: they are numbered for it (c0, c1, ...), in and out, and named by schema after it."""
+    bound_batches(df.sparkSession)
+    numbered = lambda fields: [f"c{i}" for i in range(len(fields))]
+    types = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(numbered(schema.fields), schema.fields, strict=True)])
+    return df.toDF(*numbered(df.columns)).mapInArrow(run, types).toDF(*schema.names)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply fn to each Arrow batch of df; fn may return None for no rows."""
     bound_batches(df.sparkSession)

@@ -9,7 +9,8 @@ is shrunk towards the corpus by a beta prior fitted to all hosts, and the host's
 * ``normal``: a document that fails a soft rule goes.
 
 Defined cases: a null text is an empty one and fails; a null source is a host of its own; repeated rows
-each count and each get a row; an empty table gives an empty result; further columns are ignored.
+each count and each get a row; an empty table gives an empty result; a text of any length is read whole, in
+memory that grows with its words; further columns, whatever their names, are ignored or, in filtering, kept.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from paperloom.llm.common import bound_batches, decoded, stored, text_bytes, words_of, work_dir
+from paperloom.llm.common import bound_batches, decoded, quoted, stored, text_bytes, words_of, work_dir
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -72,8 +74,8 @@ def document_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns named in keep, and STATS of each row's text."""
     bound_batches(docs.sparkSession)
     kept = docs.select(*[F.col(c) for c in keep], text_bytes().alias("_raw"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [STATS])
     names = [f.split()[0] for f in STATS.split(", ")]
+    schema = StructType([*kept.schema.fields[:-1], *(StructField(n, LongType()) for n in names)])
 
     def run(batches):
         for batch in batches:
@@ -167,6 +169,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     path = work_dir(spark, "quality")
     hosts = host_verdicts(with_rules(document_stats(hosted(docs.select("text", "source")), ["host"])), path)
     names = docs.columns
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", "source")
+    own = docs.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("row"), "text", "source")
     rules = with_rules(document_stats(hosted(own), ["row", "host"]))
-    return judge(rules, hosts).filter("kept").select("row.*")
+    return judge(rules, hosts).filter("kept").select(*[F.col("row").getField(c).alias(c) for c in names])
