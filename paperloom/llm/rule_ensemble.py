@@ -10,7 +10,8 @@ doc_id; the statistics of all documents are computed on the executors.
 Defined cases: a null text is an empty one and is scored like any other; labels other than 0 and 1 and
 labels of unknown documents aren't learned from; several labels of a document each count; a null id is
 never held out nor learned from; without labels of both kinds the score is the share of label 1 (0.5
-without any); repeated rows each give a row; other columns are ignored.
+without any); a text of any length is read whole; repeated rows each give a row; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from paperloom.llm.common import bound_batches, text_bytes
 from paperloom.llm.quality_rules import repeated_words
@@ -53,7 +55,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns named in keep, and STATS of each row's text."""
     bound_batches(docs.sparkSession)
     rows = docs.select(*keep, text_bytes().alias("_raw"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{s} double" for s in STATS])
+    schema = StructType([*rows.schema.fields[:-1], *(StructField(s, DoubleType()) for s in STATS)])
 
     def run(batches):
         for batch in batches:
@@ -91,30 +93,36 @@ def simplified(conditions: tuple[tuple[int, bool, float], ...]) -> Rule:
     return Rule(tuple(sorted((k, g, c) for (k, g), c in best.items())))
 
 
-def grow(x: np.ndarray, target: np.ndarray, depth: int, path: tuple, rules: list[Rule], rng: np.random.Generator) -> np.ndarray:
-    """Fits a regression tree and adds a rule for every node below the root. Returns the fitted values."""
-    fitted = np.full(len(x), target.mean() if len(target) else 0.0)
-    if depth == 0 or len(x) < 20:
-        return fitted
-    best = (1e-9, None, None)
-    for k in rng.choice(x.shape[1], max(1, x.shape[1] * 2 // 3), replace=False):
-        for cut in np.unique(np.quantile(x[:, k], np.linspace(0.02, 0.98, CUTS))):
-            right = x[:, k] > cut
-            n = int(right.sum())
-            if 5 <= n <= len(x) - 5:
-                a, b = target[right].sum(), target[~right].sum()
-                gain = a * a / n + b * b / (len(x) - n) - (a + b) ** 2 / len(x)
-                if gain > best[0]:
-                    best = (gain, k, cut)
-    if best[1] is None:
-        return fitted
-    k, cut = int(best[1]), float(best[2])
+def best_cut(x: np.ndarray, target: np.ndarray, statistics: np.ndarray) -> tuple[float, int, float] | None:
+    """The gain in squared error, statistic and cut of the best split with five rows or more on each side."""
+    best, n, total = (1e-9, -1, 0.0), len(x), target.sum()
+    for k in statistics:
+        order = np.argsort(x[:, k], kind="stable")
+        sums = np.concatenate([[0.0], np.cumsum(target[order])])
+        cuts = np.unique(np.quantile(x[:, k], np.linspace(0.02, 0.98, CUTS)))
+        low = np.searchsorted(x[order, k], cuts, "right")  # rows up to each cut
+        cuts, low = cuts[(low >= 5) & (low <= n - 5)], low[(low >= 5) & (low <= n - 5)]
+        if len(cuts):
+            gains = sums[low] ** 2 / low + (total - sums[low]) ** 2 / (n - low) - total * total / n
+            at = int(gains.argmax())
+            if gains[at] > best[0]:
+                best = (float(gains[at]), int(k), float(cuts[at]))
+    return best if best[1] >= 0 else None
+
+
+def grow(x: np.ndarray, target: np.ndarray, depth: int, path: tuple, rules: list[Rule], rng: np.random.Generator) -> list[Rule]:
+    """Grows a regression tree and adds a rule for every node below the root. Returns the leaves' rules, which part all rows."""
+    found = best_cut(x, target, rng.choice(x.shape[1], max(1, x.shape[1] * 2 // 3), replace=False)) if depth and len(x) >= 20 else None
+    if found is None:
+        return [simplified(path)]
+    _, k, cut = found
+    leaves: list[Rule] = []
     for greater in (True, False):
         rows = (x[:, k] > cut) == greater
         here = (*path, (k, greater, cut))
         rules.append(simplified(here))
-        fitted[rows] = grow(x[rows], target[rows], depth - 1, here, rules, rng)
-    return fitted
+        leaves += grow(x[rows], target[rows], depth - 1, here, rules, rng)
+    return leaves
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -126,15 +134,11 @@ def boosted_rules(x: np.ndarray, y: np.ndarray) -> list[Rule]:
     f = np.zeros(len(x))
     for _ in range(TREES):
         part = rng.random(len(x)) < 0.5
-        fitted: list[Rule] = []
-        before = len(rules)
-        grow(x[part], (y - sigmoid(f))[part], DEPTH, (), rules, rng)
-        fitted = rules[before:]
-        # step with the leaves of this tree, those with the most conditions on a path
-        for rule in fitted:
-            rows = rule.holds(x)
+        # step with the leaves of this tree, each towards its rows' mean residual; 4 is the bound of the logistic curve's inverse curvature
+        for leaf in grow(x[part], (y - sigmoid(f))[part], DEPTH, (), rules, rng):
+            rows = leaf.holds(x)
             if rows.any():
-                f[rows] += RATE * (y[rows] - sigmoid(f[rows])).mean() * 4 / DEPTH
+                f[rows] += RATE * 4 * (y[rows] - sigmoid(f[rows])).mean()
     return list(dict.fromkeys(rules))
 
 
