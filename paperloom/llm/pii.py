@@ -12,36 +12,60 @@ Kinds: email, ip, card (Luhn) and phone have the boundaries of the expressions
     card   [0-9]([\\x20-]?[0-9])+                      14 to 19 digits, Luhn
     phone  \\+[0-9][\\x20().0-9-]+[0-9]                 10 to 15 digits
 
-each taken leftmost and without overlaps in its kind; failing matches go. The method adds three kinds:
-``iban`` after the cue "iban" (mod 97), ``ssn`` after "ssn" or "social security" (three groups, no
-impossible ones), ``login`` for the user:password part of a URL.
-
-Offsets are code points, end exclusive. A null text is an empty one and has no spans; repeated rows each
-give a row; further columns are ignored or, in masking, kept.
+each taken leftmost and without overlaps in its kind; failing matches go. The method adds five kinds:
+
+* ``iban``: in the rest of a line after the cue "iban", each run of that shape that passes mod 97;
+* ``ssn``: in the rest of a line after "ssn" or "social security", each AAA-GG-SSSS that isn't impossible;
+* ``login``: the user:password part of a URL;
+* ``account``: 6 to 20 digits after "account" or a like cue, with only words such as "no" or "number" between;
+* ``secret``: the value after a name such as token, api_key or password and a sign "=" or ":", in quotes or bare.
+  Values of tokens and keys have 16 to 512 characters, letters and digits both or hexadecimal digits only;
+  those of passwords 6 to 128, and where bare a digit or sign among them. Also keys that their own fixed
+  beginning shows, and PEM blocks of private keys.
+
+Offsets are code points, end exclusive. A null text is an empty one and has no spans; texts of any length are
+read whole, in time that grows with their length; repeated rows each give a row; empty tables give no rows;
+further columns are ignored or, in masking, kept.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from paperloom.llm.common import bound_batches, decoded, map_batches, text_bytes
+from paperloom.llm.common import decoded, map_batches, map_rows, place_of, quoted, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn", "login")
+ADDED = ("iban", "ssn", "login", "account", "secret")
 ORDER = {k: i for i, k in enumerate((*KINDS, *ADDED))}
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+BLANK, SIGNS = frozenset(" \t"), frozenset("=:>")
 LABEL = DIGITS | LETTERS | {"-"}
 LOCAL = DIGITS | LETTERS | set("._%+-")
 PHONE = DIGITS | set(" ().-")
-#: Cues of identifiers, in lower case, and how far after a cue its value may begin.
-CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn"}
-CUE_REACH = 24
+#: Cues of identifiers and of secrets, in lower case.
+CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn"} | dict.fromkeys(("account", "acct", "konto", "cuenta", "compte"), "account")
+TOKEN_CUES = ("token", "secret", "api_key", "api-key", "api key", "apikey", "access_key", "access key", "private_key", "auth_key", "authorization", "bearer", "credential")
+PASSWORD_CUES = ("password", "passwd", "passphrase", "pwd")
+#: Beginnings of well-known keys, the characters that follow, and how many at least.
+KEY_STARTS = {"AKIA": 16, "ASIA": 16, "ghp_": 36, "gho_": 36, "ghs_": 36, "ghu_": 36, "github_pat_": 36, "xoxb-": 20, "xoxp-": 20, "sk_live_": 20, "rk_live_": 20, "AIza": 35}
+PEM = "-----BEGIN "
+#: What may stand between a cue of an account and its number.
+BETWEEN = frozenset(("no", "nr", "num", "number", "nummer", "numero", "id", "is", "n"))
+TOKEN_LENGTH, PASSWORD_LENGTH = (16, 512), (6, 128)
+NAME = DIGITS | LETTERS | set("_-")
+TOKEN = NAME | set("+/=.~")
+HEX = frozenset("0123456789abcdefABCDEF")
+QUOTES = frozenset("\"'`")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "sftp://")
 
 
@@ -60,9 +84,12 @@ def automaton() -> ahocorasick.Automaton:
             put(f"{a}-{b}", "card", 2)
     for s in SCHEMES:
         put(s, "login", -1)
-    for cue, kind in CUES.items():
+    for cue, kind in (CUES | dict.fromkeys(TOKEN_CUES, "token") | dict.fromkeys(PASSWORD_CUES, "password")).items():
         for form in {cue, cue.upper(), cue.title(), cue.capitalize()}:
             put(form, kind, -1)
+    for start, least in KEY_STARTS.items():
+        put(start, f"key {least}", len(start) - 1)
+    put(PEM, "pem", len(PEM) - 1)
     for text, value in anchors.items():
         out.add_word(text, value)
     out.make_automaton()
@@ -157,13 +184,8 @@ def phone_at(text: str, plus: int) -> tuple[int, int, int] | None:
     return (plus, end, sum(c in DIGITS for c in text[plus:end])) if end >= plus + 4 else None
 
 
-def iban_after(text: str, at: int) -> tuple[int, int] | None:
+def iban_at(text: str, at: int) -> tuple[int, int] | None:
     """Two capitals, two digits and 11 to 30 capitals or digits, single spaces between, mod 97 = 1."""
-    stop = min(len(text), at + CUE_REACH)
-    while at < stop and not ("A" <= text[at] <= "Z" and text[at + 1 : at + 2].isascii() and text[at + 1 : at + 2].isupper() and text[at + 2 : at + 4].isascii() and text[at + 2 : at + 4].isdigit() and len(text[at + 2 : at + 4]) == 2):
-        at += 1
-    if at >= stop:
-        return None
     found, end, taken = [], at, []
     while end < len(text) and len(found) < 34:
         c = text[end]
@@ -182,13 +204,16 @@ def iban_after(text: str, at: int) -> tuple[int, int] | None:
     return None
 
 
-def ssn_after(text: str, at: int) -> tuple[int, int] | None:
+def iban_starts(text: str, at: int, stop: int) -> Iterator[int]:
+    for k in range(at, stop - 14):
+        if text[k] in CAPITALS and text[k + 1] in CAPITALS and text[k + 2] in DIGITS and text[k + 3] in DIGITS and not (k and text[k - 1] in LABEL):
+            yield k
+
+
+def ssn_at(text: str, at: int) -> tuple[int, int] | None:
     """AAA-GG-SSSS, not in the impossible ranges, no digit beside it."""
-    stop = min(len(text), at + CUE_REACH)
-    while at < stop and text[at] not in DIGITS:
-        at += 1
     part = text[at : at + 11]
-    if at >= stop or len(part) < 11 or not part.isascii() or part[3] not in "- " or part[6] != part[3]:
+    if len(part) < 11 or not part.isascii() or part[3] not in "- " or part[6] != part[3]:
         return None
     area, group, serial = part[:3], part[4:6], part[7:]
     if not (area + group + serial).isdigit() or area in ("000", "666") or area[0] == "9" or group == "00" or serial == "0000" or text[at + 11 : at + 12] in DIGITS:
@@ -196,6 +221,95 @@ def ssn_after(text: str, at: int) -> tuple[int, int] | None:
     return at, at + 11
 
 
+def ssn_starts(text: str, at: int, stop: int) -> Iterator[int]:
+    for k in range(at, stop - 10):
+        if text[k] in DIGITS and not (k and text[k - 1] in DIGITS):
+            yield k
+
+
+def line_end(text: str, at: int) -> int:
+    end = text.find("\n", at)
+    return len(text) if end < 0 else end
+
+
+def rest_of_line(kind: str, text: str, at: int) -> tuple[list[tuple[int, int]], int]:
+    """All values of a kind from a cue to the line's end, and where that is."""
+    starts, parser = (iban_starts, iban_at) if kind == "iban" else (ssn_starts, ssn_at)
+    out, stop = [], line_end(text, at)
+    for k in starts(text, at, stop):
+        if (not out or k >= out[-1][1]) and (found := parser(text, k)):
+            out.append(found)
+    return out, stop
+
+
+def account_after(text: str, at: int) -> tuple[int, int] | None:
+    """6 to 20 digits, single spaces, dots or hyphens between, after signs and up to four words of BETWEEN."""
+    for _ in range(5):
+        at = run_end(text, at, set(" \t.:#=°º"))
+        end = run_end(text, at, LETTERS)
+        if end == at:
+            break
+        if text[at:end].lower() not in BETWEEN:
+            return None
+        at = end
+    end, digits = at, 0
+    while end < len(text) and digits <= 20 and (text[end] in DIGITS or digits and text[end] in " .-" and text[end + 1 : end + 2] in DIGITS and text[end + 1 : end + 2]):
+        digits += text[end] in DIGITS
+        end += 1
+    return (at, end) if 6 <= digits <= 20 and text[end : end + 1] not in LETTERS else None
+
+
+def secret_after(text: str, at: int, kind: str, bearer: bool) -> tuple[int, int] | None:
+    """The value after a name, which may go on (token_id), and a sign; after "bearer" a space is enough."""
+    least, most = PASSWORD_LENGTH if kind == "password" else TOKEN_LENGTH
+    name = at
+    while at < len(text) and at - name <= 32 and text[at] in NAME:
+        at += 1
+    at += text[at : at + 1] in QUOTES and at < len(text)
+    blank = at
+    at = run_end(text, at, BLANK)
+    sign = at
+    at = run_end(text, at, SIGNS)
+    if at == sign and not (bearer and sign > blank):
+        return None
+    at = run_end(text, at, BLANK)
+    if text[at : at + 7].lower() == "bearer ":
+        at += 7
+    quote = text[at : at + 1] if text[at : at + 1] in QUOTES and at < len(text) else ""
+    at += len(quote)
+    end, stop = at, min(len(text), at + most + 1)
+    if quote:
+        while end < stop and text[end] != quote and text[end] != "\n":
+            end += 1
+        if text[end : end + 1] != quote:
+            return None
+    else:
+        while end < stop and not text[end].isspace() and text[end] not in "\"'`,;<>()[]{}&":
+            end += 1
+        while end > at and text[end - 1] in ".:":
+            end -= 1
+    value = text[at:end]
+    if not least <= len(value) <= most:
+        return None
+    if kind == "password":
+        good = not any(map(str.isspace, value)) and (bool(quote) or not value.isalpha())
+    else:
+        seen = set(value)
+        good = seen <= TOKEN and bool(seen & DIGITS) and (bool(seen & LETTERS) or seen <= HEX)
+    return (at, end) if good else None
+
+
+def pem_at(text: str, at: int) -> tuple[int, int] | None:
+    """A block from "-----BEGIN ... PRIVATE KEY-----" to its end line."""
+    head = text.find("-----", at + len(PEM), at + len(PEM) + 40)
+    label = text[at + len(PEM) : head] if head >= 0 else ""
+    if not label.endswith("PRIVATE KEY"):
+        return None
+    foot = f"-----END {label}-----"
+    end = text.find(foot, head)
+    return (at, end + len(foot)) if end >= 0 else None
+
+
 def login_after(text: str, at: int) -> tuple[int, int] | None:
     """user:password before the at-sign of a URL's host."""
     end, colon = at, False
@@ -209,7 +323,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     """All spans of a whole text, by start, then kind as listed."""
     out: list[tuple[int, int, str]] = []
     # where each kind's last match ends, whether it passed or not: the next begins there at the earliest
-    after = dict.fromkeys(ORDER, 0)
+    after = dict.fromkeys((*ORDER, "pem"), 0)
     for end, (kind, back) in automaton().iter(text):
         at = end - back
         if kind == "email":
@@ -232,12 +346,27 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                 after["phone"] = found[1]
                 if 10 <= found[2] <= 15:
                     out.append((found[0], found[1], "phone"))
+        elif kind in ("iban", "ssn"):
+            if end + 1 >= after[kind]:  # else that line was read for an earlier cue
+                every, after[kind] = rest_of_line(kind, text, end + 1)
+                out += [(*x, kind) for x in every]
         else:
-            parser = iban_after if kind == "iban" else ssn_after if kind == "ssn" else login_after
-            found = parser(text, end + 1)
-            if found and found[0] >= after[kind]:
-                out.append((*found, kind))
-                after[kind] = found[1]
+            if kind == "login":
+                found, label = login_after(text, end + 1), "login"
+            elif kind == "account":
+                found, label = account_after(text, end + 1), "account"
+            elif kind == "pem":
+                found, label = pem_at(text, at) if at >= after["pem"] else None, "secret"
+                if not found and text.startswith(PEM, at):
+                    after["pem"] = max(after["pem"], len(text) if "PRIVATE KEY-----" in text[at : at + 60] else at)
+            elif kind.startswith("key "):
+                stop = run_end(text, end + 1, NAME)
+                found, label = ((at, stop) if stop - end - 1 >= int(kind[4:]) and not (at and text[at - 1] in NAME) else None), "secret"
+            else:
+                found, label = secret_after(text, end + 1, kind, text[end - 5 : end + 1].lower() == "bearer"), "secret"
+            if found and found[0] >= after[label]:
+                out.append((*found, label))
+                after[label] = found[1]
     return sorted(out, key=lambda x: (x[0], ORDER[x[2]]))
 
 
@@ -246,17 +375,17 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans for each row of docs(doc_id, text)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans (all kinds) for each row of docs(doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [find_spans(decoded(x)) for x in batch.column(1).to_pylist()]
         counts = [pa.array([sum(s[2] == k for s in x) for x in found], pa.int64()) for k in KINDS]
         base = [hashlib.sha256(joined([s for s in x if s[2] in KINDS]).encode()).hexdigest() for x in found]
-        return pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array([joined(x) for x in found], pa.string())], names=names)
+        return pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array([joined(x) for x in found], pa.string()), pa.array([len(x) for x in found], pa.int64())], names=names)
 
-    return map_batches(docs.select("doc_id", text_bytes()), run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return map_batches(docs.select("doc_id", text_bytes()), run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str) -> str:
@@ -276,16 +405,24 @@ def masked(text: str) -> str:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """docs with text masked and, where there is such a column, n_chars the new length; null texts stay null."""
-    bound_batches(docs.sparkSession)
+    """docs with text masked and, where there is such an integer column, n_chars the new length.
+
+    A null text stays null; malformed UTF-8 becomes U+FFFD. Columns keep their names, whatever these are.
+    """
     names = docs.columns
+    text = place_of(docs, "text")
+    size = next((i for i, c in enumerate(names) if c.lower() == "n_chars"), None)
+    # Python gets bytes, as malformed text would stop a batch
+    raw = docs.select(*[text_bytes(quoted(c)).alias(c) if i == text else F.col(quoted(c)) for i, c in enumerate(names)])
 
     def run(batches):
         for batch in batches:
-            texts = [None if x is None else masked(x) for x in batch.column("text").to_pylist()]
-            new = {"text": pa.array(texts, batch.schema.field("text").type)}
-            if "n_chars" in names and pa.types.is_integer(batch.schema.field("n_chars").type):
-                new["n_chars"] = pa.array([old if x is None else len(x) for x, old in zip(texts, batch.column("n_chars").to_pylist(), strict=True)], batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
-
-    return docs.mapInArrow(run, docs.schema)
+            texts = [None if x is None else masked(decoded(x)) for x in batch.column(text).to_pylist()]
+            columns = list(batch.columns)
+            columns[text] = pa.array(texts, pa.string())
+            if size is not None and pa.types.is_integer(columns[size].type):
+                columns[size] = pa.array([old if x is None else len(x) for x, old in zip(texts, columns[size].to_pylist(), strict=True)], columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    schema = StructType([StructField(c, StringType()) if i == text else f for i, (c, f) in enumerate(zip(names, docs.schema.fields, strict=True))])
+    return map_rows(raw, run, schema)
