@@ -10,15 +10,20 @@ substituted leaves one of MASKS unbroken (a test goes through all), and a longer
 words or more, that has as large a share of equal words. Shorter items are found whole in the same way, by
 SHORT_MASKS: with one other word from five words on, with two from ten on. Words are runs of letters, digits and non-ASCII characters in lower case.
 
-Test items are taken in blocks of at most ``BLOCK_WORDS`` words, so what is sent to all tasks is bounded
-(about 50 bytes a word); the documents are read once for each block, and never shuffled.
+Test items are taken in blocks of at most ``BLOCK_WORDS`` words, or of one longer item, so what is sent to all
+tasks is bounded (about 50 bytes a word). The documents are read once for each block. What a block finds is
+stored before the next is made, so a task holds one block. Filtering by several blocks stores the digests of
+the texts to go, and drops their rows at last; no row is written between blocks.
 
 Defined cases: null and wordless texts match nothing; a null id is carried; each repeated row has its own
-results; empty tables give no rows; other columns are ignored or, in filtering, kept.
+results, and items of one id and different texts too; of several alignments of an item the longest stretch counts, then that with more
+equal words, then the first; a text of any length is read whole, its hits HITS at a time; empty tables give no
+rows; other columns are ignored or, in filtering, kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from paperloom.llm.common import bound_batches, decoded, text_bytes, unused, work_dir
+from paperloom.llm.common import bound_batches, decoded, map_rows, quoted, stored, text_bytes, unused, work_dir
 
 #: Masks of weight 6.
 MASKS = ("1101111", "111010011", "11100100011")
@@ -35,6 +41,10 @@ MASKS = ("1101111", "111010011", "11100100011")
 SHORT_MASKS = ("1111", "11011", "10111", "11101")
 MIN_WORDS, PERCENT = 13, 80
 BLOCK_WORDS = 500_000
+#: Hits that are put together before equal ones are merged.
+HITS = 1 << 18
+#: Texts to go whose digests may be sent to all tasks, about 60 MB; beyond that rows are shuffled by digest.
+BROADCAST_TEXTS = 1_000_000
 #: Bits of the table that most document seeds fail at.
 SIEVE_BITS = 20
 SEPARATORS = bytes.maketrans(bytes(range(128)), bytes(c if chr(c).isalnum() else 32 for c in range(128)))
@@ -89,7 +99,7 @@ class Index:
 
     def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
         """(item, shift): the item's first word stands at that word of the document."""
-        out: set[tuple[int, int]] = set()
+        out = np.empty(0, np.int64)
         for mask, (sieve, keys, item, at) in self.tables.items():
             found = seeds(words, mask)
             where = np.flatnonzero(sieve[found >> np.uint64(64 - SIEVE_BITS)])
@@ -97,11 +107,16 @@ class Index:
                 continue
             first, last = np.searchsorted(keys, found[where], "left"), np.searchsorted(keys, found[where], "right")
             size = last - first
-            if not size.sum():
-                continue
-            place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            out.update(zip(item[place].tolist(), (np.repeat(where, size) - at[place]).tolist(), strict=True))
-        return out
+            where, first, size = where[size > 0], first[size > 0], size[size > 0]
+            upto = np.cumsum(size)
+            a = 0
+            while a < len(size):  # some places at a time; one place has a block's seeds at most
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] - size[a] + HITS, "right")))
+                some = size[a:b]
+                place = np.repeat(first[a:b] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+                out = np.union1d(out, item[place] << 32 | (np.repeat(where[a:b], some) - at[place] + (1 << 31)))
+                a = b
+        return set(zip((out >> 32).tolist(), ((out & 0xFFFFFFFF) - (1 << 31)).tolist(), strict=True))
 
     def overlaps(self, words: np.ndarray) -> dict[int, tuple[int, int, int]]:
         """For each item that the document holds: length of the best stretch, equal words in it, and its first word in the document."""
@@ -141,14 +156,32 @@ def longest_stretch(equal: np.ndarray, percent: int = PERCENT) -> tuple[int, int
 
 
 def indexes(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Index]:
-    """The test items' indexes, a bounded block at a time."""
+    """The test items' indexes, a bounded block at a time; items of several blocks are dealt and stored first."""
     items = benchmark.select("item_id", text_bytes().alias("raw"))
     # a word takes at least two bytes with its separator
     total = items.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0] // 2
-    blocks = total // block_words + 1
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("raw"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield Index([(r["item_id"], None if r["raw"] is None else bytes(r["raw"])) for r in part.collect()])
+    index_of = lambda part: Index([(r["item_id"], None if r["raw"] is None else bytes(r["raw"])) for r in part.collect()])
+    if total <= block_words:
+        yield index_of(items)
+        return
+    bound_batches(benchmark.sparkSession)
+
+    def deal(batches):
+        block, held = 0, 0
+        for batch in batches:
+            blocks = []
+            for raw in batch.column(1).to_pylist():
+                size = len(raw or b"") // 2 + 1
+                if held and held + size > block_words:
+                    block, held = block + 1, 0
+                held += size
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], names=["item_id", "raw", "block"])
+
+    dealt = items.repartition(int(-(-total // block_words))).mapInArrow(deal, StructType([*items.schema.fields, StructField("block", LongType())]))
+    dealt = stored(dealt.withColumn("task", F.spark_partition_id()), f"{work_dir(benchmark.sparkSession, 'items')}/dealt")
+    for task, block in sorted(tuple(r) for r in dealt.select("task", "block").distinct().collect()):
+        yield index_of(dealt.filter((F.col("task") == task) & (F.col("block") == block)))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -192,13 +225,35 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int =
     """The rows of docs that hold no test item, with all their columns."""
     spark = docs.sparkSession
     bound_batches(spark)
-    for index in indexes(benchmark, block_words):
-        docs = _clean(docs, spark.sparkContext.broadcast(index))
-    return docs
+    every = indexes(benchmark, block_words)
+    index, following = next(every), next(every, None)
+    if following is None:
+        return _clean(docs, spark.sparkContext.broadcast(index))
+    path, parts = work_dir(spark, "contaminated"), []
+    texts = docs.select(text_bytes())
+
+    def found(shared):
+        def run(batches):
+            for batch in batches:
+                held = [hashlib.md5(x).digest() for x in batch.column(0).to_pylist() if x and shared.value.overlaps(normal_words(x))]
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["digest"])
+
+        return texts.mapInArrow(run, "digest binary")
+
+    while index is not None:
+        parts.append(f"{path}/{len(parts)}")
+        found(spark.sparkContext.broadcast(index)).write.parquet(parts[-1])
+        index, following = following, next(every, None)
+    key = unused(docs, "_digest")
+    gone = stored(spark.read.schema("digest binary").parquet(*parts).select(F.lower(F.hex("digest")).alias(key)).distinct(), f"{path}/gone")
+    if gone.count() <= BROADCAST_TEXTS:
+        gone = F.broadcast(gone)
+    return docs.withColumn(key, F.md5(F.col("text").cast("string").cast("binary"))).join(gone, key, "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def _clean(docs: DataFrame, shared) -> DataFrame:
-    raw = docs.withColumn(unused(docs, "_raw"), text_bytes())
+    raw = docs.withColumn(unused(docs, "_raw"), text_bytes())  # the last column
 
     def run(batches):
         own = shared.value
@@ -206,4 +261,4 @@ def _clean(docs: DataFrame, shared) -> DataFrame:
             good = [not own.overlaps(normal_words(x)) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(good, pa.bool_()))
 
-    return raw.mapInArrow(run, docs.schema)
+    return map_rows(raw, run, docs.schema)
