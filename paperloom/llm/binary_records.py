@@ -18,8 +18,10 @@ Files follow each other in ascending order of id, and so do the frames in each.
 Spark's text sink writes the bytes: each frame is a row, the end mark is the sink's line end. So files
 arrive whole through Spark's commit protocol in any store it can write, also when tasks are repeated.
 
-Defined cases: a null text is an empty one and gives the end token alone; null ids come first; repeated
-rows are each a record; a damaged frame stops the read; an empty table gives no records.
+Defined cases: a null text is an empty one and gives the end token alone; null ids come first; rows of one id
+follow each other by a hash of their text, over as many files as they fill; repeated rows are each a record; a text
+of any length is one record of one file, up to what a binary cell holds (2 GB); a damaged frame stops the read;
+an empty table gives no records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -185,13 +187,14 @@ def tokens_of(payload: memoryview, expander) -> tuple[int | None, np.ndarray]:
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_text_bytes: int = SHARD_TEXT_BYTES) -> None:
     """Encode docs(doc_id, text), append end_id to each, and write record files in ascending doc_id order.
 
-    Texts, which compress better than ids, are dealt by ranges of doc_id and sorted in each task; tokens go
-    straight to the file.
+    Texts, which compress better than ids, are dealt by ranges of doc_id, those of one id by a hash of the text, and
+    sorted in each task; tokens go straight to the file.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
     total = docs.select(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
-    ordered = rows.repartitionByRange(max(1, -(-total // shard_text_bytes)), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    order = F.asc_nulls_first("doc_id"), F.xxhash64("text")
+    ordered = rows.repartitionByRange(int(max(1, -(-total // shard_text_bytes))), *order).sortWithinPartitions(*order)
 
     def run(batches):
         encoder, compressor = load(tokenizer), zstandard.ZstdCompressor(level=1)

@@ -10,7 +10,8 @@ ends, so no place is tried twice and the work is linear.
 Decoding looks ids up in an offset table over one block of all token bytes.
 
 Defined cases: a null text is an empty one and gives no ids; the special token's own string in a text is
-that token; a piece of any length is encoded whole; repeated rows each give a row.
+that token; a piece of any length is encoded whole; repeated rows each give a row; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations

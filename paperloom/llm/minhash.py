@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bound_batches, map_batches, stored, text_bytes, unused, work_dir
+from paperloom.llm.common import bound_batches, map_batches, quoted, stored, text_bytes, unused, work_dir
 from paperloom.llm.components import LOCAL_LINKS, components
 
 ROWS, BANDS = 5, 36
@@ -335,4 +335,4 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     if twice.limit(1).count():
         again = lambda how: left.join(twice, F.col(id_).eqNullSafe(left["doc_id"]) & (F.col(hash_) == F.col(key)), how)
         left = again("left_anti").unionByName(again("left_semi").dropDuplicates(["doc_id", key]))
-    return left.select(*[F.col(f"`{c}`") for c in names])
+    return left.select(*[F.col(quoted(c)) for c in names])

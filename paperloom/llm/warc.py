@@ -83,7 +83,7 @@ def field(header: Column, name: str) -> Column:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: page_id, record_type, refers_to, payload, the digest its header names, and record, its original bytes.
+    """One row per record (an id that was no integer is null): page_id, record_type, refers_to, payload, the digest its header names, and record, its original bytes.
 
     The headers, which may share a payload by thousands, meet each payload once in a shuffled join; adaptive
     execution splits a digest that holds many headers.
