@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import tokens
-from paperloom.workspace import work_dir
+from paperloom.workspace import stored, work_dir
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 9
+#: What a top_k of 0 or None means.
+TOP_K = 10
 #: Query terms that may be sent to all tasks, about 60 MB; beyond that both sides are shuffled by term.
 BROADCAST_TERMS = 1_000_000
 
@@ -75,21 +77,27 @@ class Index:
         part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
         return self.postings.join(hint(weighted), "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
 
-    def top_k(self, queries: DataFrame, k: int = 10, **constants: float) -> DataFrame:
+    def top_k(self, queries: DataFrame, k: int | None = TOP_K, **constants: float) -> DataFrame:
         """qid, rank, doc_id, score of the k best documents of each query.
 
-        Zeros for the fill come from the 2k first documents: a query with less than k matches has k others
-        among them. Only where the mean idf is negative, in tiny corpora, do zeros outrank matches, and then
-        all documents are candidates.
+        The best matches, k rows a query, are stored. Queries with less than k of a score above 0 are filled up with
+        zeros from the 2k first documents, among which k others must be. Only where the mean idf is negative, in
+        tiny corpora, do zeros outrank matches, and then all documents are candidates.
         """
+        k = k or TOP_K
+        order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
+        ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         hits = self.matches(queries, **constants).withColumn("score", F.round("score", DIGITS))
-        first = self.documents.select("doc_id")
         if self.mean_idf >= 0:
-            first = F.broadcast(first.orderBy("doc_id").limit(2 * k))
-        zeros = queries.select("qid").crossJoin(first).join(hits.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-        order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
-        ranked = hits.unionByName(zeros).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        return ranked.select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+            best = stored(ranked(hits.filter("score > 0")).drop("rank"), work_dir(self.spark, "bm25-best"))
+            full = best.groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("qid")
+            short = queries.select("qid").join(full, "qid", "left_anti")
+            zeros = short.crossJoin(F.broadcast(self.documents.select("doc_id").orderBy("doc_id").limit(2 * k))).join(best, ["qid", "doc_id"], "left_anti")
+            hits = best.unionByName(zeros.withColumn("score", F.lit(0.0)))
+        else:
+            zeros = queries.select("qid").crossJoin(self.documents.select("doc_id")).join(hits.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+            hits = hits.unionByName(zeros.withColumn("score", F.lit(0.0)))
+        return ranked(hits).select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 def build(docs: DataFrame, path: str | None = None) -> Index:
