@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Keys that may be sorted in one place.
+GROUP = 20_000
+
+
 def shuffle_key(seed: int, id_: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), id_.cast("string")).cast("binary"))
 
@@ -13,22 +17,24 @@ def shuffle_key(seed: int, id_: Column) -> Column:
 def train_test_split(df: DataFrame, id_: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """df with split: exactly floor(share * n) rows are 'train', those with the lowest keys.
 
-    The border key is found by counting keys by their first characters, then within one such group: so only
-    a small part of the keys is ever sorted in one place.
+    The border key is found by counting keys by three more of their first characters at a time (16 ** 3 counts, on the
+    driver) until the group that holds the border has at most GROUP rows: so only a small part is ever sorted in one place.
     """
     keyed = df.withColumn("_key", shuffle_key(seed, F.col(id_)))
     n = keyed.count()
     want = int(share * n)
     if want <= 0 or want >= n:
         return keyed.withColumn("split", F.lit("train" if want >= n else "test")).drop("_key")
-    width = max(1, min(6, len(f"{n // 10_000:x}")))
-    by_prefix = keyed.groupBy(F.substring("_key", 1, width).alias("p")).agg(F.count("*").alias("c")).orderBy("p").collect()  # 16 ** width counts at most
-    before = 0
-    for row in by_prefix:
-        if before + row["c"] >= want:
-            break
-        before += row["c"]
-    inner = keyed.filter(F.substring("_key", 1, width) == row["p"]).select("_key", id_).orderBy("_key", id_).limit(want - before)
+    before, size, group, inside = 0, n, "", keyed.select("_key", id_)
+    while size > GROUP and len(group) < 30:
+        width = len(group) + 3
+        for row in inside.groupBy(F.substring("_key", 1, width).alias("p")).agg(F.count("*").alias("c")).orderBy("p").collect():
+            if before + row["c"] >= want:
+                break
+            before += row["c"]
+        group, size = row["p"], row["c"]
+        inside = keyed.select("_key", id_).filter(F.col("_key").startswith(group))
+    inner = inside.orderBy("_key", id_).limit(want - before)
     edge = inner.agg(F.max(F.struct("_key", id_)).alias("e"))
     last = edge.first()["e"]
     first = (F.col("_key") < last["_key"]) | ((F.col("_key") == last["_key"]) & (F.col(id_) <= last[id_]))
@@ -62,12 +68,11 @@ def diverse_examples(df: DataFrame, id_: str, group: str, n: int, seed: int = 42
 
 def quotas(counts: DataFrame, target: int) -> DataFrame:
     """domain, n, quota of counts(domain, n): floor shares of target, and the remainder to the largest domain (the first by name on ties)."""
-    total = counts.agg(F.sum("n").alias("total"))
-    base = counts.crossJoin(F.broadcast(total)).withColumn("quota", F.floor(target * F.col("n") / F.nullif(F.col("total"), F.lit(0))))
-    facts = base.agg((F.lit(target) - F.sum("quota")).alias("left"), F.min(F.struct(-F.col("n"), "domain")).alias("top"))
-    return base.crossJoin(F.broadcast(facts)).select(
-        "domain", F.col("n").cast("long").alias("n"), (F.col("quota") + F.when(F.col("domain") == F.col("top.domain"), F.col("left")).otherwise(0)).cast("long").alias("quota")
-    )
+    every = Window.partitionBy(F.lit(0))  # one row a domain
+    base = counts.withColumn("quota", F.floor(target * F.col("n") / F.nullif(F.sum("n").over(every), F.lit(0))))
+    left, top = F.lit(target) - F.sum("quota").over(every), F.min(F.struct(-F.col("n"), "domain")).over(every)
+    rest = F.when(F.col("domain") == top["domain"], left).otherwise(0)
+    return base.select("domain", F.col("n").cast("long").alias("n"), (F.col("quota") + rest).cast("long").alias("quota"))
 
 
 def schedule(quota: DataFrame) -> DataFrame:
