@@ -28,6 +28,13 @@ def append_unseen(existing: DataFrame, new: DataFrame, key: str = "doc_id", orde
     return existing.unionByName(unseen.select(*existing.columns))
 
 
+def append_counts(existing: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row: n_existing, n_new, n_added and n_repeated of an append of new to existing."""
+    fresh = new.select(key).distinct().join(existing.select(key), key, "left_anti")
+    counts = [df.agg(F.count("*").alias(name)) for df, name in ((existing, "n_existing"), (new, "n_new"), (fresh, "n_added"))]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).withColumn("n_repeated", F.col("n_new") - F.col("n_added"))  # one row each
+
+
 def searchable(corpus: DataFrame) -> DataFrame:
     """doc_id, title, text (what an index sees) and body (its content as Markdown) of schemas.CORPUS."""
     keys = F.col("rag_matching_keywords")

@@ -125,6 +125,15 @@ def history_exam(texts: DataFrame, answers: DataFrame, last: int = 20) -> DataFr
     return out.select("doc", "q_num", "paragraph", "question", "choices", "question_plus", F.coalesce("answer", F.lit("")).alias("answer"))
 
 
+def appended(exams: list[DataFrame]) -> DataFrame:
+    """The rows of several exams in one table, with the exam's number in the list as file."""
+    out = None
+    for k, rows in enumerate(exams):
+        part = rows.withColumn("file", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def with_ids(rows: DataFrame, prefix: str = "generation-for-nlp-", start: int = 0, order: tuple[str, ...] = ("doc", "q_num"), width: int = 0) -> DataFrame:
     """rows with id, numbered from start in a stated order. For exports: exam files have some hundred rows, numbered in one task."""
     n = F.row_number().over(Window.orderBy(*order)) - 1 + start

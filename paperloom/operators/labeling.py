@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.prompts import chooser_prompt
 from paperloom.functions.text import choice_at, normalized
+from paperloom.operators.models import chosen_documents
 
 RATIO = 1.5
+#: Characters of a candidate that a chooser sees.
+SNIPPET = 200
 
 
 def oracle_query(paragraph: Column, question: Column, choices: Column, answer: Column) -> Column:
@@ -31,6 +37,26 @@ def holds_answer(answer: Column, *parts: Column) -> Column:
     return F.contains(F.lower(F.concat_ws(" ", *parts)), F.lower(answer))
 
 
+def labels_with_fallback(hits: DataFrame, answers: DataFrame, corpus: DataFrame, queries: DataFrame, choose: Callable[[Column], Column], threshold: float = RATIO, candidates: int = 5, limit: int = 2) -> DataFrame:
+    """qid, gold_doc_ids and method for each of queries(qid, text): the sure best hit, else what a chooser takes from the first candidates.
+
+    choose turns prompts into its answers, JSON lists of ids, and sees uncertain queries only. At most limit ids stay;
+    an empty or unreadable answer is 'uncertain' and has none. Candidates are rank, id, title and the first characters of the body.
+    """
+    sure = auto_label(hits, answers, corpus, threshold)
+    left = queries.select("qid", "text").join(sure.filter("method = 'auto_ratio'").select("qid"), "qid", "left_anti")
+    shown = hits.filter(F.col("rank") <= candidates).join(left.select("qid"), "qid").join(corpus, "doc_id")
+    line = F.struct("rank", F.col("doc_id").cast("string").alias("doc_id"), "title", F.substring("body", 1, SNIPPET).alias("snippet"))
+    listed = shown.groupBy("qid").agg(F.array_sort(F.collect_list(line)).alias("shown"))  # a few a query
+    asked = left.join(listed, "qid").withColumn("prompt", chooser_prompt(F.col("text"), F.col("shown"), limit))
+    chosen = asked.withColumn("ids", chosen_documents(choose(F.col("prompt")), limit)).select("qid", "ids")
+    both = queries.select("qid").join(sure.filter("method = 'auto_ratio'"), "qid", "left").join(chosen, "qid", "left")
+    none = F.array().cast("array<string>")
+    ids = F.when(F.col("gold_doc_id").isNotNull(), F.array(F.col("gold_doc_id").cast("string"))).otherwise(F.coalesce("ids", none))
+    method = F.when(F.col("gold_doc_id").isNotNull(), "auto_ratio").when(F.size(ids) > 0, "gpt_fallback").otherwise("uncertain")
+    return both.select("qid", ids.alias("gold_doc_ids"), method.alias("method"))
+
+
 def auto_label(hits: DataFrame, answers: DataFrame, corpus: DataFrame, threshold: float = RATIO) -> DataFrame:
     """qid, gold_doc_id, method: the best hit where it is confident and holds the answer, else 'uncertain'.
 

@@ -14,6 +14,12 @@ def accuracy(rows: DataFrame, truth: str = "answer", guess: str = "predict", mis
     return rows.filter(t.isNotNull()).agg(F.avg(F.coalesce((t == F.col(guess)), F.lit(False)).cast("double")).alias("accuracy"))
 
 
+def choice_markers(choices: Column, answer: Column, predict: Column) -> Column:
+    """Each choice as a line with its number: a check mark at the answer, a cross at another prediction."""
+    sign = lambda i: F.when(i + 1 == answer, "✅").when(i + 1 == predict, "❌").otherwise("  ")
+    return F.transform(choices, lambda c, i: F.concat(sign(i), F.lit(" "), (i + 1).cast("string"), F.lit(". "), c))
+
+
 def confusion(rows: DataFrame, truth: str = "answer", guess: str = "predict") -> DataFrame:
     return rows.groupBy(F.col(truth).alias("truth"), F.col(guess).alias("guess")).agg(F.count("*").alias("n"))
 

@@ -58,6 +58,34 @@ def within_tokens(rows: DataFrame, ids: str, most: int, before_truncation: bool
     return rows.withColumn(ids, F.slice(ids, 1, most))
 
 
+def json_label(output: Column) -> Column:
+    """The label A or B of a classifier's JSON answer; a failure or anything else is B."""
+    found = F.upper(F.trim(F.from_json(output, "label string")["label"]))
+    return F.when(found == "A", "A").otherwise("B")
+
+
+def embedded(rows: DataFrame, text: str, load: Callable[[], Callable[[pd.Series], pd.Series]]) -> DataFrame:
+    """rows with embedding (array<float>): load() gives a function from texts to vectors, once a worker."""
+    return rows.withColumn("embedding", batched(load, "array<float>")(F.col(text)))
+
+
+def chat_text(messages: Column, add_generation: bool = False) -> Column:
+    """Messages as one text: ``<|im_start|>role\\ncontent<|im_end|>\\n`` each, and the head of the answer to come."""
+    turn = lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))
+    whole = F.array_join(F.transform(messages, turn), "")
+    return F.concat(whole, F.lit("<|im_start|>assistant\n")) if add_generation else whole
+
+
+def tokenized(rows: DataFrame, load: Callable[[], Callable[[pd.Series], pd.Series]], max_length: int, truncation: bool = True, messages: str = "messages", template: Callable[[Column], Column] = chat_text) -> DataFrame:
+    """id, answer, input_ids and attention_mask of rows(id, answer, messages).
+
+    load() gives a tokenizer, a function from texts to lists of ids. With truncation the first max_length ids stay;
+    without it, longer rows go.
+    """
+    ids = rows.select("id", "answer", batched(load, "array<long>")(template(F.col(messages))).alias("input_ids"))
+    return within_tokens(ids, "input_ids", max_length, before_truncation=not truncation).withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+
+
 def generated(rows: DataFrame, client: Callable[[], Callable[[str], str]], prompt: str = "prompt", tries: int = 3, wait: float = 2.0) -> DataFrame:
     """rows with output and error: a client's text for each prompt, asked again up to tries times; client() is called once a task."""
     from pyspark.sql import types as T

@@ -52,14 +52,31 @@ def with_documents(exams: DataFrame, raw_corpus: DataFrame, gates: tuple[ColumnM
 
 
 def inference(raw: DataFrame, scorer: ColumnModel, settings: Settings, raw_corpus: DataFrame | None = None, gates: tuple[ColumnModel, ColumnModel] | None = None) -> DataFrame:
-    """id, answer of raw (schemas.EXAM_RAW). scorer: messages to an array of choice scores."""
+    """id, answer of raw (schemas.EXAM_RAW), in order of id. scorer: messages to an array of choice scores."""
     exams = literals.flattened(raw)
     if settings.retrieve:
         if raw_corpus is None or gates is None:
             raise ValueError("retrieval needs a corpus and two gates")
         exams = with_documents(exams, raw_corpus, gates, settings)
     asked = prompts.chat_messages(exams, settings.template, with_answer=False, folder=settings.template_folder)
-    return models.predictions(asked.withColumn("_scores", scorer(F.col("messages"))), F.col("_scores"))
+    return models.predictions(asked.withColumn("_scores", scorer(F.col("messages"))), F.col("_scores")).orderBy("id")
+
+
+def training_set(raw: DataFrame, settings: Settings) -> DataFrame:
+    """id, answer and messages, with the answer as last turn, of the training part."""
+    parts = sampling.train_test_split(raw, "id", settings.train_share, settings.seed).filter("split = 'train'").drop("split")
+    return prompts.chat_messages(literals.flattened(parts), settings.template, folder=settings.template_folder).select("id", "answer", "messages")
+
+
+def run(mode: str, raw: DataFrame, settings: Settings, scorer: ColumnModel | None = None, **retrieval) -> DataFrame:
+    """One of the modes: 'train' gives the training set, 'evaluate' the metrics' row, 'inference' the answers."""
+    if mode == "train":
+        return training_set(raw, settings)
+    if mode not in ("evaluate", "inference"):
+        raise ValueError(f"no mode {mode!r}; there are train, evaluate and inference")
+    if scorer is None:
+        raise ValueError(f"mode {mode} needs a scorer")
+    return evaluation(raw, scorer, settings)[1] if mode == "evaluate" else inference(raw, scorer, settings, **retrieval)
 
 
 def evaluation(raw: DataFrame, scorer: ColumnModel, settings: Settings) -> tuple[DataFrame, DataFrame]:

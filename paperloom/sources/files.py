@@ -58,6 +58,45 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_corpus(df: DataFrame, path: str) -> None:
+    """Each file is a JSON array, one record a line; non-ASCII characters stay. What was at path goes only after the new files are there.
+
+    df may read path itself.
+    """
+    from pyspark.sql import functions as G
+
+    def lines(batches):
+        import pyarrow as pa
+
+        first = True
+        for batch in batches:
+            rows = [("[" if first and not k else ",") + x for k, x in enumerate(batch.column(0).to_pylist())]
+            first = first and not rows
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"], pa.string())], names=["value"])
+
+    spark = df.sparkSession
+    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    df.select(G.to_json(G.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(lines, "value string").write.mode("overwrite").text(new)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(at(old), True)
+    if files.exists(at(path)):
+        files.rename(at(path), at(old))
+    files.rename(at(new), at(path))
+    files.delete(at(old), True)
+
+
+def corpus_or_empty(spark: SparkSession, path: str) -> DataFrame:
+    """The corpus at path; where nothing is there, or nothing that can be read, an empty one to start from."""
+    try:
+        return read_corpus(spark, path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schemas.CORPUS)
+
+
 def read_predictions(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """id, model, answer of several prediction files, one a model."""
     parts = [read_csv(spark, p, schemas.PREDICTIONS).withColumn("model", F.lit(m)) for m, p in paths.items()]
