@@ -84,17 +84,25 @@ hy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c D
 """
 
 
-_INDEXES: dict[tuple[str, str], bm25.Index] = {}
+_INDEXES: dict[tuple, bm25.Index] = {}
 
 
 def bm25_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    """The index of a corpus, built by the first query of a session that needs it."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The index of a corpus, built by the first query of a session that needs it, and anew when the table's files change."""
+    files_now = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet").select("path", "length", F.col("modificationTime").cast("string"))
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(tuple(r) for r in files_now.collect()))
     if key not in _INDEXES:
+        for old in [k for k in _INDEXES if k[:2] == key[:2]]:
+            del _INDEXES[old]
         _INDEXES[key] = bm25.build(docs(spark, sf_dir))
     return _INDEXES[key]
 
 
+def forget_indexes() -> None:
+    """The next query builds its index again, as a timing must."""
+    _INDEXES.clear()
+
+
 def bm25_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_index(spark, sf_dir).top_k(items(spark, sf_dir), hybrid.BM25_K)
 
@@ -398,8 +406,9 @@ def domain_sql() -> str:
 
 
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lowered = F.lower("text")
-    return docs(spark, sf_dir).select("doc_id", text.best_name({d: text.keyword_score(lowered, w) for d, w in DOMAINS.items()}, GENERAL).alias("domain"))
+    lowered = docs(spark, sf_dir).select("doc_id", F.lower("text").alias("low"))
+    scored = lowered.select("doc_id", *[text.keyword_score(F.col("low"), w).alias(d) for d, w in DOMAINS.items()])
+    return scored.select("doc_id", text.best_name({d: F.col(d) for d in DOMAINS}, GENERAL).alias("domain"))
 
 
 @query(f"WITH {domain_sql()} SELECT doc_id, domain FROM dom")
@@ -553,12 +562,15 @@ def one_text(spark: SparkSession, value: str) -> DataFrame:
     return spark.createDataFrame([("d", value)], "doc string, text string")
 
 
-@query()
+@query(r"""SELECT 'd' AS doc, n::INT AS q_num, t AS q_text FROM (VALUES (1, '1. 다음 글에 대한 설명으로 옳은 것은? ① 가 ② 나 ③ 다 ④ 라 ⑤ 마'),
+(2, E'2. 첫째 문장이다. 밑줄 친 것은?\n<보 기>\n보기 글\n① 하나 ② 둘\n1. 목록'), (3, '3. 셋째 ① 갑 ② 을')) v(n, t)""")
 def question_split(spark, sf_dir):
     return exam_text.questions(one_text(spark, EXAM_TEXT))
 
 
-@query()
+@query("""SELECT 'd' AS doc, n::INT AS q_num, p AS paragraph, q AS question, c AS choices, plus AS question_plus, a AS answer, 'generation-for-nlp-' || (n - 1) AS id FROM (VALUES
+(1, '다음 글에 대한 설명으로 옳은 것은?', '다음 글에 대한 설명으로 옳은 것은?', '① 가|② 나|③ 다|④ 라|⑤ 마', '', '3'),
+(2, '첫째 문장이다.', '첫째 문장이다. 밑줄 친 것은?', '① 하나|② 둘 1. 목록', '보기 글', '5'), (3, '셋째', '셋째', '① 갑|② 을', '', '')) v(n, p, q, c, plus, a)""")
 def question_parse(spark, sf_dir):
     sheet = exam_text.answer_sheet(one_text(spark, SHEET))
     return exam_text.with_ids(exam_text.history_exam(one_text(spark, EXAM_TEXT), sheet)).withColumn("choices", F.array_join("choices", "|"))
@@ -569,7 +581,8 @@ def answer_sheet(spark, sf_dir):
     return exam_text.answer_sheet(one_text(spark, SHEET))
 
 
-@query()
+@query("""SELECT 'd' AS doc, n::INT AS q_num, '이것은 스무 글자가 넘는 긴 지문이며 여기에서 끝난다.' AS paragraph, q AS question, c AS choices, '' AS question_plus, a AS answer FROM (VALUES
+(1, '첫 질문?', '① 가|② 나', '3'), (2, '둘째 질문?', '① 다|② 라', '5')) v(n, q, c, a)""")
 def passage_header_join(spark, sf_dir):
     out = exam_text.language_exam(one_text(spark, LANGUAGE_TEXT), exam_text.answer_sheet(one_text(spark, SHEET)))
     return out.withColumn("choices", F.array_join("choices", "|"))
@@ -593,3 +606,6 @@ def validate_generated(spark, sf_dir):
         (3, '{"question": "q", "choices": ["a", "b"], "answer": 3}'), (4, "nothing"),
     ], "id int, problems string").withColumn("problems", text.unfenced(F.col("problems")))
     return literals.parsed_problems(rows).select("id", literals.problem_valid(F.when(F.col("parse_ok"), F.col("p"))).alias("reason"))
+
+
+from paperloom.plans import parity  # noqa: E402, F401  registers further queries

@@ -381,3 +381,103 @@ def test_registry():
     for bad in (lambda: parts.get("b"), lambda: parts.register("a")(2)):
         with pytest.raises(KeyError):
             bad()
+
+
+def test_vectors_equal_brute_force(spark):
+    """Ties, null and short vectors, several blocks of queries, parts of batches, and more wanted than there are."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.integers(0, 4, 3)]) for i in range(300)] + [(900, None), (901, [1.0])]
+    asked = [(q, [float(x) for x in rng.normal(size=3)]) for q in range(20)] + [(99, None)]
+    kind = "{} long, embedding array<float>"
+    docs, queries = spark.createDataFrame(rows, kind.format("doc_id")).repartition(3), spark.createDataFrame(asked, kind.format("qid"))
+    real = {r.qid: r.embedding for r in queries.collect() if r.embedding}
+    for k, block, cells in ((7, 4096, 4_000_000), (7, 6, 100), (500, 4096, 1000)):
+        vectors.BLOCK, vectors.CELLS, before = block, cells, (vectors.BLOCK, vectors.CELLS)
+        try:
+            got = {}
+            for r in vectors.top_k(queries, docs, k).collect():
+                got.setdefault(r.qid, []).append((r["rank"], r.doc_id, r.distance))
+        finally:
+            vectors.BLOCK, vectors.CELLS = before
+        for q, v in real.items():
+            every = sorted((round(sum((a - b) ** 2 for a, b in zip(v, x)), 9), i) for i, x in rows[:300])[:k]
+            assert [(n, i) for n, i, _ in sorted(got[q])] == [(n, i) for n, (_, i) in enumerate(every, 1)]
+        assert set(got) == set(real)
+    assert vectors.top_k(queries, docs.limit(0)).count() == 0 and vectors.top_k(queries.limit(0), docs).count() == 0
+
+
+def test_split_goes_down_by_prefixes(spark, monkeypatch):
+    want = {r.id: r.split for r in sampling.train_test_split(spark.range(9000), "id").collect()}
+    monkeypatch.setattr(sampling, "GROUP", 2)
+    assert {r.id: r.split for r in sampling.train_test_split(spark.range(9000), "id").collect()} == want
+
+
+def test_modes(spark):
+    from paperloom.plans import exam
+
+    first = lambda m: F.array(F.lit(0.5), F.lit(0.5))
+    raw = raw_exams(spark)
+    train = exam.run("train", raw, exam.Settings()).collect()
+    assert len(train) == 8 and all(r.messages[-1]["role"] == "assistant" and r.messages[-1]["content"] == str(r.answer) for r in train)
+    assert [r.id for r in exam.run("inference", raw, exam.Settings(), first).collect()] == [f"{i:02}" for i in range(10)]
+    assert exam.run("evaluate", raw, exam.Settings(), first).columns == ["accuracy", "macro_f1"]
+    for bad in (lambda: exam.run("other", raw, exam.Settings()), lambda: exam.run("evaluate", raw, exam.Settings())):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_logger():
+    from paperloom.log import get_logger
+
+    assert get_logger("t1") is get_logger("t1") and len(get_logger("t1").handlers) == 1 and not get_logger("t1").propagate
+
+
+def test_corpus_is_overwritten_by_swap(spark, tmp_path):
+    path = f"file://{tmp_path}/c"
+    assert files.corpus_or_empty(spark, path).count() == 0
+    rows = spark.createDataFrame([("é1", None, "제목", [], None, '{"k": "v"}', "x"), ("2", None, None, None, None, None, None)], schemas.CORPUS)
+    files.write_corpus(rows, path)
+    assert any("제목" in p.read_text(encoding="utf-8") for p in (tmp_path / "c").glob("part-*"))
+    files.write_corpus(files.read_corpus(spark, path).filter("doc_id != '2'"), path)
+    assert [r.title for r in files.read_corpus(spark, path).collect()] == ["제목"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["c"]
+    files.write_corpus(rows.limit(0), path)
+    assert files.read_corpus(spark, path).count() == 0
+    for p in (tmp_path / "c").glob("part-*"):
+        p.write_text("[{broken", encoding="utf-8")
+    for p in (tmp_path / "c").glob(".*crc"):
+        p.unlink()
+    assert files.corpus_or_empty(spark, path).count() == 0
+
+
+def test_retrievers(spark):
+    from paperloom.operators import retrieval
+    from paperloom.registry import RETRIEVERS
+
+    assert RETRIEVERS.names() == ["bm25", "hybrid", "vector"]
+    docs = spark.createDataFrame([(1, "A", "apple pie", "apple pie", "x"), (2, None, "pear tart", "pear tart", "y"), (3, "C", "plum jam", "plum jam", "z")], "doc_id long, title string, text string, body string, shelf string")
+    embed = lambda rows: models.embedded(rows, "text", lambda: lambda t: t.map(lambda x: [float("pear" in x), 1.0])).select("key", "embedding")
+    asked = spark.createDataFrame([(7, "pear")], "qid long, text string")
+    lexical = RETRIEVERS.get("bm25")(docs)
+    both = RETRIEVERS.get("hybrid")(lexical, RETRIEVERS.get("vector")(docs, embed))
+    for retriever in (lexical, both):
+        top = retriever.retrieve(asked, 1).first()
+        assert (top.doc_id, top.title, top.content, top.metadata["shelf"]) == (2, "", "pear tart", "y")
+    assert both.retrieve(asked, 0).count() == 3
+    with pytest.raises(TypeError):
+        lexical.retrieve("pear")
+    assert "pear tart" in retrieval.RagPipeline(lexical, 1).run("pear")
+
+
+def test_index_is_built_anew_when_the_table_changes(spark, tmp_path):
+    from paperloom.plans import queries
+
+    queries.forget_indexes()
+    sizes = []
+    for text_ in ("one", "one two"):
+        spark.createDataFrame([(1, text_)], "doc_id long, text string").write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
+        sizes += [queries.bm25_index(spark, f"file://{tmp_path}").size, queries.bm25_index(spark, f"file://{tmp_path}").size]
+    assert sizes == [(1, 1.0), (1, 1.0), (1, 2.0), (1, 2.0)] and len(queries._INDEXES) == 1
+    queries.forget_indexes()
