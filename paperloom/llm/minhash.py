@@ -46,6 +46,8 @@ ESTIMATE = 0.7
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Buckets of so many members have all pairs between components looked at, 8 a member at most; larger ones go by prefixes.
 SMALL_BUCKET = 16
+#: Rows of ids and hashes that may be sent to all tasks, 50 MB at most; they are counted first.
+BROADCAST_ROWS = 500_000
 #: Parts that a large component is dealt in.
 SALTS = 16
 #: Classes of size for each factor of e.
@@ -160,8 +162,10 @@ def plausible(percent: int):
 
 def node_texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int, path: str) -> DataFrame:
     """node and text of the nodes in wanted(node), each once."""
-    wanted = wanted.distinct().join(nodes.select("node", "digest", "doc_min"), "node")
-    rows = docs.select(F.col("doc_id").alias("_id"), text_bytes()).join(wanted, F.col("_id").eqNullSafe(F.col("doc_min"))).select("node", "digest", "text")
+    wanted = stored(wanted.distinct().join(nodes.select("node", "digest", "doc_min"), "node"), f"{path}/wanted")
+    size = wanted.count()
+    side = F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted  # texts are shuffled only beyond that
+    rows = docs.select(F.col("doc_id").alias("_id"), text_bytes()).join(side, F.col("_id").eqNullSafe(F.col("doc_min"))).select("node", "digest", "text")
 
     def own(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Of several texts under one id, the node's own."""
@@ -169,7 +173,7 @@ def node_texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: in
         return batch.filter(pa.array(same, pa.bool_())).select(["node", "text"])
 
     texts = stored(map_batches(rows, own, "node long, text binary"), f"{path}/texts")
-    if texts.count() > wanted.count():  # repeated rows
+    if texts.count() > size:  # repeated rows
         texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")), f"{path}/texts-once")
     return texts
 
@@ -329,10 +333,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     best = first.select("best.doc_id", "best.text_key")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
     gone = crowd.join(best, same(crowd, best), "left_anti").select(F.col("doc_id").alias(id_), F.col("text_key").alias(hash_)).distinct()
-    left = held.join(gone, F.col(id_).eqNullSafe(held["doc_id"]) & (F.col(hash_) == F.col(key)), "left_anti")
     twice = crowd.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(id_), F.col("text_key").alias(hash_))
-    twice = stored(twice, f"{path}/twice")
+    gone, twice = stored(gone, f"{path}/gone"), stored(twice, f"{path}/twice")
+    some = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    left = held.join(some(gone), F.col(id_).eqNullSafe(held["doc_id"]) & (F.col(hash_) == F.col(key)), "left_anti")
     if twice.limit(1).count():
-        again = lambda how: left.join(twice, F.col(id_).eqNullSafe(left["doc_id"]) & (F.col(hash_) == F.col(key)), how)
+        again = lambda how: left.join(some(twice), F.col(id_).eqNullSafe(left["doc_id"]) & (F.col(hash_) == F.col(key)), how)
         left = again("left_anti").unionByName(again("left_semi").dropDuplicates(["doc_id", key]))
     return left.select(*[F.col(quoted(c)) for c in names])
