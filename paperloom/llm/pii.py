@@ -299,15 +299,20 @@ def secret_after(text: str, at: int, kind: str, bearer: bool) -> tuple[int, int]
     return (at, end) if good else None
 
 
-def pem_at(text: str, at: int) -> tuple[int, int] | None:
-    """A block from "-----BEGIN ... PRIVATE KEY-----" to its end line."""
+def pem_at(text: str, at: int, foot: int) -> tuple[tuple[int, int] | None, int]:
+    """A block from "-----BEGIN ... PRIVATE KEY-----" to the next end line, which must have its label; and where that line begins.
+
+    foot: the end line found for an earlier block, read again where it still lies ahead; the text's length where there is none.
+    """
     head = text.find("-----", at + len(PEM), at + len(PEM) + 40)
     label = text[at + len(PEM) : head] if head >= 0 else ""
     if not label.endswith("PRIVATE KEY"):
-        return None
-    foot = f"-----END {label}-----"
-    end = text.find(foot, head)
-    return (at, end + len(foot)) if end >= 0 else None
+        return None, foot
+    if foot < head:
+        foot = text.find("-----END ", head)
+        foot = len(text) if foot < 0 else foot
+    last = f"-----END {label}-----"
+    return ((at, foot + len(last)) if text.startswith(last, foot) else None), foot
 
 
 def login_after(text: str, at: int) -> tuple[int, int] | None:
@@ -323,7 +328,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     """All spans of a whole text, by start, then kind as listed."""
     out: list[tuple[int, int, str]] = []
     # where each kind's last match ends, whether it passed or not: the next begins there at the earliest
-    after = dict.fromkeys((*ORDER, "pem"), 0)
+    after, foot = dict.fromkeys(ORDER, 0), -1
     for end, (kind, back) in automaton().iter(text):
         at = end - back
         if kind == "email":
@@ -356,12 +361,10 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             elif kind == "account":
                 found, label = account_after(text, end + 1), "account"
             elif kind == "pem":
-                found, label = pem_at(text, at) if at >= after["pem"] else None, "secret"
-                if not found and text.startswith(PEM, at):
-                    after["pem"] = max(after["pem"], len(text) if "PRIVATE KEY-----" in text[at : at + 60] else at)
+                (found, foot), label = pem_at(text, at, foot), "secret"
             elif kind.startswith("key "):
-                stop = run_end(text, end + 1, NAME)
-                found, label = ((at, stop) if stop - end - 1 >= int(kind[4:]) and not (at and text[at - 1] in NAME) else None), "secret"
+                stop = end + 1 if at and text[at - 1] in NAME else run_end(text, end + 1, NAME)  # one reading of a run
+                found, label = ((at, stop) if stop - end - 1 >= int(kind[4:]) else None), "secret"
             else:
                 found, label = secret_after(text, end + 1, kind, text[end - 5 : end + 1].lower() == "bearer"), "secret"
             if found and found[0] >= after[label]:
