@@ -22,7 +22,8 @@ estimate of such a pair, which deviates by 0.0217, falls under ESTIMATE with pro
 Defined cases: null and wordless texts have an empty set and are linked with nothing; a text with fewer
 words than a shingle has its whole sequence as the one shingle; repeated rows and equal ids each give a
 row; a null id joins components like any other but never names one, and where a component has no other id
-its id is null; a row is kept where its id equals the component's (null equals null).
+its id is null; a row is kept where its id equals the component's (null equals null); a text of any length is read
+whole, in memory that grows with its words; an empty table gives no rows; other columns are ignored or, in filtering, kept.
 """
 
 from __future__ import annotations
@@ -161,14 +162,18 @@ def plausible(percent: int):
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int, path: str) -> DataFrame:
-    """node and text of the nodes in wanted(node), each once."""
-    wanted = stored(wanted.distinct().join(nodes.select("node", "digest", "doc_min"), "node"), f"{path}/wanted")
+    """node and text of the nodes in wanted(node), each once.
+
+    A node's text is found by the id and the text's hash together, so many texts under one id, or without one, don't meet each other.
+    """
+    wanted = stored(wanted.distinct().join(nodes.select("node", "digest", "doc_min", "key_min"), "node"), f"{path}/wanted")
     size = wanted.count()
     side = F.broadcast(wanted) if size <= BROADCAST_ROWS else wanted  # texts are shuffled only beyond that
-    rows = docs.select(F.col("doc_id").alias("_id"), text_bytes()).join(side, F.col("_id").eqNullSafe(F.col("doc_min"))).select("node", "digest", "text")
+    held = docs.select(F.col("doc_id").alias("_id"), text_bytes(), F.xxhash64("text").alias("_key"))
+    rows = held.join(side, F.col("_id").eqNullSafe(F.col("doc_min")) & (F.col("_key") == F.col("key_min"))).select("node", "digest", "text")
 
     def own(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Of several texts under one id, the node's own."""
+        """Of several texts under one id and hash, the node's own."""
         same = [xxhash.xxh3_128_digest(shingle_set(x, shingle).tobytes()) == d for x, d in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         return batch.filter(pa.array(same, pa.bool_())).select(["node", "text"])
 
@@ -293,10 +298,12 @@ def classes(docs: DataFrame, shingle: int, percent: int, local_links: int = LOCA
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     marked = stored(signatures(docs, shingle), f"{path}/signatures")
     # a number for each different set; stored, so that it stays
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
     nodes = marked.filter("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_min"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
+        lowest.alias("lowest"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
     )
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), f"{path}/nodes")
+    nodes = nodes.withColumns({"doc_min": F.col("lowest.doc_id"), "key_min": F.col("lowest.text_key"), "node": F.monotonically_increasing_id()}).drop("lowest")
+    nodes = stored(nodes, f"{path}/nodes")
     labels = stored(linked_nodes(docs, nodes, shingle, percent, path, local_links), f"{path}/labels")
     named = nodes.select("digest", "doc_min", "node").join(labels, "node", "left")
     # only linked nodes have a label; of a large component each task sends one row, and salt parts it in the join

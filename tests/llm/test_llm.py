@@ -346,12 +346,28 @@ def test_boilerplate_makes_no_pairs(spark):
         rows = [(i, " ".join([*common, *(f"own{i}x{k}" for k in range(4))])) for i in range(n)]
         path = work_dir(spark, "t")
         docs = spark.createDataFrame(rows, "doc_id long, text string")
-        nodes = minhash.signatures(docs, 4).withColumns({"node": F.col("doc_id"), "doc_min": F.col("doc_id")}).select("node", "digest", "doc_min", "n_shingles", "bands", "sig")
+        nodes = minhash.signatures(docs, 4).withColumns({"node": F.col("doc_id"), "doc_min": F.col("doc_id"), "key_min": F.col("text_key")}).select("node", "digest", "doc_min", "key_min", "n_shingles", "bands", "sig")
         assert minhash.linked_nodes(docs, minhash.stored(nodes, f"{path}/nodes"), 4, 80, path, 10**6).count() == 0
         made.append(sum(spark.read.parquet(f"{path}/{t}").count() for t in ("pairs-0", "pairs-1", "prefix-pairs")))
     assert made[1] <= 4 * made[0]  # four times the texts
 
 
+def test_texts_without_id_meet_their_own_node_only(spark, monkeypatch):
+    """Many texts under no id and under one id, in pairs of near copies: each node's text is fetched by one row."""
+    rng, rows = random.Random(21), []
+    for k in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(None if k % 2 else 7, " ".join(words)), (None if k % 2 else 7, " ".join([*words, f"x{k}"]))]
+    made = []
+    whole = minhash.map_batches
+    monkeypatch.setattr(minhash, "map_batches", lambda df, fn, schema: made.append((schema, df)) or whole(df, fn, schema))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.classes(docs, 5, 80).groupBy("label").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).collect()
+    assert sorted((r.n, r.c or 0) for r in got) == [(2, 0)] * 150 + [(2, 7)] * 150
+    fetched = [df.count() for schema, df in made if schema == "node long, text binary"]
+    assert fetched and max(fetched) == 600
+
+
 def test_one_row_of_each_component_stays(spark):
     """Null ids, one id on several texts, and repeated rows."""
     text = " ".join(f"w{k}" for k in range(80))
@@ -596,6 +612,15 @@ def test_long_runs_are_linear():
     for text in ("token" * 50_000, "token=" * 50_000, "iban " * 50_000, "-----BEGIN PRIVATE KEY-----" * 10_000, "ssn 1" * 50_000, "account no " * 30_000):
         assert pii.find_spans(text) == []
     assert len(pii.find_spans("password='" * 30_000)) < 30_000
+    assert pii.find_spans("AKIA" * 100_000) == [(0, 400_000, "secret")]
+
+
+def test_key_block_after_an_open_one():
+    """A block without its end line doesn't hide those after it."""
+    whole = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
+    for before in ("-----BEGIN EC PRIVATE KEY-----\nabc\n", "-----BEGIN RSA PRIVATE KEY ", "-----END EC PRIVATE KEY-----\n", "-----BEGIN PUBLIC KEY-----\n"):
+        text = before + whole + " x " + whole + before
+        assert [text[a:b] for a, b, k in pii.find_spans(text)] == [whole, whole]
 
 
 def test_pii_edges(edge, none):
