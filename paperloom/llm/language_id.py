@@ -16,7 +16,8 @@ model is then bounded: no more byte groups than training bytes.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text where
 nothing could be learned; ties go to the first language by name; a null id is never held out nor learned
-from; repeated rows each count; other columns are ignored.
+from; repeated rows each count; a text of any length is scored whole, CHUNK bytes at a time; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ task holds more than a block's rows or BLOCK_ROWS matrices, however long a conve
 
 Defined cases: rows follow each other by turn, those of one turn number by a hash of their text; a null turn comes
 first and stays null; repeated rows are each a row; a row without conversation is one of its own; null and blank
-texts have no lines and give no turn; a null or unknown role is not learned from; other columns are ignored.
+texts have no lines and give no turn; a null or unknown role is not learned from, and without any known role all moves
+and features are equally likely; a text of any length is read whole; an empty table gives no turns; other columns are ignored.
 """
 
 from __future__ import annotations

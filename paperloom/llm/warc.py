@@ -10,7 +10,8 @@ response; the others are revisits that refer to it. Smaller ones are all respons
 
 Defined cases: a null html is an empty payload; a null url is written as an empty target; a null page_id
 sorts below all others, and a record whose group has no other id is a response; of repeated rows with the
-same id and payload each is a record, and all of the largest id are responses; other columns are ignored.
+same id and payload each is a record, and all of the largest id are responses; a payload of any length, up to what
+a binary cell holds (2 GB), is one cell; an empty table gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
