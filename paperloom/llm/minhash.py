@@ -334,13 +334,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     key, id_, hash_ = (unused(docs, c) for c in ("_key", "_id", "_hash"))
     held = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    first = found.groupBy("label").agg(F.min(rank).alias("best"))
-    others = found.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")  # most rows are alone
-    crowd = stored(found.join(others, "label"), f"{path}/crowd")
-    best = first.select("best.doc_id", "best.text_key")
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
-    gone = crowd.join(best, same(crowd, best), "left_anti").select(F.col("doc_id").alias(id_), F.col("text_key").alias(hash_)).distinct()
-    twice = crowd.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(id_), F.col("text_key").alias(hash_))
+    # of a large component each task sends one row; its members never meet, each is looked up by its own id and hash
+    best = found.groupBy("label").agg(F.min(rank).alias("best")).select("best.doc_id", "best.text_key")
+    rows = stored(found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")), f"{path}/rows")
+    gone = rows.join(best, rows["doc_id"].eqNullSafe(best["doc_id"]) & (rows["text_key"] == best["text_key"]), "left_anti").select(F.col("doc_id").alias(id_), F.col("text_key").alias(hash_))
+    twice = rows.filter("n > 1").select(F.col("doc_id").alias(id_), F.col("text_key").alias(hash_))
     gone, twice = stored(gone, f"{path}/gone"), stored(twice, f"{path}/twice")
     some = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
     left = held.join(some(gone), F.col(id_).eqNullSafe(held["doc_id"]) & (F.col(hash_) == F.col(key)), "left_anti")
