@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import binary_records, bpe, decontaminate, language_id, minhash, pii, quality_rules, rule_ensemble, transcripts, warc
+from paperloom.llm import alignment, binary_records, bpe, decontaminate, divergence, language_id, minhash, pii, quality_rules, rule_ensemble, transcripts, tree_bpe, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +62,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_bpe.tree_digests(table(spark, sf_dir, "documents"), MULTI_BPE)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_links(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_language_id, op3_warc, op4_transcripts, op5_minhash, op6_token_records, op7_rule_ensemble, op8_bpe, op9_pii, op10_decontaminate,
+        op11_tree_bpe, op12_alignment, op13_divergence,
     )
 }
 
@@ -116,4 +131,23 @@ m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN m ON m.x = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
 """
 
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op3_warc": OP3_SQL, "op5_minhash": OP5_SQL}
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0)::BIGINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+l AS (SELECT lang, sum(total)::BIGINT AS total FROM g GROUP BY lang),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (total + 2 * v))::BIGINT AS p
+      FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT s.lang, s.term, (1 + (1000000000::HUGEINT * (s.n + 2)) // (l.total + 2 * v))::BIGINT AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) s JOIN l USING (lang) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT p.lang, p.source, 'term', p.term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+x AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM x WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op3_warc": OP3_SQL, "op5_minhash": OP5_SQL, "op13_divergence": OP13_SQL}
