@@ -19,10 +19,13 @@ each taken leftmost and without overlaps in its kind; failing matches go. The me
 * ``login``: the user:password part of a URL;
 * ``account``: 6 to 20 digits after "account" or a like cue, with only words such as "no" or "number" between;
 * ``secret``: the value after a name such as token, api_key or password and a sign "=" or ":", in quotes or bare.
-  Values of tokens and keys have 16 to 512 characters, letters and digits both or hexadecimal digits only;
-  those of passwords 6 to 128, and where bare a digit or sign among them. Also keys that their own fixed
+  Values of tokens and keys have 16 characters or more, letters and digits both or hexadecimal digits only;
+  those of passwords 6 or more, and where bare a digit or sign among them. Also keys that their own fixed
   beginning shows, and PEM blocks of private keys.
 
+Cues count in any case, names and values of any length are read to their end, and a value may stand on the line after its sign
+(a password's with a digit then); for "iban" and "ssn" the next line counts where nothing else follows on the cue's own.
+
 Offsets are code points, end exclusive. A null text is an empty one and has no spans; texts of any length are
 read whole, in time that grows with their length; repeated rows each give a row; empty tables give no rows;
 further columns are ignored or, in masking, kept.
@@ -48,7 +51,7 @@ ORDER = {k: i for i, k in enumerate((*KINDS, *ADDED))}
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-BLANK, SIGNS = frozenset(" \t"), frozenset("=:>")
+BLANK, SIGNS, BEFORE_NUMBER = frozenset(" \t"), frozenset("=:>"), frozenset(" \t.:#=°º-_")
 LABEL = DIGITS | LETTERS | {"-"}
 LOCAL = DIGITS | LETTERS | set("._%+-")
 PHONE = DIGITS | set(" ().-")
@@ -61,17 +64,19 @@ KEY_STARTS = {"AKIA": 16, "ASIA": 16, "ghp_": 36, "gho_": 36, "ghs_": 36, "ghu_"
 PEM = "-----BEGIN "
 #: What may stand between a cue of an account and its number.
 BETWEEN = frozenset(("no", "nr", "num", "number", "nummer", "numero", "id", "is", "n"))
-TOKEN_LENGTH, PASSWORD_LENGTH = (16, 512), (6, 128)
+TOKEN_LENGTH, PASSWORD_LENGTH = 16, 6
 NAME = DIGITS | LETTERS | set("_-")
 TOKEN = NAME | set("+/=.~")
 HEX = frozenset("0123456789abcdefABCDEF")
+#: Characters besides white space at which a bare value ends.
+CLOSERS = frozenset("\"'`,;<>()[]{}&")
 QUOTES = frozenset("\"'`")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "sftp://")
 
 
 @functools.lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
-    """Anchors, each with the kinds of parser it starts and the place of its main character."""
+    """Anchors in lower case, each with the kind of parser it starts and the place of its main character."""
     out, anchors = ahocorasick.Automaton(), {}
     put = lambda text, kind, back: anchors.setdefault(text, (kind, back))
     put("@", "email", 0)
@@ -85,11 +90,10 @@ def automaton() -> ahocorasick.Automaton:
     for s in SCHEMES:
         put(s, "login", -1)
     for cue, kind in (CUES | dict.fromkeys(TOKEN_CUES, "token") | dict.fromkeys(PASSWORD_CUES, "password")).items():
-        for form in {cue, cue.upper(), cue.title(), cue.capitalize()}:
-            put(form, kind, -1)
-    for start, least in KEY_STARTS.items():
-        put(start, f"key {least}", len(start) - 1)
-    put(PEM, "pem", len(PEM) - 1)
+        put(cue, kind, -1)
+    for start in KEY_STARTS:
+        put(start.lower(), f"key {start}", len(start) - 1)
+    put(PEM.lower(), "pem", len(PEM) - 1)
     for text, value in anchors.items():
         out.add_word(text, value)
     out.make_automaton()
@@ -233,25 +237,35 @@ def line_end(text: str, at: int) -> int:
 
 
 def rest_of_line(kind: str, text: str, at: int) -> tuple[list[tuple[int, int]], int]:
-    """All values of a kind from a cue to the line's end, and where that is."""
+    """All values of a kind from a cue to the line's end, or the next line's where only signs follow, and where that is."""
     starts, parser = (iban_starts, iban_at) if kind == "iban" else (ssn_starts, ssn_at)
     out, stop = [], line_end(text, at)
+    if not text[at:stop].strip(" \t\r.:#="):
+        stop = line_end(text, min(stop + 1, len(text)))
     for k in starts(text, at, stop):
         if (not out or k >= out[-1][1]) and (found := parser(text, k)):
             out.append(found)
     return out, stop
 
 
+def next_line(text: str, at: int) -> int:
+    """Past a line break at this place and the blanks after it."""
+    stop = at + (text[at : at + 1] == "\r")
+    return run_end(text, stop + 1, BLANK) if text[stop : stop + 1] == "\n" else at
+
+
 def account_after(text: str, at: int) -> tuple[int, int] | None:
     """6 to 20 digits, single spaces, dots or hyphens between, after signs and up to four words of BETWEEN."""
     for _ in range(5):
-        at = run_end(text, at, set(" \t.:#=°º"))
+        at = run_end(text, at, BEFORE_NUMBER)
         end = run_end(text, at, LETTERS)
         if end == at:
             break
         if text[at:end].lower() not in BETWEEN:
             return None
         at = end
+    if text[at - 1] in ":#=":
+        at = next_line(text, at)
     end, digits = at, 0
     while end < len(text) and digits <= 20 and (text[end] in DIGITS or digits and text[end] in " .-" and text[end + 1 : end + 2] in DIGITS and text[end + 1 : end + 2]):
         digits += text[end] in DIGITS
@@ -259,12 +273,39 @@ def account_after(text: str, at: int) -> tuple[int, int] | None:
     return (at, end) if 6 <= digits <= 20 and text[end : end + 1] not in LETTERS else None
 
 
-def secret_after(text: str, at: int, kind: str, bearer: bool) -> tuple[int, int] | None:
+class Runs:
+    """The run of name characters and the bare value that were read last, so that cues within one don't read it again."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.name = self.bare = (0, 0)
+        # where the bare value last has a digit, a letter, and characters that a token, a hexadecimal number or a word has not
+        self.last = dict.fromkeys(("digit", "letter", "no token", "no hex", "no alpha"), -1)
+
+    def name_end(self, at: int) -> int:
+        if not self.name[0] <= at < self.name[1]:
+            self.name = at, run_end(self.text, at, NAME)
+        return self.name[1]
+
+    def bare_end(self, at: int) -> int:
+        """The end of the bare value that begins at this place; last is set for it."""
+        text = self.text
+        if not self.bare[0] <= at < self.bare[1]:
+            end = at
+            while end < len(text) and not text[end].isspace() and text[end] not in CLOSERS:
+                end += 1
+            self.bare = at, end
+            while end > at and text[end - 1] in ".:":
+                end -= 1
+            self.end = end
+            of = {"digit": DIGITS.__contains__, "letter": LETTERS.__contains__, "no token": lambda c: c not in TOKEN, "no hex": lambda c: c not in HEX, "no alpha": lambda c: not c.isalpha()}
+            self.last = {name: next((k for k in range(end - 1, at - 1, -1) if test(text[k])), -1) for name, test in of.items()}
+        return max(at, self.end)
+
+
+def secret_after(text: str, at: int, kind: str, bearer: bool, runs: Runs) -> tuple[int, int] | None:
     """The value after a name, which may go on (token_id), and a sign; after "bearer" a space is enough."""
-    least, most = PASSWORD_LENGTH if kind == "password" else TOKEN_LENGTH
-    name = at
-    while at < len(text) and at - name <= 32 and text[at] in NAME:
-        at += 1
+    at = runs.name_end(at)
     at += text[at : at + 1] in QUOTES and at < len(text)
     blank = at
     at = run_end(text, at, BLANK)
@@ -272,30 +313,34 @@ def secret_after(text: str, at: int, kind: str, bearer: bool) -> tuple[int, int]
     at = run_end(text, at, SIGNS)
     if at == sign and not (bearer and sign > blank):
         return None
-    at = run_end(text, at, BLANK)
+    line = at = run_end(text, at, BLANK)
+    at = next_line(text, at)
+    below = at > line
     if text[at : at + 7].lower() == "bearer ":
         at += 7
+    least = PASSWORD_LENGTH if kind == "password" else TOKEN_LENGTH
     quote = text[at : at + 1] if text[at : at + 1] in QUOTES and at < len(text) else ""
-    at += len(quote)
-    end, stop = at, min(len(text), at + most + 1)
     if quote:
-        while end < stop and text[end] != quote and text[end] != "\n":
+        at += 1
+        end = at
+        while end < len(text) and text[end] != quote and text[end] != "\n":
             end += 1
-        if text[end : end + 1] != quote:
+        seen = set(text[at:end])
+        if text[end : end + 1] != quote or end - at < least:
             return None
-    else:
-        while end < stop and not text[end].isspace() and text[end] not in "\"'`,;<>()[]{}&":
-            end += 1
-        while end > at and text[end - 1] in ".:":
-            end -= 1
-    value = text[at:end]
-    if not least <= len(value) <= most:
+        if kind == "password":
+            good = not any(map(str.isspace, seen)) and (not below or bool(seen & DIGITS))
+        else:
+            good = seen <= TOKEN and bool(seen & DIGITS) and (bool(seen & LETTERS) or seen <= HEX)
+        return (at, end) if good else None
+    end = runs.bare_end(at)
+    if end - at < least:
         return None
+    has = lambda what: runs.last[what] >= at
     if kind == "password":
-        good = not any(map(str.isspace, value)) and (bool(quote) or not value.isalpha())
+        good = has("no alpha") and (not below or has("digit"))
     else:
-        seen = set(value)
-        good = seen <= TOKEN and bool(seen & DIGITS) and (bool(seen & LETTERS) or seen <= HEX)
+        good = not has("no token") and has("digit") and (has("letter") or not has("no hex"))
     return (at, end) if good else None
 
 
@@ -304,9 +349,9 @@ def pem_at(text: str, at: int, foot: int) -> tuple[tuple[int, int] | None, int]:
 
     foot: the end line found for an earlier block, read again where it still lies ahead; the text's length where there is none.
     """
-    head = text.find("-----", at + len(PEM), at + len(PEM) + 40)
+    head = text.find("-----", at + len(PEM))
     label = text[at + len(PEM) : head] if head >= 0 else ""
-    if not label.endswith("PRIVATE KEY"):
+    if not label.endswith("PRIVATE KEY") or "\n" in label:
         return None, foot
     if foot < head:
         foot = text.find("-----END ", head)
@@ -328,8 +373,9 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     """All spans of a whole text, by start, then kind as listed."""
     out: list[tuple[int, int, str]] = []
     # where each kind's last match ends, whether it passed or not: the next begins there at the earliest
-    after, foot = dict.fromkeys(ORDER, 0), -1
-    for end, (kind, back) in automaton().iter(text):
+    after, foot, runs = dict.fromkeys(ORDER, 0), -1, Runs(text)
+    # of all characters only U+0130 has a lower form of another length
+    for end, (kind, back) in automaton().iter(text.replace("İ", "i").lower()):
         at = end - back
         if kind == "email":
             if at >= after["email"] and (found := email_at(text, at, after["email"])):
@@ -361,12 +407,18 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             elif kind == "account":
                 found, label = account_after(text, end + 1), "account"
             elif kind == "pem":
+                if not text.startswith(PEM, at):
+                    continue
                 (found, foot), label = pem_at(text, at, foot), "secret"
             elif kind.startswith("key "):
+                if not text.startswith(kind[4:], at):
+                    continue
                 stop = end + 1 if at and text[at - 1] in NAME else run_end(text, end + 1, NAME)  # one reading of a run
-                found, label = ((at, stop) if stop - end - 1 >= int(kind[4:]) else None), "secret"
+                found, label = ((at, stop) if stop - end - 1 >= KEY_STARTS[kind[4:]] else None), "secret"
             else:
-                found, label = secret_after(text, end + 1, kind, text[end - 5 : end + 1].lower() == "bearer"), "secret"
+                if end < after["secret"]:  # within a value
+                    continue
+                found, label = secret_after(text, end + 1, kind, text[end - 5 : end + 1].lower() == "bearer", runs), "secret"
             if found and found[0] >= after[label]:
                 out.append((*found, label))
                 after[label] = found[1]
