@@ -7,17 +7,21 @@
    that meets the most others over all its buckets: for copies of one text that is the text or what is
    nearest to it, so nearly all links are found with as many pairs as members. Linked nodes become
    components. Of buckets that then still hold several components, small ones (up to SMALL_BUCKET members) have
-   all pairs between components looked at, each in the first band that it shares. The nodes of larger ones are joined
-   by prefixes of their sets, rarest shingles first, with bounds on sizes and places: see ``prefix_pairs``. This
-   loses no pair that reaches the similarity, and pairs that have only common shingles in common, such as pages of one
-   template, are never made.
+   all pairs between components looked at, each in the first band that it shares. The nodes of larger ones are banded anew by
+   FAR_BANDS bands of FAR_ROWS further minima, in which texts meet that are much alike only: pairs of similarity a third, as of forms
+   with the same questions and other answers, share none with a probability of 0.9997. Buckets of these bands are looked at in the same way; in those
+   that are still large, where texts just below the similarity meet, two nodes are compared only if they also share one of their rarest
+   shingles, at places that leave room for the similarity (see ``prefix_pairs``). Pages of one template with a few words of their own
+   have none in common, and make no pair.
 4. A pair is compared by size, then by the similarity that the signatures' equal bits give, corrected for
    chance collisions, and at last by the full sets: 100 * intersection >= percent * union.
 
 So each pair that could be similar enough is either compared or already inside one component, and none is made within
-a component. What remains can be many only where many pairs come close to the similarity by rare shingles too.
-A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-6; the
-estimate of such a pair, which deviates by 0.0217, falls under ESTIMATE with probability below 3e-6.
+a component. What remains can be many only where many texts come close to the similarity by rare shingles too, or all shingles
+of many such texts are common.
+A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-6, and no far band with
+(1 - 0.8 ** FAR_ROWS) ** FAR_BANDS, below 1e-6; the estimate of such a pair, which deviates by 0.0217, falls under ESTIMATE with
+probability below 3e-6. A linked pair is lost with 5e-6 in all, and only if no other way links the two.
 
 Defined cases: null and wordless texts have an empty set and are linked with nothing; a text with fewer
 words than a shingle has its whole sequence as the one shingle; repeated rows and equal ids each give a
@@ -38,6 +42,8 @@ from paperloom.llm.common import bound_batches, map_batches, quoted, stored, tex
 from paperloom.llm.components import LOCAL_LINKS, components
 
 ROWS, BANDS = 5, 36
+#: Bands for crowded buckets, of minima of their own.
+FAR_ROWS, FAR_BANDS = 12, 200
 #: Minima in the signature, of which the first ROWS * BANDS make the bands, and bits kept of each.
 HASHES, BITS = 360, 4
 LANES = 64 // BITS
@@ -45,7 +51,7 @@ LONGS = -(-HASHES // LANES)
 #: Pairs whose estimated similarity is lower are not compared on full sets.
 ESTIMATE = 0.7
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-#: Buckets of so many members have all pairs between components looked at, 8 a member at most; larger ones go by prefixes.
+#: Buckets of so many members have all pairs between components looked at, 8 a member at most; larger ones are split.
 SMALL_BUCKET = 16
 #: Rows of ids and hashes that may be sent to all tasks, 50 MB at most; they are counted first.
 BROADCAST_ROWS = 500_000
@@ -84,10 +90,10 @@ def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
     return np.unique(mixed(out + np.uint64(width)))
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """HASHES minima of each set; none may be empty."""
-    factors = odd_multipliers(HASHES)
-    out = np.empty((HASHES, len(sets)), np.uint64)
+def minima(sets: list[np.ndarray], hashes: int = HASHES, seed: int = 20240607) -> np.ndarray:
+    """So many minima of each set; none may be empty."""
+    factors = odd_multipliers(hashes, seed)
+    out = np.empty((hashes, len(sets)), np.uint64)
     at = 0
     while at < len(sets):
         end, total = at, 0
@@ -104,11 +110,11 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out.T
 
 
-def bands_of(least: np.ndarray) -> np.ndarray:
+def bands_of(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A hash of each band's minima and its number, as signed longs."""
-    parts = least[:, : BANDS * ROWS].reshape(len(least), BANDS, ROWS)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(least), BANDS)).copy()
-    for k in range(ROWS):
+    parts = least[:, : bands * rows].reshape(len(least), bands, rows)
+    out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(least), bands)).copy()
+    for k in range(rows):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
     return out.view(np.int64)
 
@@ -237,24 +243,41 @@ def between_components(docs: DataFrame, members: DataFrame, labels: DataFrame, n
 
     crowd = stored(left.filter(F.col("c") > SMALL_BUCKET).select("node", "label").distinct(), f"{path}/crowd")
     if crowd.limit(1).count():
-        far = prefix_pairs(shingles_of(docs, nodes, crowd, shingle, path), percent, path)
+        far = crowd_pairs(shingles_of(docs, nodes, crowd, shingle, path), percent, path)
         near = near.union(far.join(own("a"), "a").join(own("b"), "b").filter(plausible(percent)).select("a", "b"))
     return near.distinct()
 
 
+def crowd_pairs(sets: DataFrame, percent: int, path: str) -> DataFrame:
+    """Pairs (a, b) of sets(node, label, n, shingles, far), a stored table, that differ in label, share a far band and may reach the similarity."""
+    flat = sets.select(F.explode("far").alias("bucket"), "node", "label")
+    sizes = flat.groupBy("bucket").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket", "c")
+    held = stored(flat.join(sizes, "bucket"), f"{path}/far-members")
+    few = held.filter(F.col("c") <= SMALL_BUCKET)
+    x, y = (few.select("bucket", F.col("node").alias(end), F.col("label").alias(f"label_{end}")) for end in "ab")
+    pairs = x.join(y, "bucket").filter("a < b and label_a != label_b").select("a", "b").distinct()
+    many = held.filter(F.col("c") > SMALL_BUCKET).select("node", "bucket")
+    if many.limit(1).count():
+        pairs = pairs.union(prefix_pairs(sets.drop("far"), percent, path, many))
+    return stored(pairs, f"{path}/far-pairs")
+
+
 def shingles_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int, path: str) -> DataFrame:
-    """node, label, n and shingles (hashes) of the nodes in wanted(node, label)."""
+    """node, label, n, shingles (hashes) and far (keys of the far bands) of the nodes in wanted(node, label)."""
     texts = node_texts(docs, nodes, wanted.select("node"), shingle, f"{path}/crowd-texts")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(x, shingle).view(np.int64) for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "shingles"])
+        sets = [shingle_set(x, shingle) for x in batch.column(1).to_pylist()]
+        far = bands_of(minima(sets, FAR_ROWS * FAR_BANDS, 20240608), FAR_BANDS, FAR_ROWS)
+        lists = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(list(far), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), *lists], names=["node", "n", "shingles", "far"])
 
-    return stored(map_batches(texts, run, "node long, n long, shingles array<long>").join(wanted, "node"), f"{path}/crowd-shingles")
+    found = map_batches(texts, run, "node long, n long, shingles array<long>, far array<long>")
+    return stored(found.join(wanted, "node"), f"{path}/crowd-shingles")
 
 
-def prefix_pairs(sets: DataFrame, percent: int, path: str) -> DataFrame:
-    """Pairs (a, b) of sets(node, label, n, shingles), a stored table, that differ in label and may reach the similarity.
+def prefix_pairs(sets: DataFrame, percent: int, path: str, buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets(node, label, n, shingles), a stored table, that differ in label, share one of buckets(node, bucket) and may reach the similarity.
 
     Shingles are ordered: first those of one label only, then the rarest. Two sets that have overlap o in
     common have the first common shingle at places i and j with n - i >= o on both sides, and o is at least
@@ -270,7 +293,8 @@ def prefix_pairs(sets: DataFrame, percent: int, path: str) -> DataFrame:
     places = found.join(sets.select("node", "label", "n"), "node").withColumn("alone", F.col("n") - F.size("held"))
     reach = F.greatest(F.lit(0), F.col("n") - F.ceil(p * F.col("n") / 100) + 1 - F.col("alone")).cast("int")
     posted = places.select("node", "label", "n", "alone", F.posexplode(F.slice("held", 1, reach)).alias("k", "x")).select("node", "label", "n", F.col("x.s").alias("s"), (F.col("alone") + F.col("k")).alias("at"))
-    posted = stored(posted, f"{path}/posted")
+    # a shingle is looked up within a bucket, by a hash of both
+    posted = stored(posted.join(buckets, "node").withColumn("s", F.xxhash64("bucket", "s")).drop("bucket"), f"{path}/posted")
     met = posted.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("s")
     posted = posted.join(met, "s")
 

@@ -334,24 +334,44 @@ def test_prefix_pairs_hold_all_similar_ones(spark):
         sets.append((node, rng.choice([node, 1, 2]), sorted((base - set(rng.sample(sorted(base), 2))) | {rng.randrange(60) + k for _ in range(3)})))
     table = spark.createDataFrame([(i, j, len(x), x) for i, j, x in sets], "node long, label long, n long, shingles array<long>")
     for percent in (60, 80, 95):
-        got = {(r.a, r.b) for r in minhash.prefix_pairs(table, percent, work_dir(spark, "t")).collect()}
+        got = {(r.a, r.b) for r in minhash.prefix_pairs(table, percent, work_dir(spark, "t"), table.select("node", F.lit(0).alias("bucket"))).collect()}
         want = {(i, j) for i, a, x in sets for j, b, y in sets if i < j and a != b and 100 * len({*x} & {*y}) >= percent * len({*x} | {*y})}
         assert want and want <= got and all(sets[i][1] != sets[j][1] for i, j in got)
 
 
 def test_boilerplate_makes_no_pairs(spark):
     """Texts with 26 words in common and 4 of their own: similarity 0.74, all in the same buckets."""
-    common, made = [f"w{k}" for k in range(26)], []
-    for n in (100, 400):
-        rows = [(i, " ".join([*common, *(f"own{i}x{k}" for k in range(4))])) for i in range(n)]
-        path = work_dir(spark, "t")
-        docs = spark.createDataFrame(rows, "doc_id long, text string")
-        nodes = minhash.signatures(docs, 4).withColumns({"node": F.col("doc_id"), "doc_min": F.col("doc_id"), "key_min": F.col("text_key")}).select("node", "digest", "doc_min", "key_min", "n_shingles", "bands", "sig")
-        assert minhash.linked_nodes(docs, minhash.stored(nodes, f"{path}/nodes"), 4, 80, path, 10**6).count() == 0
-        made.append(sum(spark.read.parquet(f"{path}/{t}").count() for t in ("pairs-0", "pairs-1", "prefix-pairs")))
+    common = [f"w{k}" for k in range(26)]
+    made = [pairs_made(spark, [" ".join([*common, *(f"own{i}x{k}" for k in range(4))]) for i in range(n)]) for n in (100, 400)]
     assert made[1] <= 4 * made[0]  # four times the texts
 
 
+def pairs_made(spark, texts, linked=0):
+    """How many pairs are looked at for texts of which no more than so many are linked."""
+    path = work_dir(spark, "t")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = minhash.signatures(docs, 4).withColumns({"node": F.col("doc_id"), "doc_min": F.col("doc_id"), "key_min": F.col("text_key")}).select("node", "digest", "doc_min", "key_min", "n_shingles", "bands", "sig")
+    assert minhash.linked_nodes(docs, minhash.stored(nodes, f"{path}/nodes"), 4, 80, path, 10**6).count() <= linked
+    tables = [t for t in ("pairs-0", "pairs-1", "far-pairs") if (Path(path.removeprefix("file://")) / t).exists()]
+    assert len(tables) == 3
+    return sum(spark.read.parquet(f"{path}/{t}").count() for t in tables)
+
+
+@pytest.mark.parametrize(("answers", "share"), [(18, 0.03), (40, 0.005)])
+def test_forms_make_few_pairs(spark, answers, share):
+    """Forms of two-valued answers, any two of which differ twice: every shingle is common, similarities are a third on average.
+
+    With 18 answers one pair in 60 differs in four or less and is really much alike; with 40 hardly any is.
+    """
+    rng, codes = random.Random(13), set()
+    while len(codes) < 1200:
+        bits = [rng.randrange(2) for _ in range(answers - 1)]
+        codes.add((*bits, sum(bits) % 2))
+    forms = [" ".join(f"q{k}a q{k}b q{k}c {'yes' if x else 'no'}{k}" for k, x in enumerate(code)) for code in sorted(codes)]
+    rng.shuffle(forms)
+    assert pairs_made(spark, forms, 400) < share * 1200 * 1199 / 2  # of all pairs
+
+
 def test_texts_without_id_meet_their_own_node_only(spark, monkeypatch):
     """Many texts under no id and under one id, in pairs of near copies: each node's text is fetched by one row."""
     rng, rows = random.Random(21), []
@@ -734,13 +754,35 @@ def test_overlaps_equal_brute_force(spark):
         assert clean == {d for d, _ in docs} - {d for d, _ in want}
 
 
-def test_blocks_are_bounded(spark):
-    """Repeated and long items: no block has more than its words, but for a longer item alone; each row is in one block."""
-    rows = [(k, "same words in each " * 5) for k in range(300)] + [(1000, " ".join(f"w{k}" for k in range(5000)))] + [(2000 + k, f"item {k} of many") for k in range(300)]
+def test_many_blocks_read_the_documents_once(spark, monkeypatch):
+    """Repeated and long items in 20 blocks: documents are hashed in one pass, and no comparison holds more than a block's words, or a single item."""
+    rows = [(k, "same words in each " * 5) for k in range(30)] + [(1000, " ".join(f"w{k}" for k in range(500)))] + [(2000 + k, f"item {k} of many kinds of items in this list of items number {k}") for k in range(300)]
     bench = spark.createDataFrame(rows, "item_id long, text string")
-    found = list(decontaminate.indexes(bench, 500))
-    assert len(found) > 10 and all(sum(map(len, x.words)) <= 500 or len(x.ids) == 1 for x in found)
-    assert sorted(i for x in found for i in x.ids) == sorted(i for i, _ in rows)
+    docs = spark.createDataFrame([(k, rows[k * 7 % len(rows)][1] + f" tail {k}") for k in range(60)] + [(100, None), (101, ""), (None, rows[40][1])], "doc_id long, text string")
+    items, blocks = decontaminate.benchmark_of(bench, 300)
+    assert blocks >= 20
+    read, whole = [], decontaminate.joined_overlaps
+    monkeypatch.setattr(decontaminate, "joined_overlaps", lambda *a: read.append(a) or whole(*a))
+    key = lambda r: (r.doc_id is not None, r.doc_id, r.item_id, r.item_words, r.overlap_words, r.equal_words, r.first_word)
+    one, many = (sorted(map(key, decontaminate.find_overlaps(docs, bench, n).collect())) for n in (10**6, 300))
+    assert one == many and len(one) > 60 and len(read) == 1
+    assert len(decontaminate.drop_contaminated(docs, bench, 300).collect()) == len(decontaminate.drop_contaminated(docs, bench, 10**6).collect()) == 2
+
+
+def test_words_of_other_scripts(spark):
+    """Verbatim copies joined by other white space or dashes, in quotes, and in a script without spaces; joiners and soft hyphens inside words."""
+    item = [f"word{k}é" for k in range(15)]
+    copies = ["\u00a0".join(item), "—".join(item), " ".join(f"“{w}”" for w in item), "…".join(item), " ".join(w[:2] + "\u00ad" + w[2:] for w in item)]
+    chinese = "这是一个关于数据清洗的测试题目请选出正确答案"
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, chinese), (3, "ภาษาไทยเขียนติดกันไม่มีช่องว่าง")], "item_id long, text string")
+    texts = [*(f"before {c} after" for c in copies), f"前面的文字{chinese}后面的文字", "คำว่าภาษาไทยเขียนติดกันไม่มีช่องว่างครับ", "无关的中文文本没有任何重复之处也很长一些", "été à la plage, où l’on va"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [*((k, 1) for k in range(5)), (5, 2), (6, 3)]
+    for block in (decontaminate.BLOCK_WORDS, 20):
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_overlaps(docs, bench, block).collect()) == want
+    words = lambda t: decontaminate.normal_words(t.encode()).tolist()
+    assert words("L’été—naïve\u200bx “Ünï” a\u0301b") == words("l été naïve x ünï a\u0301b") and len(words("日本語 abc日")) == 5
+    assert words("zero‍width") == words("zerowidth")
 
 
 def test_repeated_phrase(monkeypatch):
