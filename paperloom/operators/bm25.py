@@ -1,4 +1,4 @@
-"""Okapi BM25 over DataFrames: a stored index of postings, and exact top-k for a batch of queries.
+"""Okapi BM25 over DataFrames: a stored index in segments, and exact top-k for a batch of queries that skips most postings.
 
 A document's score is the sum over query tokens, repeats included, of
 
@@ -7,51 +7,127 @@ A document's score is the sum over query tokens, repeats included, of
 with idf = ln(N - df + 0.5) - ln(df + 0.5); where that is negative it becomes epsilon times the mean over
 all terms of the unreplaced values. Ranking is on scores rounded to 9 digits, ties by corpus order. Documents
 that share no term score 0 and fill up the k.
+
+**Segments.** An append writes a segment with its own postings, document frequencies and lengths, a delete a list of
+gone documents with the numbers to take off; neither reads another segment's postings (a delete those of its own documents only). Queries add the segments'
+numbers up, so they see what a new build would give. FACTOR segments of like size become one, by merging their postings.
+
+**Blocks.** A segment's documents are dealt in ranges of RANGE by a hash of the id, and a term's postings of a range are one row, with the
+least length for each term frequency in it. So the greatest score of the block is known exactly for any k1, b and average length before its
+postings are read. A query first scores the SEEDS ranges with the greatest sums of these bounds; the k-th score found is its threshold. In every
+other range the terms with the lowest bounds, as many as together stay under the threshold, can't lift a document over it alone: a range where that is
+all of them is skipped, elsewhere the other terms are read first, and those lowest ones only in ranges with a document that can still pass.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from math import ceil
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import tokens
+from paperloom.functions.text import TOKEN, tokens
+from paperloom.sources.store import Versions
 from paperloom.workspace import stored, work_dir
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 9
 #: What a top_k of 0 or None means.
 TOP_K = 10
-#: Query terms that may be sent to all tasks, about 60 MB; beyond that both sides are shuffled by term.
+#: Rows of query terms, or of blocks to read, that may be sent to all tasks, about 60 MB; beyond that both sides are shuffled.
 BROADCAST_TERMS = 1_000_000
+#: Documents in a range, and the ranges that a query reads for its threshold.
+RANGE, SEEDS = 256, 4
+#: Segments of one size class (a power of FACTOR) that are merged.
+FACTOR = 4
+#: What rounding may hide in a comparison with the threshold.
+SLACK = 1e-7
+#: Indexes of another form or tokenizer are not read.
+FORM = f"blocks-1 {TOKEN}"
+
+
+class OtherForm(RuntimeError):
+    """The stored index isn't one of ours, or not of this version."""
+
+
+@dataclass(frozen=True)
+class Search:
+    """hits: qid, rank, doc_id, score. read and asked: qid and n, the postings that were read and those of all the query's terms."""
+
+    hits: DataFrame
+    read: DataFrame
+    asked: DataFrame
+
+
+def summed(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum(value).alias(value))
 
 
 @dataclass(frozen=True)
 class Index:
-    """Tables below path: documents (doc_id, dl), postings (term, doc_id, tf, dl) in order of term, and terms (term, df)."""
+    """A version of the index below path. Its record lists segments, each with its folder, documents n, tokens length, ranges, and lists of gone documents."""
 
     spark: SparkSession
     path: str
+    version: int
+    record: dict[str, Any]
+
+    @property
+    def segments(self) -> list[dict[str, Any]]:
+        return self.record.get("segments", [])
+
+    def _all(self, name: str, shape: str) -> DataFrame:
+        """A table of all segments, with segment, a segment's place in the record."""
+        parts = [self.spark.read.schema(shape).parquet(f"{self.path}/{s['folder']}/{name}").withColumn("segment", F.lit(i)) for i, s in enumerate(self.segments)]
+        return reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], f"{shape}, segment int")
+
+    def _lists(self, name: str, shape: str) -> DataFrame | None:
+        """A table of all lists of gone documents."""
+        parts = [self.spark.read.schema(shape).parquet(f"{self.path}/{g['folder']}/{name}").withColumn("segment", F.lit(i)) for i, s in enumerate(self.segments) for g in s["gone"]]
+        return reduce(DataFrame.unionAll, parts) if parts else None
+
+    @property
+    def kind(self) -> str:
+        return self.record.get("kind", "long")
+
+    def _present(self, rows: DataFrame) -> DataFrame:
+        gone = self._lists("documents", f"doc_id {self.kind}")
+        return rows if gone is None else rows.join(gone, ["segment", "doc_id"], "left_anti")
 
     @property
     def documents(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/documents")
+        """doc_id, dl."""
+        return self._present(self._all("documents", f"doc_id {self.kind}, dl int")).select("doc_id", "dl")
+
+    @property
+    def blocks(self) -> DataFrame:
+        """segment, term, range, n, levels (tf and the least dl with it) and postings (doc_id, tf, dl), gone documents included."""
+        shape = f"term string, range long, n int, levels array<struct<tf:int,dl:int>>, postings array<struct<doc_id:{self.kind},tf:int,dl:int>>"
+        return self._all("blocks", shape)
 
     @property
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        """term, doc_id, tf, dl."""
+        flat = self.blocks.select("segment", "term", F.explode("postings").alias("x")).select("segment", "term", "x.*")
+        return self._present(flat).select("term", "doc_id", "tf", "dl")
 
     @property
     def terms(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/terms")
+        """term, df."""
+        shape = "term string, df long"
+        held, gone = self._all("terms", shape).drop("segment"), self._lists("terms", shape)
+        if gone is not None:
+            held = held.unionByName(gone.select("term", (-F.col("df")).alias("df")))
+        return held if len(self.segments) == 1 and gone is None else summed(held, ["term"], "df").filter("df > 0")
 
     @cached_property
     def size(self) -> tuple[int, float]:
         """Number of documents and average length."""
-        row = self.documents.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
-        return row[0], row[1]
+        total = lambda key: sum(s[key] - sum(g[key] for g in s["gone"]) for s in self.segments)
+        return total("n"), total("length") / total("n") if total("n") else 0.0
 
     def raw_idf(self) -> Column:
         return F.log(self.size[0] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -64,54 +140,205 @@ class Index:
         """term, df, idf of every term."""
         return self.terms.select("term", "df", F.when(self.raw_idf() < 0, epsilon * self.mean_idf).otherwise(self.raw_idf()).alias("idf"))
 
+    # -------------------------------------------------------------- changes
+
+    def append(self, docs: DataFrame) -> Index:
+        """The index with docs(doc_id, text), ids not repeated. Documents whose id is there already are replaced."""
+        versions = Versions(self.spark, self.path)
+        new = write_segment(docs, versions)
+        added = self._part(new, "documents", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+        segments = [*self._without(added, versions), new] if self.segments else [new]
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        return self._committed(versions, [s for s in segments if s["n"]], kind)
+
+    def delete(self, ids: DataFrame) -> Index:
+        """The index without the documents of ids(doc_id); ids that are not there do no harm."""
+        versions = Versions(self.spark, self.path)
+        return self._committed(versions, self._without(ids, versions), self.kind)
+
+    def _part(self, part: dict[str, Any], name: str, shape: str) -> DataFrame:
+        return self.spark.read.schema(shape).parquet(f"{self.path}/{part['folder']}/{name}")
+
+    def _without(self, ids: DataFrame, versions: Versions) -> list[dict[str, Any]]:
+        """The segments, with a further list of gone documents where one holds some of ids."""
+        out = []
+        for i, s in enumerate(self.segments):
+            here = self._present(self._part(s, "documents", f"doc_id {self.kind}, dl int").withColumn("segment", F.lit(i)))
+            hit = stored(here.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "dl"), versions.full(folder := versions.folder("gone")) + "/documents")
+            n, length = hit.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+            if n:
+                ranged = hit.select("doc_id", range_of(s["ranges"]))
+                shape = f"term string, range long, postings array<struct<doc_id:{self.kind},tf:int,dl:int>>"
+                # only blocks of the documents' ranges are read
+                flat = self._part(s, "blocks", shape).join(ranged.select("range").distinct(), "range", "left_semi").select("term", F.explode("postings.doc_id").alias("doc_id"))
+                flat.join(hit.select("doc_id"), "doc_id", "left_semi").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{versions.full(folder)}/terms")
+                s = {**s, "gone": [*s["gone"], {"folder": folder, "n": n, "length": length}]}
+            out.append(s)
+        return out
+
+    def _committed(self, versions: Versions, segments: list[dict[str, Any]], kind: str) -> Index:
+        """A version of segments, those of like size merged."""
+        index = Index(self.spark, self.path, self.version, {"kind": kind, "segments": segments})
+        while group := crowded(index.segments):
+            merged = index._merged(group, versions)
+            index = Index(self.spark, self.path, self.version, {"kind": kind, "segments": [s for s in index.segments if s not in group] + [merged]})
+        folders = [f for s in index.segments for f in (s["folder"], *(g["folder"] for g in s["gone"]))]
+        record = {"form": FORM, "kind": kind, "folders": folders, "segments": index.segments}
+        return Index(self.spark, self.path, versions.commit(self.version, record), record)
+
+    def _merged(self, group: list[dict[str, Any]], versions: Versions) -> dict[str, Any]:
+        some = Index(self.spark, self.path, self.version, {"kind": self.kind, "segments": group})
+        folder = versions.folder("segment")
+        some.documents.write.parquet(f"{versions.full(folder)}/documents")
+        ranges = max(1, ceil(some.size[0] / RANGE))
+        write_blocks(some.postings.select("term", "doc_id", range_of(ranges), "tf", "dl").repartition("term", "range"), versions.full(folder))
+        return {"folder": folder, "n": some.size[0], "length": sum(s["length"] - sum(g["length"] for g in s["gone"]) for s in group), "ranges": ranges, "gone": []}
+
+    # -------------------------------------------------------------- queries
+
+    def _weights(self, queries: DataFrame, epsilon: float) -> DataFrame:
+        """qid, term, weight (qtf * idf) of queries' terms; sent to all tasks while there are few enough."""
+        asked = sent(query_terms(queries))
+        return asked.join(self.idf(epsilon), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+
+    def _impact(self, tf: Column, dl: Column, k1: float, b: float) -> Column:
+        return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / self.size[1]))
+
     def matches(self, queries: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
-        """qid, doc_id and score of every document that shares a term with one of queries(qid, text).
+        """qid, doc_id and score of every document that shares a term with one of queries(qid, text); reads all postings of their terms."""
+        held = self.blocks.select("segment", "term", "postings").join(sent(self._weights(queries, epsilon)), "term")
+        flat = self._present(held.select("segment", "qid", "weight", F.explode("postings").alias("x")).select("segment", "qid", "weight", "x.*"))
+        part = F.col("weight") * self._impact(F.col("tf"), F.col("dl"), k1, b)
+        return flat.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
 
-        A common term's postings lie in many files, so no task reads them all; query terms are sent to
-        them while there are no more than BROADCAST_TERMS, counted first.
-        """
-        asked = query_terms(queries)
-        hint = F.broadcast if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda x: x)
-        weighted = hint(asked).join(self.idf(epsilon), "term").select("qid", "term", "qtf", "idf")
-        norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / self.size[1])
-        part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-        return self.postings.join(hint(weighted), "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
-
-    def top_k(self, queries: DataFrame, k: int | None = TOP_K, **constants: float) -> DataFrame:
-        """qid, rank, doc_id, score of the k best documents of each query.
-
-        The best matches, k rows a query, are stored. Queries with less than k of a score above 0 are filled up with
-        zeros from the 2k first documents, among which k others must be. Only where the mean idf is negative, in
-        tiny corpora, do zeros outrank matches, and then all documents are candidates.
+    def top_k(self, queries: DataFrame, k: int | None = TOP_K, prune: bool = False, **constants: float) -> DataFrame:
+        """qid, rank, doc_id, score of the k best documents of each query, by scoring all matches or, with prune, by search().
+
+        Pruning pays for short queries of words that differ in weight; for long ones of common words it reads nearly all and
+        takes several passes.
+
+        Queries with less than k of a score above 0 are filled up with zeros from the 2k first documents, among which k
+        others must be. Only where the mean idf is negative, in tiny corpora, do zeros outrank matches, and then all
+        documents are candidates and all postings are read.
         """
         k = k or TOP_K
-        order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
-        ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        hits = self.matches(queries, **constants).withColumn("score", F.round("score", DIGITS))
-        if self.mean_idf >= 0:
-            best = stored(ranked(hits.filter("score > 0")).drop("rank"), work_dir(self.spark, "bm25-best"))
-            full = best.groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("qid")
-            short = queries.select("qid").join(full, "qid", "left_anti")
-            zeros = short.crossJoin(F.broadcast(self.documents.select("doc_id").orderBy("doc_id").limit(2 * k))).join(best, ["qid", "doc_id"], "left_anti")
-            hits = best.unionByName(zeros.withColumn("score", F.lit(0.0)))
-        else:
+        if self.mean_idf < 0:
+            hits = self.matches(queries, **constants).withColumn("score", F.round("score", DIGITS))
             zeros = queries.select("qid").crossJoin(self.documents.select("doc_id")).join(hits.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
-            hits = hits.unionByName(zeros.withColumn("score", F.lit(0.0)))
-        return ranked(hits).select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+            return ranked(hits.unionByName(zeros.withColumn("score", F.lit(0.0))), k)
+        if prune:
+            best = self.search(queries, k, **constants).hits.drop("rank")
+        else:
+            hits = self.matches(queries, **constants).withColumn("score", F.round("score", DIGITS)).filter("score > 0")
+            best = stored(ranked(hits, k).drop("rank"), work_dir(self.spark, "bm25-best"))
+        full = best.groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("qid")
+        short = queries.select("qid").join(full, "qid", "left_anti")
+        zeros = short.crossJoin(F.broadcast(self.documents.select("doc_id").orderBy("doc_id").limit(2 * k))).join(best, ["qid", "doc_id"], "left_anti")
+        return ranked(best.unionByName(zeros.withColumn("score", F.lit(0.0))), k)
+
+    def search(self, queries: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> Search:
+        """The best matches with a score above 0, up to k a query, by blocks. The mean idf must not be negative."""
+        path = work_dir(self.spark, "bm25-search")
+        bound = F.array_max(F.transform("levels", lambda x: self._impact(x["tf"], x["dl"], k1, b)))
+        # blocks' heads: their postings are not read here
+        heads = self.blocks.select("segment", "term", "range", "n", bound.alias("bound")).join(sent(self._weights(queries, epsilon)), "term")
+        heads = stored(heads.select("qid", "segment", "range", "term", "n", "weight", (F.col("weight") * F.col("bound")).alias("bound")), f"{path}/heads")
+        at, place = ["qid", "segment", "range"], lambda *c: Window.partitionBy("qid").orderBy(*c)
+
+        top = heads.groupBy(*at).agg(F.sum("bound").alias("bound")).withColumn("place", F.row_number().over(place(F.desc("bound"), "segment", "range")))
+        seeds = stored(top.filter(F.col("place") <= SEEDS).select(*at), f"{path}/seeds")
+        first = stored(heads.join(sent(seeds), at, "left_semi"), f"{path}/seed-blocks")
+        found = stored(self._read(first, k1, b), f"{path}/seed-hits")
+        kth = found.withColumn("place", F.row_number().over(place(F.desc("score")))).filter(F.col("place") == k)
+        limits = kth.select("qid", (F.col("score") * (1 - SLACK) - SLACK).alias("limit"))
+
+        # the lowest bounds that stay under the limit together are put off
+        rising = Window.partitionBy(*at).orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rest = heads.join(sent(seeds), at, "left_anti").join(sent(limits), "qid", "left").withColumn("limit", F.coalesce("limit", F.lit(-1.0)))
+        rest = rest.withColumn("under", F.sum("bound").over(rising)).withColumn("late", F.col("under") < F.col("limit"))
+        rest = stored(rest.withColumn("later", F.max(F.when(F.col("late"), F.col("under")).otherwise(0.0)).over(Window.partitionBy(*at))), f"{path}/rest")
+        early = rest.filter("not late")
+        hopes = self._read(early, k1, b, "later", "limit").filter(F.col("score") + F.col("later") >= F.col("limit"))
+        hopes = stored(hopes, f"{path}/hopes")
+        late = stored(rest.filter("late").join(sent(hopes.select(*at).distinct()), at, "left_semi"), f"{path}/late-blocks")
+        more = self._read(late, k1, b).withColumnRenamed("score", "more").join(sent(hopes.select("qid", "segment", "doc_id")), ["qid", "segment", "doc_id"], "left_semi")
+        whole = hopes.join(more.select("qid", "segment", "doc_id", "more"), ["qid", "segment", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+        hits = found.select("qid", "doc_id", "score").unionByName(whole.select("qid", "doc_id", "score")).withColumn("score", F.round("score", DIGITS)).filter("score > 0")
+        hits = stored(ranked(hits, k), f"{path}/hits")
+        read = reduce(DataFrame.unionAll, [x.select("qid", "n") for x in (first, early, late)])
+        return Search(hits, summed(read, ["qid"], "n"), summed(heads, ["qid"], "n"))
+
+    def _read(self, rows: DataFrame, k1: float, b: float, *carried: str) -> DataFrame:
+        """qid, segment, range, doc_id, score and the carried columns of the documents in the blocks of rows(qid, segment, range, term, weight), a stored table."""
+        held = sent(rows.select("qid", "segment", "range", "term", "weight", *carried))
+        flat = self.blocks.select("segment", "term", "range", "postings").join(held, ["segment", "term", "range"])
+        flat = self._present(flat.select("qid", "segment", "range", "weight", *carried, F.explode("postings").alias("x")).select("*", "x.*"))
+        part = F.col("weight") * self._impact(F.col("tf"), F.col("dl"), k1, b)
+        # carried columns are alike in a range
+        return flat.groupBy("qid", "segment", "range", "doc_id").agg(F.sum(part).alias("score"), *[F.first(c).alias(c) for c in carried])
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """rows for the small side of a join: broadcast if there are no more than BROADCAST_TERMS, counted first."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else rows
+
+
+def ranked(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
+    return hits.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("qid", "rank", "doc_id", "score")
+
+
+def range_of(ranges: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).alias("range")
+
+
+def crowded(segments: list[dict[str, Any]]) -> list[dict[str, Any]]:
+    """The segments of the smallest size class that holds FACTOR of them, if any does."""
+    classes: dict[int, list[dict[str, Any]]] = {}
+    for s in segments:
+        n, size = s["n"] - sum(g["n"] for g in s["gone"]), 0
+        while n >= FACTOR:
+            n, size = n // FACTOR, size + 1
+        classes.setdefault(size, []).append(s)
+    return next((group for _, group in sorted(classes.items()) if len(group) >= FACTOR), [])
+
+
+def write_segment(docs: DataFrame, versions: Versions) -> dict[str, Any]:
+    """Store a segment of docs(doc_id, text). Tokens are shuffled once, by term and range, and counted there."""
+    folder = versions.folder("segment")
+    path = versions.full(folder)
+    toks = docs.select("doc_id", tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
+    n, length = stored(toks.select("doc_id", "dl"), f"{path}/documents").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    ranges = max(1, ceil(n / RANGE))
+    flat = toks.select("doc_id", "dl", range_of(ranges), F.explode("toks").alias("term")).repartition("term", "range")
+    write_blocks(flat.groupBy("term", "range", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf")), path)
+    return {"folder": folder, "n": n, "length": length, "ranges": ranges, "gone": []}
+
+
+def write_blocks(postings: DataFrame, path: str) -> None:
+    """Store blocks and terms of postings(term, range, doc_id, tf, dl), dealt by term and range already."""
+    rows = postings.groupBy("term", "range").agg(F.collect_list(F.struct("doc_id", "tf", "dl")).alias("postings"))  # one for each document of the range at most
+    least = lambda tf: F.array_min(F.transform(F.filter("postings", lambda p: p["tf"] == tf), lambda p: p["dl"]))
+    levels = F.transform(F.array_distinct("postings.tf"), lambda tf: F.struct(tf.alias("tf"), least(tf).alias("dl")))
+    blocks = rows.select("term", "range", F.size("postings").alias("n"), levels.alias("levels"), "postings").sortWithinPartitions("term", "range")
+    blocks.write.parquet(f"{path}/blocks")
+    heads = postings.sparkSession.read.schema("term string, n int").parquet(f"{path}/blocks")
+    heads.groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{path}/terms")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """The index at path in its present version."""
+    version, record = Versions(spark, path).latest()
+    if version and record.get("form") != FORM:
+        raise OtherForm(f"{path} holds an index of the form {record.get('form')!r}, not {FORM!r}")
+    return Index(spark, path.rstrip("/"), version, record)
 
 
 def build(docs: DataFrame, path: str | None = None) -> Index:
-    """Store the index of docs(doc_id, text). A document's tokens are counted before they are shuffled."""
+    """Store the index of docs(doc_id, text), ids not repeated, as a new version of what is at path."""
     spark = docs.sparkSession
-    path = path or work_dir(spark, "bm25")
-    toks = docs.select("doc_id", tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
-    toks.select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/documents")
-    counted = toks.select("doc_id", "dl", F.explode("toks").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    ordered = counted.select("term", "doc_id", "tf", "dl").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    ordered.write.mode("overwrite").parquet(f"{path}/postings")
-    index = Index(spark, path)
-    index.postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    return index
+    path = (path or work_dir(spark, "bm25")).rstrip("/")
+    return Index(spark, path, Versions(spark, path).latest()[0], {}).append(docs)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

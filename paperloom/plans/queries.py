@@ -123,6 +123,23 @@ def bm25_topk(spark, sf_dir):
     return bm25_hits(spark, sf_dir).withColumn("score", r6("score"))
 
 
+@query(f"WITH {BM25_CTES} SELECT qid, rank, doc_id, round(score, 6) AS score FROM bm")
+def bm25_pruned(spark, sf_dir):
+    """The same by bounds of blocks: ranges and terms that can't lift a document into the best are not read."""
+    return bm25_index(spark, sf_dir).top_k(items(spark, sf_dir), hybrid.BM25_K, prune=True).withColumn("score", r6("score"))
+
+
+@query(f"WITH {BM25_CTES} SELECT qid, rank, doc_id, round(score, 6) AS score FROM bm")
+def bm25_incremental(spark, sf_dir):
+    """The same from an index that grew by parts: two thirds of the documents and some others' texts first, then the rest, after a delete."""
+    all_docs = docs(spark, sf_dir)
+    first = all_docs.filter("doc_id % 3 != 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text")))
+    extra = all_docs.filter("doc_id % 11 = 0").withColumn("doc_id", -1 - F.col("doc_id"))
+    index = bm25.build(first.unionByName(extra)).delete(extra.select("doc_id"))
+    index = index.append(all_docs.filter("doc_id % 3 = 0 and doc_id % 2 = 0")).append(all_docs.filter("doc_id % 3 = 0 and doc_id % 2 != 0 or doc_id % 3 != 0 and doc_id % 7 = 0"))
+    return bm25.open_index(spark, index.path).top_k(items(spark, sf_dir), hybrid.BM25_K).withColumn("score", r6("score"))
+
+
 @query(f"WITH {BM25_CTES} SELECT qid, count(*) AS n, round(sum(score), 4) AS total FROM sc GROUP BY qid")
 def bm25_scores_all(spark, sf_dir):
     """All scores of each item, summed up."""

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from paperloom import schemas
 from paperloom.operators.corpus import last_wins
+from paperloom.sources.store import Versions
 
 CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 BOM = "﻿"
@@ -38,13 +39,24 @@ def export_csv(df: DataFrame, path: str, bom: bool = False) -> None:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of documents (schemas.CORPUS); content stays JSON text. A missing file is an error, damaged records are left out."""
-    return spark.read.schema(schemas.CORPUS).option("multiLine", "true").json(path).filter("doc_id is not null")
+    """A JSON array of documents (schemas.CORPUS), in a file, a folder of files, or one that write_corpus keeps; content stays JSON text.
+
+    A missing file is an error, damaged records are left out.
+    """
+    _, record = Versions(spark, path).latest()
+    place = f"{path.rstrip('/')}/{record['folders'][0]}" if record else path
+    return spark.read.schema(schemas.CORPUS).option("multiLine", "true").json(place).filter("doc_id is not null")
 
 
 def corpus_by_id(corpus: DataFrame) -> DataFrame:
-    """One row an id; of equal ids the last in file order counts."""
-    return last_wins(corpus.withColumn("_pos", F.monotonically_increasing_id()), ["doc_id"], ["_pos"]).drop("_pos")
+    """One row an id of what read_corpus gives; of equal ids the last in file order counts.
+
+    That is by the part's number, the file's name and the place in the file, which one task reads in order; the order in which Spark
+    deals files to tasks is another, as it goes by their size.
+    """
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long")
+    placed = corpus.select("*", part.alias("_part"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_pos"))
+    return last_wins(placed, ["doc_id"], ["_part", "_file", "_pos"]).drop("_part", "_file", "_pos")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -58,12 +70,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_corpus(df: DataFrame, path: str) -> None:
-    """Each file is a JSON array, one record a line; non-ASCII characters stay. What was at path goes only after the new files are there.
+def write_corpus(df: DataFrame, path: str) -> int:
+    """Make df the corpus at path, as a new version, and give its number. Each file is a JSON array, one record a line; non-ASCII characters stay.
 
-    df may read path itself.
+    df may read path itself. What was there counts until the new version's files and record are whole, and stays readable for one version more.
     """
-    from pyspark.sql import functions as G
 
     def lines(batches):
         import pyarrow as pa
@@ -75,16 +86,11 @@ def write_corpus(df: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
         yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"], pa.string())], names=["value"])
 
-    spark = df.sparkSession
-    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
-    df.select(G.to_json(G.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(lines, "value string").write.mode("overwrite").text(new)
-    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(at(old), True)
-    if files.exists(at(path)):
-        files.rename(at(path), at(old))
-    files.rename(at(new), at(path))
-    files.delete(at(old), True)
+    versions = Versions(df.sparkSession, path)
+    base, _ = versions.latest()
+    folder = versions.folder("corpus")
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(lines, "value string").write.text(versions.full(folder))
+    return versions.commit(base, {"folders": [folder]})
 
 
 def corpus_or_empty(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from paperloom import schemas
 from paperloom.functions import literals, prompts, text
 from paperloom.operators import answers, bm25, context, corpus, exam_text, hybrid, labeling, metrics, models, sampling, vectors
-from paperloom.sources import files
+from paperloom.sources import files, store
 
 
 def one(spark, column, **values):
@@ -139,6 +140,60 @@ def test_bm25_equals_plain_okapi(spark, tmp_path, query):
     assert [r.score for r in got] == pytest.approx([s for s, _ in want])
 
 
+def test_bm25_after_changes_is_a_new_build(spark, tmp_path):
+    """Appends, replaced and deleted documents and merges leave what a build of the same documents gives."""
+    rng, path = random.Random(1), f"file://{tmp_path}/i"
+    text_ = lambda: " ".join(rng.choices("abcdefghijklmnop", k=rng.randrange(1, 12)))
+    rows = lambda d: spark.createDataFrame(sorted(d.items()) or [], "doc_id int, text string")
+    held = {i: text_() for i in range(40)}
+    index = bm25.build(rows(held), path)
+    asked = spark.createDataFrame([(k, text_()) for k in range(8)], "qid int, text string")
+    for step in range(5):
+        new = {100 * step + i: text_() for i in range(12)} | ({i: text_() for i in range(step, 40, 9)} if step % 2 else {})
+        before = {s["folder"] for s in index.segments}
+        index = bm25.open_index(spark, path).append(rows(new))
+        held |= new
+        # a batch has a segment of its own, or is merged with others; the rest stay as they are
+        new_ones = {s["folder"] for s in index.segments} - before
+        assert len(new_ones) == 1 or len(new_ones) == 2 and len(before) >= bm25.FACTOR
+        gone = rng.sample(sorted(held), 5)
+        index = index.delete(spark.createDataFrame([(i,) for i in [*gone, 10**6]], "doc_id int"))
+        held = {i: t for i, t in held.items() if i not in gone}
+    assert len(index.segments) < 6 and bm25.open_index(spark, path).version == index.version == 11
+    fresh = bm25.build(rows(held))
+    assert index.size == pytest.approx(fresh.size)
+    same = lambda f: sorted(tuple(r) for r in f(index).collect()) == sorted(tuple(r) for r in f(fresh).collect())
+    assert same(lambda x: x.documents) and same(lambda x: x.terms) and same(lambda x: x.postings)
+    for prune in (False, True):
+        assert same(lambda x: x.top_k(asked, 5, prune=prune))
+    with pytest.raises(store.Conflict):
+        bm25.Index(spark, path, 1, {}).append(rows({1: "a"}))
+    assert bm25.build(rows({1: "x"}), path).size == (1, 1.0) and bm25.build(rows({}), path).top_k(asked, 3).count() == 0
+
+
+def test_pruned_search_reads_less_than_half(spark, monkeypatch):
+    """Short queries of words of all frequencies: the same rows as by scoring all, with under half of the postings."""
+    monkeypatch.setattr(bm25, "RANGE", 32)
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(3000)]
+    weights = [1 / (k + 3) for k in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, weights, k=rng.randrange(20, 80)))) for i in range(4000)], "doc_id int, text string")
+    asked = spark.createDataFrame([(q, " ".join([f"w{rng.randrange(5)}", f"w{rng.randrange(5, 20)}", f"w{rng.randrange(60, 300)}"])) for q in range(40)], "qid int, text string")
+    index = bm25.build(docs)
+    search = index.search(asked, 10)
+    total = lambda x: x.agg(F.sum("n")).first()[0]
+    assert total(search.read) < 0.5 * total(search.asked) == 0.5 * index.postings.join(bm25.query_terms(asked), "term").count()
+    rows = lambda prune: [tuple(r) for r in index.top_k(asked, 10, prune=prune).orderBy("qid", "rank").select("qid", "rank", "doc_id", F.round("score", 8)).collect()]
+    assert rows(True) == rows(False)
+
+
+def test_other_forms_are_not_read(spark, tmp_path):
+    versions = store.Versions(spark, f"file://{tmp_path}/i")
+    versions.commit(0, {"form": "another"})
+    with pytest.raises(bm25.OtherForm):
+        bm25.open_index(spark, f"file://{tmp_path}/i")
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0])], "doc_id int, embedding array<float>")
     got = vectors.top_k(spark.createDataFrame([(9, [1.0, 0.0])], "qid int, embedding array<float>"), rows, 2).collect()
@@ -434,24 +489,75 @@ def test_logger():
     assert get_logger("t1") is get_logger("t1") and len(get_logger("t1").handlers) == 1 and not get_logger("t1").propagate
 
 
-def test_corpus_is_overwritten_by_swap(spark, tmp_path):
+def corpus_rows(spark, *ids):
+    return spark.createDataFrame([(i, None, f"제목 {i}", [], None, '{"k": "v"}', "x") for i in ids], schemas.CORPUS)
+
+
+def test_corpus_versions(spark, tmp_path):
     path = f"file://{tmp_path}/c"
     assert files.corpus_or_empty(spark, path).count() == 0
-    rows = spark.createDataFrame([("é1", None, "제목", [], None, '{"k": "v"}', "x"), ("2", None, None, None, None, None, None)], schemas.CORPUS)
-    files.write_corpus(rows, path)
-    assert any("제목" in p.read_text(encoding="utf-8") for p in (tmp_path / "c").glob("part-*"))
-    files.write_corpus(files.read_corpus(spark, path).filter("doc_id != '2'"), path)
-    assert [r.title for r in files.read_corpus(spark, path).collect()] == ["제목"]
-    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["c"]
-    files.write_corpus(rows.limit(0), path)
-    assert files.read_corpus(spark, path).count() == 0
-    for p in (tmp_path / "c").glob("part-*"):
+    assert files.write_corpus(corpus_rows(spark, "é1", "2"), path) == 1
+    assert any("제목" in p.read_text(encoding="utf-8") for p in (tmp_path / "c").glob("corpus-*/part-*"))
+    before = files.read_corpus(spark, path)
+    assert files.write_corpus(files.read_corpus(spark, path).filter("doc_id != '2'"), path) == 2
+    assert [r.title for r in files.read_corpus(spark, path).collect()] == ["제목 é1"]
+    assert before.count() == 2  # a reader of the version before keeps its files
+    assert files.write_corpus(corpus_rows(spark, "2").limit(0), path) == 3
+    assert files.read_corpus(spark, path).count() == 0 and len(list((tmp_path / "c").glob("corpus-*"))) == 2
+    for p in (tmp_path / "c").glob("corpus-*/part-*"):
         p.write_text("[{broken", encoding="utf-8")
-    for p in (tmp_path / "c").glob(".*crc"):
+    for p in (tmp_path / "c").glob("corpus-*/.*crc"):
         p.unlink()
     assert files.corpus_or_empty(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("step", ["files", "half a record", "record"])
+def test_a_writer_that_stops_loses_nothing(spark, tmp_path, monkeypatch, step):
+    """A crash before the record, within it, and after it: the old version counts, or else the new one does; the next write goes on."""
+    path = f"file://{tmp_path}/c"
+    files.write_corpus(corpus_rows(spark, *map(str, range(100))), path)
+
+    class Crash(RuntimeError):
+        pass
+
+    whole = store.Versions._write
+
+    def stop(self, number, line):
+        if step == "half a record":
+            whole(self, number, line[: len(line) // 2])
+        elif step == "record":
+            whole(self, number, line)
+        raise Crash
+
+    with monkeypatch.context() as m:
+        m.setattr(store.Versions, "_write", stop)
+        with pytest.raises(Crash):
+            files.write_corpus(files.read_corpus(spark, path).filter("doc_id != '7'"), path)
+    assert files.read_corpus(spark, path).count() == (99 if step == "record" else 100)
+    files.write_corpus(files.corpus_or_empty(spark, path).unionByName(corpus_rows(spark, "new")), path)
+    assert files.read_corpus(spark, path).count() == (100 if step == "record" else 101)
+
+
+def test_of_two_writers_the_later_fails(spark, tmp_path):
+    one, two = (store.Versions(spark, f"file://{tmp_path}/v") for _ in range(2))
+    assert one.commit(0, {"folders": []}) == 1
+    with pytest.raises(store.Conflict):
+        two.commit(0, {"folders": []})
+    with pytest.raises(store.Conflict):
+        two._write(1, "{}\n")
+    assert two.latest() == (1, {"folders": []})
+
+
+def test_last_in_file_order(spark, tmp_path):
+    """Parts of unlike size, which Spark deals by size, and several records of one id in a file."""
+    record = lambda i, t: json.dumps({"doc_id": i, "title": t})
+    (tmp_path / "part-00009-x.json").write_text(f"[{record('a', 'first')}]")
+    (tmp_path / "part-00010-x.json").write_text("[" + ",\n".join([record("a", "mid"), record("a", "last"), *(record(str(k), "x" * 200) for k in range(300))]) + "]")
+    (tmp_path / "part-00002-x.json").write_text("[" + ",\n".join([record("a", "earliest"), *(record(f"b{k}", "x" * 200) for k in range(900))]) + "]")
+    kept = files.corpus_by_id(files.read_corpus(spark, str(tmp_path)))
+    assert kept.count() == 1201 and kept.filter("doc_id = 'a'").first()["title"] == "last"
+
+
 def test_retrievers(spark):
     from paperloom.operators import retrieval
     from paperloom.registry import RETRIEVERS
