@@ -39,30 +39,19 @@ MEMO_UNITS, MEMO_CHARS = 200_000, 64
 BROADCAST_PAIRS = 1_000_000
 #: Parts that each pair is dealt in where both sides are shuffled.
 SALTS = 16
-#: A pair of ids is one number: A's id above, B's below.
-SHIFT = 24
+#: A pair of ids is one number: A's id above, B's below; in a batch a document's place, below 2 ** 23, stands above both.
+SHIFT = 20
 SPACE = "▁"
-UNITS = re.compile(" +[^ ]*")
+UNITS = re.compile(" ( *[^ ]*)")
 BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
-class Laid:
-    """A vocabulary's bytes: token i is block[offset[i]:offset[i + 1]]."""
-
-    def __init__(self, tokens: list[bytes]):
-        self.block = np.frombuffer(b"".join(tokens), np.uint8)
-        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        self.offset = np.cumsum(self.size) - self.size
-
-    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the tokens, one after another."""
-        size = self.size[ids]
-        ends = np.cumsum(size)
-        return self.block[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offset[ids] - (ends - size), size)]
+class NotTheText(ValueError):
+    """The pieces' bytes are not those of the text."""
 
 
 class PieceEncoder:
-    """B's ids of a text. No piece has a space after another character, so a run of spaces with the word after it is encoded apart from the rest."""
+    """B's ids of a text. No piece has a space after another character, so a space with the word after it, and further spaces between them, is encoded apart from the rest."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -73,107 +62,114 @@ class PieceEncoder:
             raise ValueError(f"{path}: a piece reaches over a space")
         as_bytes = lambda name: bytes([int(m[1], 16)]) if (m := BYTE.fullmatch(name)) else name.replace(SPACE, " ").encode()
         self.tokens = [as_bytes(name) for name in names]
-        self.space = np.array([self.model.piece_to_id(SPACE)], "<u4").tobytes()
+        self.space = [self.model.piece_to_id(SPACE)]
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def unit(self, unit: str) -> bytes:
+        """The ids of a space and unit; the model puts the space itself, but not before nothing."""
         found = self.older.get(unit)
         if found is None:
-            # the model puts the first space itself, but not before nothing
-            found = self.space if unit == " " else np.array(self.model.encode(unit[1:]), "<u4").tobytes()
+            ids = self.model.encode(unit) if unit else self.space
+            if b"".join([self.tokens[i] for i in ids]) != b" " + unit.encode():
+                raise NotTheText(unit)
+            found = np.array(ids, "<u4").tobytes()
         if len(unit) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_UNITS:
-                self.older, self.memo = self.memo, {}
+                self.older = dict(self.memo)
+                self.memo.clear()
             self.memo[unit] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        """The ids of text, which the model begins with a space of its own, as little-endian unsigned 32-bit integers."""
-        if SPACE in text:  # it counts as a space in the model
-            return np.array(self.model.encode(text), "<u4").tobytes()
+        """The ids of text, which the model begins with a space of its own, as little-endian unsigned 32-bit integers. Raises where their bytes differ from a space and text."""
+        if not text:
+            return b""
+        units = text.split(" ")
+        if "" in units:
+            units = UNITS.findall(" " + text)
         memo, make = self.memo.get, self.unit
-        return b"".join([memo(x) or make(x) for x in UNITS.findall(" " + text)]) if text else b""
+        return b"".join([memo(x) or make(x) for x in units])
+
+
+def table_of(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of bytes for each token, filled up with zeros, and where they are its own."""
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    own = np.arange(size.max()) < size[:, None]
+    rows = np.zeros(own.shape, np.uint8)
+    rows[own] = np.frombuffer(b"".join(tokens), np.uint8)
+    return rows, own
 
 
 class Aligner:
-    """Both vocabularies' tables; digits hold each id's decimal with either mark that may follow it."""
+    """Both vocabularies' tables; digits hold each id's decimal with either mark that may follow it, B's entries after A's."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = bpe.BacktrackingBpe(path_a), PieceEncoder(path_b)
         names = [b""] * (max(self.a.ids) + 1)
         for i, token in zip(self.a.ids, self.a.tokens, strict=True):
             names[i] = token
-        self.laid_a, self.laid_b = Laid(names), Laid(self.b.tokens)
-        digits = lambda n, marks: Laid([str(i).encode() + mark for i in range(n) for mark in marks])
-        # one table for both sides, B's entries after A's
-        self.digits = digits(len(names), (b",", b"|"))
+        self.size_a, self.size_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (names, self.b.tokens))
         self.first_b = 2 * len(names)
-        of_b = digits(len(self.b.tokens), (b",", b";"))
-        self.digits.offset = np.concatenate([self.digits.offset, of_b.offset + len(self.digits.block)])
-        self.digits.size = np.concatenate([self.digits.size, of_b.size])
-        self.digits.block = np.concatenate([self.digits.block, of_b.block])
-
-    def tokens(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """space + text in UTF-8 and both sides' ids, which are empty where a side's bytes differ from it."""
-        raw = f" {text}".encode()
-        b = np.frombuffer(self.b.encode(text), "<u4").astype(np.int64)
-        if text and np.array_equal(self.laid_b.bytes_of(b), np.frombuffer(raw, np.uint8)):
-            a = np.frombuffer(b"".join(self.a.encode_plain(" " + text)), "<u4").astype(np.int64)
-            if np.array_equal(self.laid_a.bytes_of(a), np.frombuffer(raw, np.uint8)):
-                return raw, a, b
-        return b"", np.empty(0, np.int64), np.empty(0, np.int64)
+        digits = lambda n, marks: [str(i).encode() + mark for i in range(n) for mark in marks]
+        entries = digits(len(names), (b",", b"|")) + digits(len(self.b.tokens), (b",", b";"))
+        self.digits, self.own = table_of(entries)
+        self.digit_size = self.own.sum(1)
+
+    def tokens(self, text: str) -> tuple[int, bytes, bytes]:
+        """The bytes of a space and text, and both sides' ids; nothing where B's bytes differ from it. A has a token for each byte, and joins them only."""
+        try:
+            b = self.b.encode(text)
+        except NotTheText:
+            b = b""
+        return (len(text.encode()) + 1, b"".join(self.a.encode_plain(" " + text)), b) if b else (0, b"", b"")
 
 
 class Aligned:
     """The alignment of a batch's documents, each given as tokens() returns it."""
 
-    def __init__(self, tables: Aligner, rows: list[tuple[bytes, np.ndarray, np.ndarray]]):
+    def __init__(self, tables: Aligner, rows: list[tuple[int, bytes, bytes]]):
         self.tables, self.n = tables, len(rows)
-        end_of = lambda sizes: np.concatenate([[0], np.cumsum(np.fromiter(sizes, np.int64, len(rows)))])
+        after = lambda sizes: np.concatenate([[0], np.cumsum(np.fromiter(sizes, np.int64, len(rows)))])
         # where each document begins and the last one ends, in bytes and in tokens
-        self.byte, self.at_a, self.at_b = (end_of(len(r[k]) for r in rows) for k in range(3))
-        self.a, self.b = (np.concatenate([r[k] for r in rows]) if rows else np.empty(0, np.int64) for k in (1, 2))
-        ends_a, ends_b = np.cumsum(tables.laid_a.size[self.a]), np.cumsum(tables.laid_b.size[self.b])
-        total = int(self.byte[-1])
-        count = np.bincount(np.concatenate([ends_a, ends_b]), minlength=total + 1)
-        #: cuts at or before each offset, and offsets where a token ends
-        self.cuts, ends = np.cumsum(count == 2), np.flatnonzero(count)
-        is_a = np.zeros(total + 1, bool)
-        is_a[ends_a] = True
-        is_b = np.zeros(total + 1, bool)
-        is_b[ends_b] = True
+        byte, self.at_a, self.at_b = after(r[0] for r in rows), after(len(r[1]) // 4 for r in rows), after(len(r[2]) // 4 for r in rows)
+        self.a, self.b = (np.frombuffer(b"".join([r[k] for r in rows]), "<u4").astype(np.int64) for k in (1, 2))
+        ends_a, ends_b = np.cumsum(tables.size_a[self.a]), np.cumsum(tables.size_b[self.b])
+        # 1 where only an A token ends, 2 where only a B token does, 3 where both do
+        count = np.bincount(np.concatenate([ends_a, ends_b, ends_b]), minlength=int(byte[-1]) + 1)
+        ends = np.flatnonzero(count)
+        which = count[ends]
+        is_a, is_b, cut = which != 2, which != 1, which == 3
         # a link for each end: the token that ends there, or the one around it
-        before = lambda is_end: np.cumsum(is_end)[ends] - is_end[ends]
-        self.link_a, self.link_b = self.a[before(is_a)], self.b[before(is_b)]
-        self.links = np.searchsorted(ends, self.byte, side="right")  # a document's links are links[k] to links[k + 1]
+        self.link_a, self.link_b = self.a[np.cumsum(is_a) - is_a], self.b[np.cumsum(is_b) - is_b]
+        self.links = np.searchsorted(ends, byte, side="right")  # a document's links are links[k] to links[k + 1]
         # the group of each token, and whether the token is its side's last there
-        self.group_a, self.group_b = self.cuts[ends_a] - (count[ends_a] == 2), self.cuts[ends_b] - (count[ends_b] == 2)
-        self.last_a, self.last_b = count[ends_a] == 2, count[ends_b] == 2
+        cuts = np.cumsum(cut)
+        self.last_a, self.last_b = cut[is_a], cut[is_b]
+        self.group_a, self.group_b = cuts[is_a] - self.last_a, cuts[is_b] - self.last_b
+        self.groups = np.concatenate([[0], cuts])[self.links]
 
     def n_groups(self) -> np.ndarray:
-        return np.diff(self.cuts[self.byte])
+        return np.diff(self.groups)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """document (by place), pair and times: each document's distinct linked pairs of ids, in order of document."""
-        pair = self.link_a << SHIFT | self.link_b
         document = np.repeat(np.arange(self.n), np.diff(self.links))
-        order = np.lexsort((pair, document))
-        pair, document = pair[order], document[order]
-        new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (document[1:] != document[:-1])])) if len(pair) else np.empty(0, np.int64)
-        return document[new], pair[new], np.diff(np.append(new, len(pair)))
+        every = np.sort(document << 2 * SHIFT | self.link_a << SHIFT | self.link_b)
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), every[1:] != every[:-1]]))
+        return every[new] >> 2 * SHIFT, every[new] & (1 << 2 * SHIFT) - 1, np.diff(np.append(new, len(every)))
 
     def group_texts(self) -> list[bytes]:
         """Each document's groups as ``a1,a2|b1;a3|b2,b3``."""
-        a_in, b_in = (np.bincount(g, minlength=self.cuts[-1] if len(self.cuts) else 0) for g in (self.group_a, self.group_b))
+        a_in, b_in = (np.bincount(g, minlength=int(self.groups[-1])) for g in (self.group_a, self.group_b))
         # a group's A tokens come before its B tokens, and both after all of earlier groups
         place_a = np.arange(len(self.a)) + (np.cumsum(b_in) - b_in)[self.group_a]
         place_b = np.arange(len(self.b)) + np.cumsum(a_in)[self.group_b]
         entry = np.empty(len(self.a) + len(self.b), np.int64)
         entry[place_a] = 2 * self.a + self.last_a
         entry[place_b] = self.tables.first_b + 2 * self.b + self.last_b
-        text = self.tables.digits.bytes_of(entry).tobytes()
-        ends = np.concatenate([[0], np.cumsum(self.tables.digits.size[entry])])[self.at_a + self.at_b]
+        text = self.tables.digits[entry][self.tables.own[entry]].tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.tables.digit_size[entry])])[self.at_a + self.at_b]
         return [text[p : q - 1] if q > p else b"" for p, q in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
@@ -202,7 +198,7 @@ def lists(document: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """doc_id, a and b (ids), groups (their text, null without tokens), n_groups, n_links, pairs (distinct linked pairs of ids, a << 24 | b) and times (links of each)."""
+    """doc_id, a and b (ids), groups (their text, null without tokens), n_groups, n_links, pairs (distinct linked pairs of ids, a << 20 | b) and times (links of each)."""
     return laid_out(docs, path_a, path_b, True)
 
 
