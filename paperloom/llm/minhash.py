@@ -10,7 +10,7 @@
    all pairs between components looked at, each in the first band that it shares. The nodes of larger ones are banded anew by
    FAR_BANDS bands of FAR_ROWS further minima, in which texts meet that are much alike only: pairs of similarity a third, as of forms
    with the same questions and other answers, share none with a probability of 0.9997. Buckets of these bands are looked at in the same way; in those
-   that are still large, where texts just below the similarity meet, two nodes are compared only if they also share one of their rarest
+   that are still large, where many texts just below the similarity meet, two nodes are compared only if they share one of their rarest
    shingles, at places that leave room for the similarity (see ``prefix_pairs``). Pages of one template with a few words of their own
    have none in common, and make no pair.
 4. A pair is compared by size, then by the similarity that the signatures' equal bits give, corrected for
@@ -256,9 +256,10 @@ def crowd_pairs(sets: DataFrame, percent: int, path: str) -> DataFrame:
     few = held.filter(F.col("c") <= SMALL_BUCKET)
     x, y = (few.select("bucket", F.col("node").alias(end), F.col("label").alias(f"label_{end}")) for end in "ab")
     pairs = x.join(y, "bucket").filter("a < b and label_a != label_b").select("a", "b").distinct()
-    many = held.filter(F.col("c") > SMALL_BUCKET).select("node", "bucket")
+    many = stored(held.filter(F.col("c") > SMALL_BUCKET).select("node").distinct(), f"{path}/far-crowd")
     if many.limit(1).count():
-        pairs = pairs.union(prefix_pairs(sets.drop("far"), percent, path, many))
+        close = stored(sets.drop("far").join(many, "node"), f"{path}/far-sets")
+        pairs = pairs.union(prefix_pairs(close, percent, path)).distinct()
     return stored(pairs, f"{path}/far-pairs")
 
 
@@ -276,8 +277,8 @@ def shingles_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: i
     return stored(found.join(wanted, "node"), f"{path}/crowd-shingles")
 
 
-def prefix_pairs(sets: DataFrame, percent: int, path: str, buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets(node, label, n, shingles), a stored table, that differ in label, share one of buckets(node, bucket) and may reach the similarity.
+def prefix_pairs(sets: DataFrame, percent: int, path: str) -> DataFrame:
+    """Pairs (a, b) of sets(node, label, n, shingles), a stored table, that differ in label and may reach the similarity.
 
     Shingles are ordered: first those of one label only, then the rarest. Two sets that have overlap o in
     common have the first common shingle at places i and j with n - i >= o on both sides, and o is at least
@@ -293,8 +294,7 @@ def prefix_pairs(sets: DataFrame, percent: int, path: str, buckets: DataFrame) -
     places = found.join(sets.select("node", "label", "n"), "node").withColumn("alone", F.col("n") - F.size("held"))
     reach = F.greatest(F.lit(0), F.col("n") - F.ceil(p * F.col("n") / 100) + 1 - F.col("alone")).cast("int")
     posted = places.select("node", "label", "n", "alone", F.posexplode(F.slice("held", 1, reach)).alias("k", "x")).select("node", "label", "n", F.col("x.s").alias("s"), (F.col("alone") + F.col("k")).alias("at"))
-    # a shingle is looked up within a bucket, by a hash of both
-    posted = stored(posted.join(buckets, "node").withColumn("s", F.xxhash64("bucket", "s")).drop("bucket"), f"{path}/posted")
+    posted = stored(posted, f"{path}/posted")
     met = posted.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("s")
     posted = posted.join(met, "s")
 
