@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.fixed import IMAGE_SHEETS
 from paperloom.functions.text import cleaned, stripped
+from paperloom.operators.numbering import numbered
 
 CUT = "\x01"
 #: What the exam's pages look like.
@@ -135,7 +136,7 @@ def appended(exams: list[DataFrame]) -> DataFrame:
 
 
 def with_ids(rows: DataFrame, prefix: str = "generation-for-nlp-", start: int = 0, order: tuple[str, ...] = ("doc", "q_num"), width: int = 0) -> DataFrame:
-    """rows with id, numbered from start in a stated order. For exports: exam files have some hundred rows, numbered in one task."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1 + start
-    digits = F.lpad(n.cast("string"), width, "0") if width else n.cast("string")
-    return rows.withColumn("id", F.concat(F.lit(prefix), digits))
+    """rows with id, numbered densely from start in a stated order, without bringing them into one task."""
+    counted = numbered(rows, list(order), "_n", start)
+    digits = F.col("_n").cast("string")
+    return counted.withColumn("id", F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")) if width else digits)).drop("_n")

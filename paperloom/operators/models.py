@@ -69,6 +69,35 @@ def embedded(rows: DataFrame, text: str, load: Callable[[], Callable[[pd.Series]
     return rows.withColumn("embedding", batched(load, "array<float>")(F.col(text)))
 
 
+def embedded_rows(rows: DataFrame, text: str, load: Callable[[], Callable[[pd.Series], pd.Series]]) -> DataFrame:
+    """rows with embedding (array<float>) and error: a text that the model can't take has no vector, and says why; the others of its batch have theirs.
+
+    load() gives a function from texts to vectors, once a worker. A batch that fails is asked again by halves, down to single texts.
+    """
+
+    def tried(model: Callable[[pd.Series], pd.Series], texts: pd.Series) -> tuple[list, list]:
+        try:
+            found = list(model(texts))
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+            return found, [None if x is not None else "no vector" for x in found]
+        except Exception as e:  # noqa: BLE001  a model may raise anything; the row carries it
+            if len(texts) == 1:
+                return [None], [f"{type(e).__name__}: {e}"]
+            half = len(texts) // 2
+            (a, b), (c, d) = tried(model, texts.iloc[:half]), tried(model, texts.iloc[half:])
+            return a + c, b + d
+
+    @F.pandas_udf("embedding array<float>, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for batch in batches:
+            found, errors = tried(model, batch.reset_index(drop=True)) if len(batch) else ([], [])
+            yield pd.DataFrame({"embedding": pd.Series(found, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    return rows.withColumn("_found", run(F.col(text))).select(*rows.columns, "_found.embedding", "_found.error")
+
+
 def chat_text(messages: Column, add_generation: bool = False) -> Column:
     """Messages as one text: ``<|im_start|>role\\ncontent<|im_end|>\\n`` each, and the head of the answer to come."""
     turn = lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))

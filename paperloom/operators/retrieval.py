@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.log import get_logger
-from paperloom.operators import bm25, context, hybrid, vectors
+from paperloom.operators import bm25, cells, context, hybrid, vectors
 from paperloom.registry import RETRIEVERS
+from paperloom.workspace import stored, work_dir
 
-#: Turns rows(key, text) into rows(key, embedding); it may raise.
+#: Turns rows(key, text) into rows(key, embedding), where a row without vector is one that failed; it may have further columns, as an error.
 Embedder = Callable[[DataFrame], DataFrame]
+#: What an embedder raises where it isn't there. Other errors are mistakes, and pass.
+UNAVAILABLE = (ConnectionError, TimeoutError, ImportError, FileNotFoundError, PermissionError)
 
 
 def results(hits: DataFrame, corpus: DataFrame, score: str = "score") -> DataFrame:
@@ -70,24 +73,38 @@ class Bm25Retriever(Retriever):
 
 @RETRIEVERS.register("vector")
 class VectorRetriever(Retriever):
-    """score is a distance: lower is better."""
+    """score is a distance: lower is better. Documents and queries without a vector have no hits.
+
+    With a path the vectors are stored there once, in cells, and searched by cells; without one they are scanned.
+    """
 
     def __init__(self, corpus: DataFrame, embed: Embedder, default_k: int = vectors.TOP_K, path: str | None = None):
         super().__init__(corpus, default_k)
         self.embed, self.path = embed, path
 
+    def vectors_of(self, rows: DataFrame, key: str) -> DataFrame:
+        """key and embedding of those rows(key, text) that have one."""
+        found = self.embed(rows.select(F.col(key).alias("key"), "text"))
+        return found.filter("embedding is not null").select(F.col("key").alias(key), "embedding")
+
     def build_index(self) -> None:
-        make = lambda: self.embed(self.corpus.select(F.col("doc_id").alias("key"), "text")).withColumnRenamed("key", "doc_id")
-        self.index = vectors.stored_index(self.corpus.sparkSession, self.path, make) if self.path else make()
+        spark = self.corpus.sparkSession
+        if self.path:
+            self.index = cells.open_cells(spark, self.path) or cells.build(self.vectors_of(self.corpus, "doc_id"), self.path)
+        else:
+            self.index = self.vectors_of(self.corpus, "doc_id")
+
+    def near(self, asked: DataFrame, k: int) -> DataFrame:
+        """qid, rank, doc_id, distance for asked(qid, embedding)."""
+        return cells.top_k(asked, self.index, k) if isinstance(self.index, cells.Cells) else vectors.top_k(asked, self.index, k)
 
     def hits(self, queries: DataFrame, k: int) -> DataFrame:
-        asked = self.embed(queries.select(F.col("qid").alias("key"), "text")).withColumnRenamed("key", "qid")
-        return vectors.top_k(asked, self.index, k).withColumnRenamed("distance", "score")
+        return self.near(self.vectors_of(queries, "qid"), k).withColumnRenamed("distance", "score")
 
 
 @RETRIEVERS.register("hybrid")
 class HybridRetriever(Retriever):
-    """BM25 and vectors fused. Where the dense side fails on the driver, as when no embedder is there, BM25 alone answers."""
+    """BM25 and vectors fused. A query without a vector has BM25's hits and scores; so have all where the embedder isn't there."""
 
     def __init__(self, lexical: Bm25Retriever, dense: VectorRetriever | None, default_k: int = hybrid.TOP_K, weights: tuple[float, float] = (hybrid.W_BM25, hybrid.W_VEC)):
         super().__init__(lexical.corpus, default_k)
@@ -95,24 +112,27 @@ class HybridRetriever(Retriever):
 
     def build_index(self) -> None:
         self.lexical.ready()
-        self._dense(lambda d: d.ready())
 
-    def _dense(self, step: Callable[[VectorRetriever], DataFrame | None]) -> DataFrame | None:
+    def vectors_of(self, queries: DataFrame) -> DataFrame | None:
+        """qid and embedding of the queries that have one, stored, as they are asked for twice; None without an embedder."""
         if self.dense is None:
             return None
         try:
-            return step(self.dense)
-        except Exception as e:  # noqa: BLE001  a remote embedder may raise anything
-            get_logger().warning("dense retrieval is left out: %s", str(e).splitlines()[0] if str(e) else type(e).__name__)
-            self.dense = None
+            self.dense.ready()
+            found = self.dense.vectors_of(queries, "qid")
+        except UNAVAILABLE as e:
+            get_logger().warning("dense retrieval is left out: %s", e)
             return None
+        return stored(found, work_dir(queries.sparkSession, "query-vectors"))
 
     def hits(self, queries: DataFrame, k: int) -> DataFrame:
-        far = self._dense(lambda d: d.hits(queries, hybrid.VEC_K))
-        if far is None:
+        asked = self.vectors_of(queries)
+        if asked is None:
             return self.lexical.hits(queries, k)
-        fused = hybrid.fuse(self.lexical.hits(queries, hybrid.BM25_K), far.withColumnRenamed("score", "distance"), *self.weights, k)
-        return fused.withColumnRenamed("combined_score", "score").select("qid", "rank", "doc_id", "score")
+        near = stored(self.lexical.hits(queries, max(k, hybrid.BM25_K)), work_dir(queries.sparkSession, "lexical-hits"))
+        alone = near.join(asked.select("qid"), "qid", "left_anti").filter(F.col("rank") <= k)
+        fused = hybrid.fuse(near.filter(F.col("rank") <= hybrid.BM25_K).join(asked.select("qid"), "qid", "left_semi"), self.dense.near(asked, hybrid.VEC_K), *self.weights, k)
+        return fused.withColumnRenamed("combined_score", "score").select("qid", "rank", "doc_id", "score").unionByName(alone)
 
 
 class RagPipeline:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom import schemas
 from paperloom.functions import literals, prompts, text
-from paperloom.operators import context, corpus, exam_text, labeling, metrics, models, retrieval, vectors
-from paperloom.plans.queries import BM25_CTES, CHOICES_SQL, EXAM_TEXT, LANGUAGE_TEXT, SHEET, VEC_CTES, bm25_hits, bm25_index, choices, docs, exams, items, one_text, query, r6, table
+from paperloom.operators import cells, context, corpus, generation, labeling, layout, metrics, models, numbering, retrieval, vectors
+from paperloom.plans.queries import BM25_CTES, CHOICES_SQL, HY_CTES, VEC_CTES, bm25_hits, bm25_index, choices, docs, exams, items, latin_words, query, r6, table
 from paperloom.sources import files
-from paperloom.workspace import work_dir
+from paperloom.workspace import stored, work_dir
 
 TOKENS_SQL = "regexp_extract_all({}, '[가-힣]+|[A-Za-z0-9]+')"
 
@@ -27,15 +29,15 @@ def csv_round_trip(spark, sf_dir):
 
 
 def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived: every tenth document as a corpus record; null titles for a third of them."""
-    d = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0")
+    """Derived: every document as a corpus record; null titles for a third of them."""
+    d = table(spark, sf_dir, "documents")
     strings = lambda *c: F.array(*c).cast("array<string>")
     keys = F.struct(strings("lang").alias("quotes"), strings().alias("related_terms"))
     content = F.to_json(F.create_map(F.lit("first_part"), F.col("source")))
     return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("category"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("title"), strings().alias("aliases"), keys.alias("rag_matching_keywords"), content.alias("content"), F.col("text").alias("search_text"))
 
 
-@query("SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 3 <> 0 THEN source END AS title, md5(text) AS search_text, lang AS quote FROM documents WHERE doc_id % 10 = 0")
+@query("SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 3 <> 0 THEN source END AS title, md5(text) AS search_text, lang AS quote FROM documents")
 def corpus_file(spark, sf_dir):
     """A corpus written as JSON arrays, overwritten by itself and read again; of equal ids the last counts."""
     path = work_dir(spark, "corpus")
@@ -46,7 +48,7 @@ def corpus_file(spark, sf_dir):
 
 
 @query("""SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 3 <> 0 THEN source END AS title, md5(trim(concat_ws(' ', nullif(text, ''), CASE WHEN doc_id % 3 <> 0 THEN nullif(source, '') END, lang))) AS text,
-'## first part' || chr(10) || source AS body FROM documents WHERE doc_id % 10 = 0""")
+'## first part' || chr(10) || source AS body FROM documents""")
 def corpus_documents(spark, sf_dir):
     """What an index and a reader see of each corpus record."""
     return corpus.searchable(corpus_rows(spark, sf_dir)).withColumn("text", F.md5("text"))
@@ -82,24 +84,19 @@ def vector_index_file(spark, sf_dir):
     return vectors.top_k(asked, again, 0).select("qid", "rank", "doc_id")
 
 
-@query("SELECT 'd' AS doc, E'\\n글\\n 지문\\n' AS text")
-def page_artifacts(spark, sf_dir):
-    """Page numbers and form marks go."""
-    pages = spark.createDataFrame([("d", 1, "12\n글"), ("d", 2, " 지문\n홀수형")], "doc string, page int, text string")
-    return exam_text.joined_pages(pages)
-
-
 # ------------------------------------------------------------------ records, prompts, tokens
 
-@query("SELECT id, policy, question FROM (VALUES ('1', 'default', 'q'), ('1', 'skip', 'q'), ('1', 'raw', 'q'), ('2', 'default', 'r'), ('2', 'skip', 'r'), ('2', 'raw', 'r'), ('3', 'default', ''), ('3', 'raw', 'not a record')) v(id, policy, question)")
+@query("""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[A-Za-z]+')[1], 'q') AS w FROM documents)
+SELECT doc_id::VARCHAR AS id, policy, CASE WHEN doc_id % 3 = 2 THEN CASE policy WHEN 'default' THEN '' ELSE 'not a record ' || w END ELSE w END AS question
+FROM d, (VALUES ('default'), ('skip'), ('raw')) v(policy) WHERE doc_id % 3 < 2 OR policy <> 'skip'""")
 def parse_policies(spark, sf_dir):
     """What each policy makes of JSON, a Python literal and other text."""
-    rows = spark.createDataFrame([("1", "p", '{"question": "q", "choices": ["a"]}'), ("2", "p", "{'question': 'r', 'choices': ['a', None]}"), ("3", "p", "not a record")], "id string, paragraph string, problems string")
-    out = None
-    for policy in ("default", "skip", "raw"):
-        part = literals.flattened(rows, policy).select("id", F.lit(policy).alias("policy"), "question")
-        out = part if out is None else out.unionByName(part)
-    return out
+    k, first = F.col("doc_id") % 3, F.coalesce(F.get(latin_words(), F.lit(0)), F.lit("q"))
+    python = F.format_string("{'question': '%s', 'choices': ['a', None]}", first)
+    raw = F.when(k == 0, F.format_string('{"question": "%s", "choices": ["a"]}', first)).when(k == 1, python).otherwise(F.concat(F.lit("not a record "), first))
+    rows = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.lit("p").alias("paragraph"), raw.alias("problems"))
+    parts = [literals.flattened(rows, policy).select("id", F.lit(policy).alias("policy"), "question") for policy in ("default", "skip", "raw")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(f"SELECT doc_id AS id, md5('{{\"question\":\"?\",\"choices\":' || to_json({CHOICES_SQL})::VARCHAR || ',\"answer\":' || (doc_id % 6) || '}}') AS problems FROM documents")
@@ -194,15 +191,54 @@ def choice_markers(spark, sf_dir):
     return rows.select("id", F.array_join(metrics.choice_markers(F.col("choices"), F.col("answer"), F.col("id") % 5), "|").alias("marked"))
 
 
-EXAMS_SQL = """VALUES (0, 1, '다음 글에 대한 설명으로 옳은 것은?', '3'), (1, 2, '첫째 문장이다. 밑줄 친 것은?', '5'), (2, 3, '셋째', ''), (3, 1, '첫 질문?', '3'), (4, 2, '둘째 질문?', '5')"""
+@query("SELECT doc_id, (row_number() OVER (ORDER BY length(text), md5(text), doc_id) + 99)::BIGINT AS n FROM documents")
+def dense_numbers(spark, sf_dir):
+    """All documents numbered by length, hash and id, without a task that holds them all."""
+    rows = docs(spark, sf_dir).select("doc_id", F.length("text").alias("size"), F.md5("text").alias("hash"))
+    return numbering.numbered(rows, ["size", "hash", "doc_id"], start=100).select("doc_id", "n")
+
+
+#: A page of 40 words in two columns of four lines of five; a word is 40 wide, and every seventh stands so close to the one before that it goes on from it.
+PLACED_SQL = """w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) - 1 AS i, unnest(ws) AS t FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents)),
+g AS (SELECT doc_id, i // 40 AS page, (i % 40) // 20 AS half, (i % 20) // 5 AS line, i, CASE WHEN i % 5 = 0 OR i % 7 = 0 THEN '' ELSE ' ' END || t AS t FROM w),
+l AS (SELECT doc_id, page, half, line, string_agg(t, '' ORDER BY i) AS t FROM g GROUP BY ALL), h AS (SELECT doc_id, page, half, string_agg(t, chr(10) ORDER BY line) AS t FROM l GROUP BY ALL)"""
+
+
+@query(f"WITH {PLACED_SQL} SELECT doc_id AS doc, page, md5(coalesce(max(t) FILTER (half = 0), '') || chr(10) || coalesce(max(t) FILTER (half = 1), '')) AS text FROM h GROUP BY doc_id, page")
+def page_columns(spark, sf_dir):
+    """Page text from positioned words; derived: every document's words are laid out in two columns."""
+    words = docs(spark, sf_dir).select("doc_id", F.posexplode(latin_words()).alias("i", "text")).withColumn("i", F.col("i").cast("long"))
+    i = F.col("i")
+    left, place = F.floor(i % 40 / 20) * 300, i % 5
+    x0 = left + place * 50 - F.when((i % 7 == 0) & (place > 0), 8).otherwise(0)
+    number = lambda c, name: c.cast("double").alias(name)
+    placed = words.select(F.col("doc_id").alias("doc"), F.floor(i / 40).alias("page"), F.lit(600.0).alias("width"), number(x0, "x0"), number(left + place * 50 + 40, "x1"), number(F.floor(i % 20 / 5) * 12 + i % 3, "top"), "text")
+    return layout.page_texts(placed).select("doc", "page", F.md5("text").alias("text"))
+
 
+@query("""SELECT item_id::VARCHAR AS name, CASE WHEN item_id % 7 <> 0 THEN md5(text) END AS exam, CASE WHEN item_id % 5 <> 0 THEN md5('sheet ' || item_id) END AS sheet,
+(item_id % 7 = 0)::INT + (item_id % 5 = 0)::INT AS n_errors FROM benchmark""")
+def file_pairs(spark, sf_dir):
+    """A manifest of exam and sheet files, read by tasks; derived: every item is written as two files, of which some are missing."""
+    from paperloom.sources.remote import write_bytes
 
-@query(f"SELECT 'generation-for-nlp-' || k AS id, n::INT AS q_num, q AS question, a AS answer FROM ({EXAMS_SQL}) v(k, n, q, a)")
-def exams_appended(spark, sf_dir):
-    """Rows of several exam files in one table, numbered in the files' order."""
-    sheet = exam_text.answer_sheet(one_text(spark, SHEET))
-    parts = [exam_text.history_exam(one_text(spark, EXAM_TEXT), sheet), exam_text.language_exam(one_text(spark, LANGUAGE_TEXT), sheet)]
-    return exam_text.with_ids(exam_text.appended(parts), order=("file", "doc", "q_num")).select("id", "q_num", "question", "answer")
+    path = work_dir(spark, "pairs")
+
+    def write(batches):
+        for batch in batches:
+            for item, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if item % 7:
+                    write_bytes(f"{path}/exams/{item}.txt", raw)
+                if item % 5:
+                    write_bytes(f"{path}/sheets/{item}.txt", b"\xef\xbb\xbfsheet %d" % item)
+            yield batch.select(["qid"])
+
+    written = stored(items(spark, sf_dir).select("qid", F.col("text").cast("binary").alias("text")).mapInArrow(write, "qid long"), f"{path}/manifest")
+    name = F.col("qid").cast("string")
+    place = lambda kind: F.concat(F.lit(f"{path}/{kind}s/"), name, F.lit(".txt")).alias(kind)
+    found = files.read_pairs(written.select(name.alias("name"), place("exam"), place("sheet")))
+    errors = F.when(F.col("error").isNull(), 0).otherwise(F.size(F.split("error", "\n")))
+    return found.select("name", F.md5("exam_text").alias("exam"), F.md5("sheet_text").alias("sheet"), errors.cast("int").alias("n_errors"))
 
 
 # ------------------------------------------------------------------ retrieval
@@ -257,6 +293,42 @@ def embedded_topk(spark, sf_dir):
     return retrieval.VectorRetriever(searchable(spark, sf_dir), embed).retrieve(items(spark, sf_dir), 3).select("qid", "rank", "doc_id", F.col("score").alias("distance"))
 
 
+@query(f"""WITH {BM25_CTES}, a AS (SELECT item_id AS qid, {SHAPE_SQL.format('text')} AS v FROM benchmark WHERE length(text) % 4 <> 0), d AS (SELECT doc_id, {SHAPE_SQL.format('text')} AS v FROM documents),
+vd AS (SELECT qid, doc_id, ((a.v[1] - d.v[1]) ** 2 + (a.v[2] - d.v[2]) ** 2)::DOUBLE AS distance FROM a, d), ve AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, doc_id) AS rank FROM vd) WHERE rank <= 10),
+{HY_CTES} SELECT hy.qid, hy.rank, hy.doc_id, round(CASE WHEN length(q.text) % 4 = 0 THEN bm.score ELSE c END, 6) AS score FROM hy JOIN benchmark q ON item_id = hy.qid LEFT JOIN bm ON bm.qid = hy.qid AND bm.doc_id = hy.doc_id""")
+def dense_fallback_rows(spark, sf_dir):
+    """A hybrid search where the embedder fails for some texts: those queries have lexical hits and scores, the others of their batch are fused.
+
+    Derived: the embedder raises for a query whose length is a multiple of four, and takes all documents.
+    """
+
+    class Marked(retrieval.VectorRetriever):
+        """Queries' texts get a mark, so that the embedder knows them."""
+
+        def vectors_of(self, rows: DataFrame, key: str) -> DataFrame:
+            return super().vectors_of(rows.withColumn("text", F.concat(F.lit("q" if key == "qid" else "d"), "text")), key)
+
+    def strict(texts: pd.Series) -> pd.Series:
+        if any(x[0] == "q" and len(x) % 4 == 1 for x in texts):
+            raise ValueError("such a text can't be embedded")
+        return shapes(texts.str[1:])
+
+    embed = lambda rows: models.embedded_rows(rows, "text", lambda: strict).select("key", "embedding", "error")
+    lexical = OfTable(spark, sf_dir)
+    found = retrieval.HybridRetriever(lexical, Marked(lexical.corpus, embed)).retrieve(items(spark, sf_dir))
+    return found.select("qid", "rank", "doc_id", r6("score").alias("score"))
+
+
+@query(f"WITH {VEC_CTES} SELECT qid, rank, doc_id, round(distance, 6) AS distance FROM ve")
+def vector_cells(spark, sf_dir):
+    """The nearest vectors by a stored index in cells, of which a query reads those that can hold one."""
+    dense = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    path = work_dir(spark, "cells")
+    cells.build(dense, path)
+    asked = items(spark, sf_dir).select("qid").join(dense.withColumnRenamed("doc_id", "qid"), "qid")
+    return cells.top_k(asked, cells.open_cells(spark, path), 10).withColumn("distance", r6("distance"))
+
+
 @query(f"""WITH {BM25_CTES}, c AS (SELECT qid, string_agg('#### ' || rank || '. ' || coalesce(source, '제목 없음') || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS x
 FROM bm JOIN documents USING (doc_id) WHERE rank <= 2 GROUP BY qid) SELECT qid, md5(x) AS documents FROM c""")
 def rag_batch(spark, sf_dir):
@@ -320,6 +392,31 @@ def generated_texts(spark, sf_dir):
     return models.generated(rows, client, tries=2, wait=0.0).select("id", "output", F.col("error").isNotNull().alias("failed"))
 
 
+@query("SELECT doc_id AS id, CASE WHEN length(text) % 5 <> 0 THEN 'said ' || md5(text) END AS output, length(text) % 5 = 0 AS failed FROM documents")
+def generated_with_log(spark, sf_dir):
+    """The same with a log, in two runs, the second of which asks only what the first has no answer to; derived: a client that fails for some prompts."""
+
+    def client():
+        def call(prompt: str) -> str:
+            if len(prompt) % 5 == 0:
+                raise TimeoutError(prompt[:10])
+            return f"said {hashlib.md5(prompt.encode()).hexdigest()}"
+
+        return call
+
+    def never():
+        def call(prompt: str) -> str:
+            raise ConnectionError("asked again")
+
+        return call
+
+    log = work_dir(spark, "log")
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("prompt"))
+    generation.generated_with_log(rows, client, log, every=200, tries=1, wait=0.0)
+    found = generation.generated_with_log(rows, never, log, every=200, tries=1, wait=0.0)
+    return found.select("id", "output", F.col("error").isNotNull().alias("failed"))
+
+
 @query("WITH e AS (SELECT vec_id AS id, list_transform(embedding[1:5], lambda x: exp(x::DOUBLE)) AS p FROM embeddings) SELECT id, round(p[1] / list_sum(p), 6) AS first, round(p[5] / list_sum(p), 6) AS last FROM e")
 def softmax_scores(spark, sf_dir):
     p = models.softmax(F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double")))

@@ -568,60 +568,162 @@ def token_counts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"))
 
 
-# ------------------------------------------------------------------ literal inputs: exam text, checkpoints, generated records
+# ------------------------------------------------------------------ exam text, derived from tables
 
-EXAM_TEXT = "머리말\n1. 다음 글에 대한 설명으로 옳은 것은? ① 가 ② 나 ③ 다 ④ 라 ⑤ 마\n2. 첫째 문장이다. 밑줄 친 것은?\n<보 기>\n보기 글\n① 하나 ② 둘\n1. 목록\n3. 셋째 ① 갑 ② 을"
-LANGUAGE_TEXT = "[1～2] 다음 글을 읽고 물음에 답하시오.\n이것은 스무 글자가 넘는 긴 지문이며 여기에서 끝난다.\n1. 첫 질문? ① 가 ② 나\n2. 둘째 질문? ① 다 ② 라\n[35~36] 다음 글을 읽고 물음에 답하시오.\n선택 과목"
-SHEET = "1 ③ 2\n2 ⑤ 3\n1 ② 2"
+CIRCLED = "①②③④⑤"
+#: Runs of Latin letters of an item, at least the 12 that its question needs; exams of 20 questions.
+WORDS_SQL = "w AS (SELECT item_id, item_id // 20 AS doc, (item_id % 20 + 1)::INT AS q_num, list_concat(regexp_extract_all(text, '[A-Za-z]+'), ['aa', 'bb', 'cc', 'dd', 'ee', 'ff', 'gg', 'hh', 'ii', 'jj', 'kk', 'll']) AS w FROM benchmark)"
+HAS_PLUS, HAS_LIST = "q_num % 3 = 0", "q_num % 4 = 0"
+CHOICES_TEXT_SQL = "'① ' || w[4] || ' ② ' || w[5] || ' ③ ' || w[6] || ' ④ ' || w[7] || ' ⑤ ' || w[8]"
+HEAD_SQL = "w[1] || ' ' || w[2] || '. ' || w[3] || '에 대한 설명으로 옳은 것은?'"
+PLUS_SQL = f"CASE WHEN {HAS_PLUS} THEN chr(10) || '<보 기>' || chr(10) || w[9] || ' ' || w[10] || chr(10) ELSE ' ' END"
+QUESTION_TEXT_SQL = f"q_num || '. ' || {HEAD_SQL} || {PLUS_SQL} || {CHOICES_TEXT_SQL} || CASE WHEN {HAS_LIST} THEN chr(10) || '1. ' || w[11] ELSE '' END"
+ANSWER_SQL = "(item_id % 5 + 1)"
 
 
-def one_text(spark: SparkSession, value: str) -> DataFrame:
-    return spark.createDataFrame([("d", value)], "doc string, text string")
+def exam_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, doc, q_num and w, the words of each item."""
+    spare = F.array(*[F.lit(c + c) for c in "abcdefghijkl"])
+    words = F.concat(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), spare)
+    rows = table(spark, sf_dir, "benchmark")
+    return rows.select("item_id", F.floor(F.col("item_id") / 20).cast("long").alias("doc"), (F.col("item_id") % 20 + 1).cast("int").alias("q_num"), words.alias("w"))
 
 
-@query(r"""SELECT 'd' AS doc, n::INT AS q_num, t AS q_text FROM (VALUES (1, '1. 다음 글에 대한 설명으로 옳은 것은? ① 가 ② 나 ③ 다 ④ 라 ⑤ 마'),
-(2, E'2. 첫째 문장이다. 밑줄 친 것은?\n<보 기>\n보기 글\n① 하나 ② 둘\n1. 목록'), (3, '3. 셋째 ① 갑 ② 을')) v(n, t)""")
+def word(k: int) -> Column:
+    return F.col("w")[k - 1]
+
+
+def question_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, q_num and text: a question with choices; every third has a block of views, every fourth a list that looks like a question."""
+    numbered = [x for k, c in enumerate(CIRCLED) for x in (F.lit(f"{' ' if k else ''}{c} "), word(4 + k))]
+    plus = F.when(F.expr(HAS_PLUS), F.concat(F.lit("\n<보 기>\n"), word(9), F.lit(" "), word(10), F.lit("\n"))).otherwise(" ")
+    more = F.when(F.expr(HAS_LIST), F.concat(F.lit("\n1. "), word(11))).otherwise("")
+    whole = F.concat(F.col("q_num").cast("string"), F.lit(". "), word(1), F.lit(" "), word(2), F.lit(". "), word(3), F.lit("에 대한 설명으로 옳은 것은?"), plus, *numbered, more)
+    return exam_words(spark, sf_dir).select("doc", "q_num", whole.alias("text"))
+
+
+def joined_texts(rows: DataFrame, order: str, sep: str, head: str = "") -> DataFrame:
+    parts = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(order, "text"))).alias("x"))
+    return parts.select("doc", F.concat(F.lit(head), F.array_join(F.transform("x", lambda t: t["text"]), sep)).alias("text"))
+
+
+def exam_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined_texts(question_texts(spark, sf_dir), "q_num", "\n", "머리말\n")
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer sheets; every number stands twice, the second time with another answer."""
+    mark = lambda n: F.element_at(F.array(*map(F.lit, CIRCLED)), (n % 5 + 1).cast("int"))
+    line = lambda n: F.concat(F.col("q_num").cast("string"), F.lit(" "), mark(n), F.lit(" 2\n")).alias("text")
+    rows = exam_words(spark, sf_dir)
+    twice = rows.select("doc", F.col("q_num").alias("k"), line(F.col("item_id"))).unionByName(rows.select("doc", (F.col("q_num") + 100).alias("k"), line(F.col("item_id") + 1)))
+    return joined_texts(twice, "k", "")
+
+
+@query(f"WITH {WORDS_SQL} SELECT doc, q_num, {QUESTION_TEXT_SQL} AS q_text FROM w")
 def question_split(spark, sf_dir):
-    return exam_text.questions(one_text(spark, EXAM_TEXT))
+    """Exam texts parted at their numbers; a list's number that isn't above all before it belongs to the question."""
+    return exam_text.questions(exam_texts(spark, sf_dir))
 
 
-@query("""SELECT 'd' AS doc, n::INT AS q_num, p AS paragraph, q AS question, c AS choices, plus AS question_plus, a AS answer, 'generation-for-nlp-' || (n - 1) AS id FROM (VALUES
-(1, '다음 글에 대한 설명으로 옳은 것은?', '다음 글에 대한 설명으로 옳은 것은?', '① 가|② 나|③ 다|④ 라|⑤ 마', '', '3'),
-(2, '첫째 문장이다.', '첫째 문장이다. 밑줄 친 것은?', '① 하나|② 둘 1. 목록', '보기 글', '5'), (3, '셋째', '셋째', '① 갑|② 을', '', '')) v(n, p, q, c, plus, a)""")
+BARS = "c"
+for _mark in CIRCLED[1:]:
+    BARS = f"replace({BARS}, ' {_mark}', '|{_mark}')"
+PARSED_SQL = f"""SELECT doc, q_num, CASE WHEN length(w[1] || w[2]) > 4 THEN w[1] || ' ' || w[2] || '.' ELSE {HEAD_SQL} END AS paragraph, {HEAD_SQL} AS question, {CHOICES_TEXT_SQL} || CASE WHEN {HAS_LIST} THEN ' 1. ' || w[11] ELSE '' END AS c,
+CASE WHEN {HAS_PLUS} THEN w[9] || ' ' || w[10] ELSE '' END AS question_plus, {ANSWER_SQL}::VARCHAR AS answer FROM w"""
+
+
+@query(f"WITH {WORDS_SQL}, p AS ({PARSED_SQL}) SELECT doc, q_num, paragraph, question, {BARS} AS choices, question_plus, answer, 'generation-for-nlp-' || (row_number() OVER (ORDER BY doc, q_num) - 1) AS id FROM p")
 def question_parse(spark, sf_dir):
-    sheet = exam_text.answer_sheet(one_text(spark, SHEET))
-    return exam_text.with_ids(exam_text.history_exam(one_text(spark, EXAM_TEXT), sheet)).withColumn("choices", F.array_join("choices", "|"))
+    """History exams: passage, question, choices, views and answer of each question, numbered over all exams."""
+    rows = exam_text.history_exam(exam_texts(spark, sf_dir), exam_text.answer_sheet(sheets(spark, sf_dir)))
+    return exam_text.with_ids(rows).withColumn("choices", F.array_join("choices", "|"))
 
 
-@query("SELECT 'd' AS doc, unnest([1, 2])::INT AS q_num, unnest(['3', '5']) AS answer")
+@query(f"SELECT item_id // 20 AS doc, (item_id % 20 + 1)::INT AS q_num, {ANSWER_SQL}::VARCHAR AS answer FROM benchmark")
 def answer_sheet(spark, sf_dir):
-    return exam_text.answer_sheet(one_text(spark, SHEET))
+    """The first answer of a number counts."""
+    return exam_text.answer_sheet(sheets(spark, sf_dir))
+
 
+def language_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of questions below a passage with their range; exams of 20 end with a part from 35 on, which is another exam's."""
+    n = F.col("q_num")
+    header = F.concat(F.lit("["), n.cast("string"), F.lit("～"), (n + 1).cast("string"), F.lit("] 다음 글을 읽고 물음에 답하시오.\n"))
+    passage = F.when(n % 2 == 1, F.concat(header, F.array_join("w", " "), F.lit(" is the passage they share.\n"))).otherwise("")
+    late = F.when(n == 20, F.concat(F.lit("\n[35~36] 다음 글을 읽고 물음에 답하시오.\n35. "), word(1), F.lit("? ① a ② b"))).otherwise("")
+    whole = F.concat(passage, n.cast("string"), F.lit(". "), word(1), F.lit(" "), word(2), F.lit("? ① "), word(3), F.lit(" ② "), word(4), late)
+    return joined_texts(exam_words(spark, sf_dir).select("doc", "q_num", whole.alias("text")), "q_num", "\n")
 
-@query("""SELECT 'd' AS doc, n::INT AS q_num, '이것은 스무 글자가 넘는 긴 지문이며 여기에서 끝난다.' AS paragraph, q AS question, c AS choices, '' AS question_plus, a AS answer FROM (VALUES
-(1, '첫 질문?', '① 가|② 나', '3'), (2, '둘째 질문?', '① 다|② 라', '5')) v(n, q, c, a)""")
+
+LANGUAGE_SQL = f"""l AS (SELECT doc, q_num AS q_from, array_to_string(w, ' ') || ' is the passage they share.' AS paragraph FROM w WHERE q_num % 2 = 1),
+lang AS (SELECT w.doc, q_num, paragraph, w[1] || ' ' || w[2] || '?' AS question, '① ' || w[3] || '|② ' || w[4] AS choices, '' AS question_plus, {ANSWER_SQL}::VARCHAR AS answer
+FROM w JOIN l ON l.doc = w.doc AND l.q_from = q_num - (q_num + 1) % 2)"""
+
+
+@query(f"WITH {WORDS_SQL}, {LANGUAGE_SQL} SELECT * FROM lang")
 def passage_header_join(spark, sf_dir):
-    out = exam_text.language_exam(one_text(spark, LANGUAGE_TEXT), exam_text.answer_sheet(one_text(spark, SHEET)))
+    """Language exams: questions with the passage whose range holds them."""
+    out = exam_text.language_exam(language_texts(spark, sf_dir), exam_text.answer_sheet(sheets(spark, sf_dir)))
     return out.withColumn("choices", F.array_join("choices", "|"))
 
 
-@query("SELECT 'd' AS doc, 'one' || chr(10) || 'two' AS text")
+@query(f"""WITH {WORDS_SQL}, {LANGUAGE_SQL}, p AS ({PARSED_SQL}), a AS (SELECT 0 AS file, doc, q_num, question, answer FROM p UNION ALL SELECT 1, doc, q_num, question, answer FROM lang)
+SELECT 'generation-for-nlp-' || (row_number() OVER (ORDER BY file, doc, q_num) - 1) AS id, q_num, question, answer FROM a""")
+def exams_appended(spark, sf_dir):
+    """Rows of several exam files in one table, numbered in the files' order."""
+    sheet = exam_text.answer_sheet(sheets(spark, sf_dir))
+    parts = [exam_text.history_exam(exam_texts(spark, sf_dir), sheet), exam_text.language_exam(language_texts(spark, sf_dir), sheet)]
+    return exam_text.with_ids(exam_text.appended(parts), order=("file", "doc", "q_num")).select("id", "q_num", "question", "answer")
+
+
+LATIN_SQL = "array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ')"
+
+
+def latin_words(column: str = "text") -> Column:
+    return F.regexp_extract_all(column, F.lit("[A-Za-z]+"), F.lit(0))
+
+
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages, six of them a file, with their Latin words as text."""
+    return docs(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 6).cast("long").alias("doc"), (F.col("doc_id") % 6).cast("int").alias("page"), F.array_join(latin_words(), " ").alias("text"))
+
+
+@query(f"""WITH p AS (SELECT doc_id // 6 AS doc, doc_id % 6 AS page, doc_id % 11 = 4 AS even, {LATIN_SQL} AS text FROM documents), s AS (SELECT doc, min(page) FILTER (even) AS stop FROM p GROUP BY doc)
+SELECT doc, md5(string_agg(text, chr(10) ORDER BY page)) AS text FROM p JOIN s USING (doc) WHERE stop IS NULL OR page < stop GROUP BY doc""")
 def page_stop(spark, sf_dir):
-    pages = spark.createDataFrame([("d", 1, "one"), ("d", 2, "two"), ("d", 3, "짝수형 x"), ("d", 4, "four")], "doc string, page int, text string")
-    return exam_text.joined_pages(pages, stop_at_even=True)
+    """A file's pages up to the first of the even form."""
+    pages = page_rows(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 11 == 4, F.concat(F.lit("짝수형 "), "text")).otherwise(F.col("text")))
+    return exam_text.joined_pages(pages.drop("doc_id"), stop_at_even=True).withColumn("text", F.md5("text"))
+
+
+@query(f"""WITH p AS (SELECT doc_id // 6 AS doc, doc_id % 6 AS page, CASE doc_id % 4 WHEN 0 THEN chr(10) || 'x' || {LATIN_SQL} WHEN 1 THEN 'x' || {LATIN_SQL} || ' ' WHEN 2 THEN 'x' || {LATIN_SQL} || chr(10) ELSE 'x' || {LATIN_SQL} END AS text FROM documents)
+SELECT doc, md5(string_agg(text, chr(10) ORDER BY page)) AS text FROM p GROUP BY doc""")
+def page_artifacts(spark, sf_dir):
+    """Page numbers, form marks and notices go."""
+    t, k = F.concat(F.lit("x"), "text"), F.col("doc_id") % 4
+    number = F.concat((F.col("doc_id") % 90 + 10).cast("string"), F.lit("\n"), t)
+    dirty = F.when(k == 0, number).when(k == 1, F.concat(t, F.lit(" 홀수형"))).when(k == 2, F.concat(t, F.lit("\n이 문제지에 관한 저작권은 누구에게"))).otherwise(t)
+    return exam_text.joined_pages(page_rows(spark, sf_dir).withColumn("text", dirty).drop("doc_id")).withColumn("text", F.md5("text"))
 
 
-@query("SELECT 'run/checkpoint-120' AS path")
+@query("SELECT 'run/' || coalesce(arg_max(source, doc_id), '') || '/checkpoint-' || max(doc_id) || CASE WHEN max(doc_id) % 2 = 0 THEN '/' ELSE '' END AS path FROM documents WHERE doc_id % 5 <> 0")
 def checkpoint_pick(spark, sf_dir):
-    return files.latest_checkpoint(spark.createDataFrame([("run/checkpoint-9",), ("run/checkpoint-120",), ("run/other",)], "path string"))
+    """The path of the highest step; names of another form don't count. Derived: every document names a path, a fifth of them of another form."""
+    form, slash = F.when(F.col("doc_id") % 5 == 0, "/other-").otherwise("/checkpoint-"), F.when(F.col("doc_id") % 2 == 0, "/").otherwise("")
+    path = F.concat(F.lit("run/"), F.coalesce("source", F.lit("")), form, F.col("doc_id").cast("string"), slash)
+    return files.latest_checkpoint(table(spark, sf_dir, "documents").select(path.alias("path")))
 
 
-@query("SELECT unnest([1, 2, 3, 4]) AS id, unnest([NULL, 'too few choices', 'answer out of range', 'unparsed']) AS reason")
+@query("SELECT doc_id AS id, CASE doc_id % 4 WHEN 1 THEN 'too few choices' WHEN 2 THEN 'answer out of range' WHEN 3 THEN 'unparsed' END AS reason FROM documents")
 def validate_generated(spark, sf_dir):
-    rows = spark.createDataFrame([
-        (1, '```json\n{"question": "q", "choices": ["a", "b"], "answer": 2}\n```'), (2, '{"question": "q", "choices": ["a"], "answer": 1}'),
-        (3, '{"question": "q", "choices": ["a", "b"], "answer": 3}'), (4, "nothing"),
-    ], "id int, problems string").withColumn("problems", text.unfenced(F.col("problems")))
+    """Generated records, some in code fences, some with a choice only, an answer out of range or no record at all."""
+    k, first = F.col("doc_id") % 4, F.coalesce(F.get(latin_words(), F.lit(0)), F.lit("q"))
+    record = lambda options, answer: F.to_json(F.struct(first.alias("question"), options.alias("choices"), F.lit(answer).alias("answer")))
+    two = F.array(first, F.lit("b"))
+    fenced = F.concat(F.lit("```json\n"), record(two, 2), F.lit("\n```"))
+    raw = F.when(k == 0, fenced).when(k == 1, record(F.array(first), 1)).when(k == 2, record(two, 3)).otherwise(F.concat(F.lit("nothing but "), first))
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), text.unfenced(raw).alias("problems"))
     return literals.parsed_problems(rows).select("id", literals.problem_valid(F.when(F.col("parse_ok"), F.col("p"))).alias("reason"))
 
 

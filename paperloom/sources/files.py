@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,15 +117,30 @@ def latest_checkpoint(names: DataFrame, column: str = "path") -> DataFrame:
     return names.withColumn("_n", n).filter("_n is not null").agg(F.max_by(F.col(column), F.col("_n")).alias(column))
 
 
-def read_pairs(spark: SparkSession, manifest: Iterable[tuple[str, str, str]]) -> DataFrame:
-    """name, exam_text, sheet_text, error for (name, exam file, sheet file) of a manifest; a file that can't be read gives an error and no text."""
-    texts = []
-    for name, *files in manifest:
-        row: list[str | None] = [name, None, None, None]
-        for k, path in enumerate(files, 1):
+def read_pairs(manifest: DataFrame) -> DataFrame:
+    """name, exam_text, sheet_text, error for manifest(name, exam, sheet), a table of paths.
+
+    Tasks read the files, each row's by itself; a file that can't be read, or is no UTF-8, gives no text, and error names it and why. The rest goes on.
+    A byte order mark is dropped. Errors of both files of a row are joined by a line break.
+    """
+
+    def read(batches):
+        import pyarrow as pa
+
+        from paperloom.sources.remote import read_bytes
+
+        def text_of(path: str | None) -> tuple[str | None, str | None]:
+            if path is None:
+                return None, "no path"
             try:
-                row[k] = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-            except Exception as e:  # noqa: BLE001  the manifest goes on
-                row[3] = f"{path}: {str(e).splitlines()[0][:200]}"
-        texts.append(tuple(row))
-    return spark.createDataFrame(texts, "name string, exam_text string, sheet_text string, error string")
+                return read_bytes(path).decode("utf-8-sig"), None
+            except (OSError, ValueError, pa.ArrowException) as e:
+                return None, f"{path}: {type(e).__name__}"
+
+        for batch in batches:
+            exam, sheet = ([text_of(x) for x in batch.column(k).to_pylist()] for k in (1, 2))
+            errors = ["\n".join(x for x in (a[1], b[1]) if x) or None for a, b in zip(exam, sheet, strict=True)]
+            columns = [batch.column(0), *(pa.array(x, pa.string()) for x in ([a[0] for a in exam], [b[0] for b in sheet], errors))]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "exam_text", "sheet_text", "error"])
+
+    return manifest.select(F.col("name").cast("string"), F.col("exam").cast("string"), F.col("sheet").cast("string")).mapInArrow(read, "name string, exam_text string, sheet_text string, error string")
