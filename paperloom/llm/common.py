@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 
 from paperloom.workspace import stored, work_dir
 
-__all__ = ["bound_batches", "decoded", "map_batches", "map_rows", "place_of", "quoted", "stored", "text_bytes", "unused", "words_of", "work_dir"]
+__all__ = ["any_names", "bound_batches", "decoded", "map_batches", "map_rows", "place_of", "quoted", "stored", "text_bytes", "unused", "words_of", "work_dir"]
 
 #: Rows in an Arrow batch. Texts may be very long, so batches stay small: at 100 KB a text, about 25 MB.
 BATCH_ROWS = 256
@@ -31,6 +32,22 @@ def place_of(df: DataFrame, name: str) -> int:
     return names.index(name) if name in names else [c.lower() for c in names].index(name.lower())
 
 
+def any_names(*used: str) -> Callable:
+    """For a function that keeps some of docs' rows, with all their columns in order: it gets docs with the columns that it uses under
+    just these names and all others under unused ones, so that names which differ in case only can't be taken for each other. Its result has docs' names again."""
+
+    def wrap(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(fn)
+        def run(docs: DataFrame, *args, **more) -> DataFrame:
+            names = docs.columns
+            own = {place_of(docs, c): c for c in used if c in {n.lower() for n in names}}
+            return fn(docs.toDF(*[own.get(i, f"_other {i}") for i in range(len(names))]), *args, **more).toDF(*names)
+
+        return run
+
+    return wrap
+
+
 def quoted(name: str) -> str:
     """A column name with dots, spaces or back quotes, as an expression."""
     return "`" + name.replace("`", "``") + "`"

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bound_batches, decoded, map_rows, quoted, stored, text_bytes, unused, work_dir
+from paperloom.llm.common import any_names, bound_batches, decoded, map_rows, quoted, stored, text_bytes, unused, work_dir
 
 #: Masks of weight 6.
 MASKS = ("1101111", "111010011", "11100100011")
@@ -298,6 +298,7 @@ def joined_overlaps(texts: DataFrame, items: DataFrame, blocks: int) -> DataFram
     return stored(found, f"{path}/found")
 
 
+@any_names("text")
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that hold no test item, with all their columns."""
     spark = docs.sparkSession

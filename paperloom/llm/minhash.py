@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bound_batches, map_batches, quoted, stored, text_bytes, unused, work_dir
+from paperloom.llm.common import any_names, bound_batches, map_batches, quoted, stored, text_bytes, unused, work_dir
 from paperloom.llm.components import LOCAL_LINKS, components
 
 ROWS, BANDS = 5, 36
@@ -346,6 +346,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, local_
     return found.select("doc_id", "text_key", "n_shingles", "digest", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@any_names("doc_id", "text")
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without near duplicates: one row of each component, with all its columns.
 

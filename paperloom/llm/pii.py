@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from paperloom.llm.common import decoded, map_batches, map_rows, place_of, quoted, text_bytes
+from paperloom.llm.common import any_names, decoded, map_batches, map_rows, place_of, quoted, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "login", "account", "secret")
@@ -459,6 +459,7 @@ def masked(text: str) -> str:
     return "".join([*parts, text[at:]]) if parts else text
 
 
+@any_names("text", "n_chars")
 def mask_pii(docs: DataFrame) -> DataFrame:
     """docs with text masked and, where there is such an integer column, n_chars the new length.
 

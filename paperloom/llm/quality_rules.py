@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from paperloom.llm.common import bound_batches, decoded, quoted, stored, text_bytes, words_of, work_dir
+from paperloom.llm.common import any_names, bound_batches, decoded, quoted, stored, text_bytes, words_of, work_dir
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -159,6 +159,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return judge(rules, host_verdicts(rules, path))
 
 
+@any_names("text", "source")
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns.
 

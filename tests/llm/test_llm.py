@@ -853,6 +853,20 @@ def test_any_column_names_and_malformed_text(spark, edge):
         assert out.count() == len(EDGE)
 
 
+def test_names_that_differ_in_case_only(spark):
+    """Where both text and Text, or source and SOURCE, are there, the one of just that name counts; columns keep names and places."""
+    words = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, "X", f"{words} mail a@b.co", "Y", "s", "S", 5), (2, "X", f"{words} mail a@b.co", "Z", "s", "T", 5), (3, "X", "too short", "Z", "s", "T", 5)]
+    odd = spark.createDataFrame(rows, "doc_id long, Text string, text string, TEXT string, source string, Source string, n_chars long")
+    want = [({1, 2}, 0), ({1, 3}, 0), ({1, 2, 3}, 0), ({1, 2, 3}, 1)]
+    for (_, stage), (ids, masked_) in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns
+        kept = out.collect()
+        assert {r[0] for r in kept} == ids and {r[1] for r in kept} == {"X"}
+        assert all(("[EMAIL]" in r[2]) == (masked_ == 1 and r[0] < 3) and r[6] in (5, len(r[2])) for r in kept)
+
+
 def test_pipeline_edges(spark, edge, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5
     for table in (edge, spark.createDataFrame([], DOCS)):
