@@ -42,6 +42,30 @@ def macro_f1(rows: DataFrame, truth: str = "answer", guess: str = "predict") ->
     return class_scores(rows, truth, guess).agg(F.avg("f1").alias("macro_f1"))
 
 
+#: The labels a model is trained on, and what ends a turn.
+TRAINED_LABELS, END_OF_TURN = "12345", "<end_of_turn>"
+
+
+def choice_logits(logits: Column, ids: list[int]) -> Column:
+    """The scores of the choices' tokens at the last place but one, where the answer is told (the end token is last); null where there is none."""
+    place = F.try_element_at(logits, F.lit(-2))
+    return F.when(place.isNotNull(), F.array(*[F.get(place, F.lit(i)) for i in ids]))
+
+
+def decoded_label(text: Column) -> Column:
+    """The index, from 0, of a label that is told before the turn's end; any other text counts as the first."""
+    told = F.trim(F.regexp_replace(F.split_part(text, F.lit(END_OF_TURN), F.lit(1)), r"(?U)^\s+|\s+$", ""))
+    return F.when(told.rlike(f"^[{TRAINED_LABELS}]$"), told.try_cast("int") - 1).otherwise(0)
+
+
+def training_metric(rows: DataFrame, ids: list[int], logits: str = "logits", label: str = "label_text") -> DataFrame:
+    """One row, macro_f1, of rows(logits: scores by place and token, label_text). Of equal scores the first choice counts."""
+    scores = choice_logits(F.col(logits), ids)
+    marked_ = rows.select(decoded_label(F.col(label)).alias("answer"), scores.alias("_scores"))
+    guess = F.array_position("_scores", F.array_max("_scores")) - 1
+    return macro_f1(marked_.withColumn("predict", guess.cast("int")))
+
+
 def marked(rows: DataFrame, truth: str = "answer", guess: str = "predict") -> DataFrame:
     """rows with correct, O or X."""
     return rows.withColumn("correct", F.when(F.col(truth) == F.col(guess), CORRECT).otherwise(WRONG))

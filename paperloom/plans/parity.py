@@ -7,10 +7,12 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom import schemas
 from paperloom.functions import literals, prompts, text
-from paperloom.operators import cells, context, corpus, generation, labeling, layout, metrics, models, numbering, retrieval, vectors
+from paperloom.operators import cells, context, corpus, generation, labeling, layout, metrics, models, numbering, retrieval, sampling, vectors
+from paperloom.plans import dataset
 from paperloom.plans.queries import BM25_CTES, CHOICES_SQL, HY_CTES, VEC_CTES, bm25_hits, bm25_index, choices, docs, exams, items, latin_words, query, r6, table
 from paperloom.sources import files
 from paperloom.workspace import stored, work_dir
@@ -84,6 +86,30 @@ def vector_index_file(spark, sf_dir):
     return vectors.top_k(asked, again, 0).select("qid", "rank", "doc_id")
 
 
+@query("SELECT doc_id::VARCHAR AS id, md5(text) AS text, nullif(source, '') AS source FROM documents")
+def csv_with_bom(spark, sf_dir):
+    """Files that begin with a byte order mark, read back without it."""
+    path = work_dir(spark, "csv-bom")
+    shape = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "text", "source")])
+    files.write_csv(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.md5("text").alias("text"), "source"), path, bom=True)
+    return files.read_csv(spark, path, shape)
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id::VARCHAR) - 1)::BIGINT AS place FROM documents")
+def id_order(spark, sf_dir):
+    """The place of each row in order of its id as text, as answers are written."""
+    return numbering.numbered(docs(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("id")), ["id"], "place").select("doc_id", "place")
+
+
+@query("""SELECT doc_id, seed, CASE WHEN row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || doc_id), doc_id) <= floor(0.8 * count(*) OVER (PARTITION BY seed)) THEN 'train' ELSE 'test' END AS split
+FROM documents, (VALUES (1), (7), (2026)) s(seed)""")
+def seeded_splits(spark, sf_dir):
+    """The same split for a seed every time, and others for other seeds."""
+    rows = docs(spark, sf_dir).select("doc_id")
+    parts = [sampling.train_test_split(rows, "doc_id", 0.8, seed).withColumn("seed", F.lit(seed)) for seed in (1, 7, 2026)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # ------------------------------------------------------------------ records, prompts, tokens
 
 @query("""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[A-Za-z]+')[1], 'q') AS w FROM documents)
@@ -361,6 +387,46 @@ def fallback_labels(spark, sf_dir):
 
 # ------------------------------------------------------------------ models, counts
 
+@query("""WITH r AS (SELECT vec_id % 7 AS k, list_transform([3, 5, 8, 13, 21], lambda i: embedding[i + 1]) AS s FROM embeddings),
+p AS (SELECT CASE WHEN k < 5 THEN k ELSE 0 END AS a, list_position(s, list_max(s)) - 1 AS g FROM r),
+c AS (SELECT l, sum((a = l AND g = l)::INT) AS tp, sum((a <> l AND g = l)::INT) AS fp, sum((a = l AND g <> l)::INT) AS fn FROM p, (SELECT DISTINCT unnest([a, g]) AS l FROM p) GROUP BY l)
+SELECT round(avg(CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END), 9) AS macro_f1 FROM c""")
+def training_metric(spark, sf_dir):
+    """Macro-F1 in training: the choices' scores at the last place but one; derived: a vector stands for the scores there, and labels are told in several forms, some unknown."""
+    label = F.element_at(F.array(*[F.lit(x) for x in ("1", " 2<end_of_turn>\n", "3\n", "4<end_of_turn>5", "5", "none", "")]), (F.col("vec_id") % 7 + 1).cast("int"))
+    zero = F.transform("embedding", lambda x: x * 0)
+    rows = table(spark, sf_dir, "embeddings").select(F.array(zero, F.col("embedding"), zero).alias("logits"), label.alias("label_text"))
+    return metrics.training_metric(rows, [3, 5, 8, 13, 21]).withColumn("macro_f1", F.round("macro_f1", 9))
+
+
+def public_bpe():
+    """A public byte-level tokenizer, for texts in Arrow batches."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda texts: pd.Series([x.ids for x in model.encode_batch(list(texts), add_special_tokens=False)], dtype=object)
+
+
+@query()
+def message_tokens_bpe(spark, sf_dir):
+    """Chat messages through a template and a real tokenizer, whole."""
+    out = models.tokenized(conversations(spark, sf_dir), lambda: public_bpe(), 1 << 20)
+    return out.select("id", F.size("input_ids").cast("long").alias("n"), F.xxhash64("input_ids").alias("ids_hash"), (F.size("attention_mask") == F.size("input_ids")).alias("mask"))
+
+
+@query("SELECT item_id::VARCHAR AS id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || item_id), item_id) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part, CASE WHEN item_id % 6 > 0 THEN (item_id % 6)::INT END AS answer FROM benchmark")
+def dataset_parts(spark, sf_dir):
+    """A dataset's parts, loaded from CSV and tokenised."""
+    path = work_dir(spark, "dataset")
+    rows = exams(spark, sf_dir)
+    problems = literals.packed(F.col("question"), F.col("choices"), F.col("answer"))
+    raw = rows.select(F.col("id").cast("string").alias("id"), "paragraph", problems.alias("problems"), "question_plus")
+    files.write_csv(raw, path)
+    parts = dataset.ExamDataset(spark, path).preprocess(lambda: word_lengths, 1 << 20)
+    return parts["train"].select("id", F.lit("train").alias("part"), "answer").unionByName(parts["test"].select("id", F.lit("test").alias("part"), "answer"))
+
+
 @query("SELECT doc_id AS id, CASE WHEN length(text) > 300 AND contains(text, 'the') THEN 'A' ELSE 'B' END AS label FROM documents")
 def gate_two_stage(spark, sf_dir):
     """The second model sees what the first calls A; derived models look at length and a word."""

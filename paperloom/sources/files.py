@@ -23,12 +23,14 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType =
     return df.select(*[(F.col(f"`{names[f.name]}`").try_cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header="true", escape='"').csv(path)
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """A folder of CSV files, each with a header. With bom each begins with a byte order mark, as spreadsheets want it: it is written as part of the first column's name."""
+    out = df.toDF(BOM + df.columns[0], *df.columns[1:]) if bom else df
+    out.write.mode("overwrite").options(header="true", escape='"').csv(path)
 
 
 def export_csv(df: DataFrame, path: str, bom: bool = False) -> None:
-    """One file on the driver, for hand-over. Rows stream partition by partition."""
+    """One file on the driver, for hand-over of small tables. Rows stream partition by partition; write_csv writes large ones."""
     import csv
 
     with open(path, "w", encoding="utf-8-sig" if bom else "utf-8", newline="") as f:

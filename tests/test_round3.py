@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.operators import cells, exam_text, generation, layout, models, numbering, retrieval, vectors
 from paperloom.sources import files, remote, store
@@ -218,3 +219,42 @@ def test_vectors_are_stored_once(spark, tmp_path):
         got = retrieval.VectorRetriever(docs, embed, path=f"file://{tmp_path}/v").retrieve(asked, 1)
         assert [r.doc_id for r in got.select("doc_id").collect()] == [0] and len(calls) == n
     assert remote.exists(f"{tmp_path}/v")
+
+
+# ---------------------------------------------------------------- metric, sinks, dataset
+
+def test_training_metric(spark):
+    from paperloom.operators import metrics
+
+    labels = {"1": 0, "5": 4, " 3 \n": 2, "2<end_of_turn>\n4": 1, "6": 0, "12": 0, "": 0, "x": 0, None: 0}
+    got = spark.createDataFrame([(t,) for t in labels], "t string").select("t", metrics.decoded_label(F.col("t")).alias("k")).collect()
+    assert {r.t: r.k for r in got} == labels
+    rows = [([[9.0] * 5, [0.0, 2.0, 1.0, 2.0, 0.0], [0.0] * 5], "2"), ([[0.0, 1.0, 3.0, 0.0, 0.0], [0.0] * 5], "3"), ([[0.0] * 5], "1")]
+    table = spark.createDataFrame(rows, "logits array<array<double>>, label_text string")
+    assert table.select(metrics.choice_logits(F.col("logits"), [1, 3]).alias("s")).collect()[0].s == [2.0, 2.0]
+    assert metrics.training_metric(table, [0, 1, 2, 3, 4]).first().macro_f1 == pytest.approx((1 + 1 + 0) / 3)
+
+
+def test_csv_with_bom_in_every_file(spark, tmp_path):
+    rows = spark.createDataFrame([(str(k), f'a "quoted", text {k}\nof two lines') for k in range(9)], "id string, problems string").repartition(3)
+    files.write_csv(rows, f"file://{tmp_path}/b", bom=True)
+    parts = list((tmp_path / "b").glob("part-*.csv"))
+    assert len(parts) == 3 and all(p.read_bytes().startswith(b"\xef\xbb\xbfid,problems\n") for p in parts)
+    assert sorted((r.id, r.problems) for r in files.read_csv(spark, f"file://{tmp_path}/b").collect()) == sorted(map(tuple, rows.collect()))
+
+
+def test_dataset(spark, tmp_path):
+    from paperloom.plans import dataset
+
+    problems = '{"question": "q", "choices": ["a", "b"], "answer": 2}'
+    files.write_csv(spark.createDataFrame([(str(k), "word " * k, problems) for k in range(10)], "id string, paragraph string, problems string"), f"file://{tmp_path}/d")
+    data = dataset.ExamDataset(spark, f"file://{tmp_path}/d", share=0.7)
+    raw = data.load_data()
+    assert {k: v.count() for k, v in raw.items()} == {"train": 7, "test": 3}
+    tokens = lambda: lambda texts: texts.map(lambda x: list(range(len(x.split()))))
+    most = max(len(r.input_ids) for r in data.preprocess(tokens, 10**6)["train"].collect())
+    cut = data.preprocess(tokens, most - 1)
+    assert cut["train"].count() < 7 and cut["test"].count() == 3
+    assert max(len(r.input_ids) for r in data.preprocess(tokens, 20)["test"].collect()) == 20
+    with pytest.raises(TypeError):
+        dataset.Dataset(spark, "x")
