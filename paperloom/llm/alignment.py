@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from paperloom.llm.common import decoded, map_batches, stored, text_bytes, work_
 
 #: Bytes of text that are laid end to end at a time; a longer text is taken alone.
 BATCH_BYTES = 4 << 20
-#: Units remembered in a worker, in each of two generations, and the longest that is remembered.
-MEMO_UNITS, MEMO_CHARS = 200_000, 64
+#: Units that a worker remembers, and characters in them, in each of two generations.
+MEMO_UNITS, MEMO_CHARS = 300_000, 8_000_000
 #: Counted pairs that may be sent to all tasks, about 60 MB there.
 BROADCAST_PAIRS = 1_000_000
 #: Parts that each pair is dealt in where both sides are shuffled.
@@ -63,33 +64,23 @@ class PieceEncoder:
         as_bytes = lambda name: bytes([int(m[1], 16)]) if (m := BYTE.fullmatch(name)) else name.replace(SPACE, " ").encode()
         self.tokens = [as_bytes(name) for name in names]
         self.space = [self.model.piece_to_id(SPACE)]
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
     def unit(self, unit: str) -> bytes:
-        """The ids of a space and unit; the model puts the space itself, but not before nothing."""
-        found = self.older.get(unit)
-        if found is None:
-            ids = self.model.encode(unit) if unit else self.space
-            if b"".join([self.tokens[i] for i in ids]) != b" " + unit.encode():
-                raise NotTheText(unit)
-            found = np.array(ids, "<u4").tobytes()
-        if len(unit) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_UNITS:
-                self.older = dict(self.memo)
-                self.memo.clear()
-            self.memo[unit] = found
-        return found
+        """The ids of a space and unit, as little-endian unsigned 32-bit integers; the model puts the space itself, but not before nothing."""
+        ids = self.model.encode(unit) if unit else self.space
+        if b"".join(map(self.tokens.__getitem__, ids)) != b" " + unit.encode():
+            raise NotTheText(unit)
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """The ids of text, which the model begins with a space of its own, as little-endian unsigned 32-bit integers. Raises where their bytes differ from a space and text."""
-        if not text:
-            return b""
-        units = text.split(" ")
-        if "" in units:
-            units = UNITS.findall(" " + text)
-        memo, make = self.memo.get, self.unit
-        return b"".join([memo(x) or make(x) for x in units])
+        """The ids of text, which the model begins with a space of its own. Raises where their bytes differ from a space and text."""
+        return b"".join(map(self.unit, units_of(text)))
+
+
+def units_of(text: str) -> list[str]:
+    """What follows each space of a space and text, further spaces included; nothing for no text."""
+    units = text.split(" ") if text else []
+    return UNITS.findall(" " + text) if "" in units else units
 
 
 def table_of(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,13 +107,34 @@ class Aligner:
         self.digits, self.own = table_of(entries)
         self.digit_size = self.own.sum(1)
 
+        # A's and B's ids of a space and a unit; A's are None where the unit's white space meets the space
+        self.memo: dict[str, tuple[bytes | None, bytes]] = {}
+        self.older: dict[str, tuple[bytes | None, bytes]] = {}
+        self.chars = 0
+
+    def pair(self, unit: str) -> tuple[bytes | None, bytes]:
+        found = self.older.get(unit)
+        if found is None:
+            apart = unit and not unit[0].isspace() and not unit[-1].isspace()
+            found = self.a.encode_raw(" " + unit) if apart else None, self.b.unit(unit)
+        if len(self.memo) >= MEMO_UNITS or self.chars >= MEMO_CHARS:
+            self.older, self.memo, self.chars = self.memo, {}, 0
+        self.memo[unit] = found
+        self.chars += len(unit)
+        return found
+
     def tokens(self, text: str) -> tuple[int, bytes, bytes]:
         """The bytes of a space and text, and both sides' ids; nothing where B's bytes differ from it. A has a token for each byte, and joins them only."""
+        units = units_of(text)
         try:
-            b = self.b.encode(text)
+            found = [pair or self.pair(unit) for unit, pair in zip(units, map(self.memo.get, units), strict=True)]
         except NotTheText:
-            b = b""
-        return (len(text.encode()) + 1, b"".join(self.a.encode_plain(" " + text)), b) if b else (0, b"", b"")
+            found = []
+        if not found:
+            return 0, b"", b""
+        a = [x for x, _ in found]
+        # a space between two other characters begins a piece of A's, so units between such are apart
+        return len(text.encode()) + 1, b"".join(self.a.encode_plain(" " + text) if None in a else a), b"".join([y for _, y in found])
 
 
 class Aligned:
