@@ -37,7 +37,7 @@ MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: Counts that a task holds before it hands them over.
 FLUSH = 200_000
 #: Cells of a tile, 8 bytes each, and the fewest and most terms in a block.
-CELLS, LEAST_TERMS, MOST_TERMS = 1 << 20, 64, 1 << 14
+CELLS, LEAST_TERMS, MOST_TERMS = 1 << 20, 64, 1 << 11
 #: Sources that one task compares with all others, on average.
 SLICE = 256
 #: Bytes that part terms become spaces, A-Z become a-z.
