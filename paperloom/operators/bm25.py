@@ -14,8 +14,8 @@ numbers up, so they see what a new build would give. FACTOR segments of like siz
 
 **Blocks.** A segment's documents are dealt in ranges of RANGE by a hash of the id, and a term's postings of a range are one row, with the
 least length for each term frequency in it. So the greatest score of the block is known exactly for any k1, b and average length before its
-postings are read. A query first scores the SEEDS ranges with the greatest sums of these bounds; the k-th score found is its threshold. In every
-other range the terms with the lowest bounds, as many as together stay under the threshold, can't lift a document over it alone: a range where that is
+postings are read. A query first scores the SEEDS ranges with the greatest sums of these bounds, and in all ranges its strongest terms, as many as have k postings;
+the k-th score found by either is its threshold. In every other range the terms with the lowest bounds, as many as together stay under the threshold, can't lift a document over it alone: a range where that is
 all of them is skipped, elsewhere the other terms are read first, and those lowest ones only in ranges with a document that can still pass.
 """
 
@@ -40,7 +40,7 @@ TOP_K = 10
 #: Rows of query terms, or of blocks to read, that may be sent to all tasks, about 60 MB; beyond that both sides are shuffled.
 BROADCAST_TERMS = 1_000_000
 #: Documents in a range, and the ranges that a query reads for its threshold.
-RANGE, SEEDS = 256, 4
+RANGE, SEEDS = 512, 4
 #: Segments of one size class (a power of FACTOR) that are merged.
 FACTOR = 4
 #: What rounding may hide in a comparison with the threshold.
@@ -249,8 +249,13 @@ class Index:
         seeds = stored(top.filter(F.col("place") <= SEEDS).select(*at), f"{path}/seeds")
         first = stored(heads.join(sent(seeds), at, "left_semi"), f"{path}/seed-blocks")
         found = stored(self._read(first, k1, b), f"{path}/seed-hits")
-        kth = found.withColumn("place", F.row_number().over(place(F.desc("score")))).filter(F.col("place") == k)
-        limits = kth.select("qid", (F.col("score") * (1 - SLACK) - SLACK).alias("limit"))
+        # a query's strongest terms, as many as have k postings, give lower bounds of scores
+        strong = heads.groupBy("qid", "term").agg(F.max("bound").alias("bound"), F.sum("n").alias("n"))
+        before = F.coalesce(F.sum("n").over(place(F.desc("bound"), "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        lead = stored(heads.join(sent(strong.withColumn("before", before).filter(F.col("before") < k).select("qid", "term")), ["qid", "term"], "left_semi"), f"{path}/lead-blocks")
+        some = found.select("qid", "score", F.lit(0).alias("way")).unionByName(self._read(lead, k1, b).select("qid", "score", F.lit(1).alias("way")))
+        kth = some.withColumn("place", F.row_number().over(Window.partitionBy("qid", "way").orderBy(F.desc("score")))).filter(F.col("place") == k)
+        limits = stored(kth.groupBy("qid").agg((F.max("score") * (1 - SLACK) - SLACK).alias("limit")), f"{path}/limits")
 
         # the lowest bounds that stay under the limit together are put off
         rising = Window.partitionBy(*at).orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -265,7 +270,7 @@ class Index:
         whole = hopes.join(more.select("qid", "segment", "doc_id", "more"), ["qid", "segment", "doc_id"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
         hits = found.select("qid", "doc_id", "score").unionByName(whole.select("qid", "doc_id", "score")).withColumn("score", F.round("score", DIGITS)).filter("score > 0")
         hits = stored(ranked(hits, k), f"{path}/hits")
-        read = reduce(DataFrame.unionAll, [x.select("qid", "n") for x in (first, early, late)])
+        read = reduce(DataFrame.unionAll, [x.select("qid", "n") for x in (first, lead, early, late)])
         return Search(hits, summed(read, ["qid"], "n"), summed(heads, ["qid"], "n"))
 
     def _read(self, rows: DataFrame, k1: float, b: float, *carried: str) -> DataFrame:
@@ -308,7 +313,9 @@ def write_segment(docs: DataFrame, versions: Versions) -> dict[str, Any]:
     folder = versions.folder("segment")
     path = versions.full(folder)
     toks = docs.select("doc_id", tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks"))
-    n, length = stored(toks.select("doc_id", "dl"), f"{path}/documents").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    # counting is cheaper than taking the tokens out
+    lengths = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKEN)).alias("dl"))
+    n, length = stored(lengths, f"{path}/documents").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     ranges = max(1, ceil(n / RANGE))
     flat = toks.select("doc_id", "dl", range_of(ranges), F.explode("toks").alias("term")).repartition("term", "range")
     write_blocks(flat.groupBy("term", "range", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf")), path)
