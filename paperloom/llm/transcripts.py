@@ -45,6 +45,8 @@ MARKER = regex.compile(r"\s*(?:[#*\[<]{0,3})([\p{L}]{1,12})(?:[\]>*]{0,2}):\s?")
 SIZES = (5, 10, 4, 4, 2)
 STATES = 2 * len(ROLES)  # state = 2 * role + (1 on a further line)
 START = STATES
+#: What stands before the id of a conversation in its key.
+NAMED = "="
 #: What a block ends in, in training, where its last role is unknown.
 UNKNOWN = -1
 
@@ -141,7 +143,8 @@ def blocks(rows: DataFrame, extra: list[str], path: str, block_rows: int) -> Dat
     each task at most, get what the tasks before them counted.
     """
     bound_batches(rows.sparkSession)
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+    # a name that no row without conversation can have
+    conv = F.coalesce(F.concat(F.lit(NAMED), F.col("conv_id").cast("string")), F.monotonically_increasing_id().cast("string"))
     held = rows.select(conv.alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").cast("binary").alias("raw"), *extra)
     order = [F.asc("conv"), F.asc_nulls_first("turn"), F.xxhash64("raw")]
     dealt = held.repartitionByRange(*order).sortWithinPartitions(*order, "raw")
@@ -274,7 +277,7 @@ TURNS = "conv string, block long, row long, turn long, line long, role string, n
 
 
 def parse(transcripts: DataFrame, model: Model, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per recovered turn of transcripts(conv_id, turn, text): conv, turn and line where it begins, role, n_lines, text and rendered.
+    """One row per recovered turn of transcripts(conv_id, turn, text): conv (null without one), turn and line where it begins, role, n_lines, text and rendered.
 
     A turn that goes on over a block's border is put together again by the place where it begins, which is one text cell
     in the end, as a row's text is.
@@ -332,7 +335,8 @@ def parse(transcripts: DataFrame, model: Model, block_rows: int = BLOCK_ROWS) ->
     if ends is not None:
         turns = mended(stored(turns, f"{path}/turns"), block_rows)
     rendered = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.col("text"), F.lit("<|im_end|>"))
-    return turns.select("conv", "turn", "line", "role", "n_lines", "text", rendered.alias("rendered"))
+    name = F.when(F.col("conv").startswith(NAMED), F.substring(F.col("conv"), F.lit(len(NAMED) + 1), F.length("conv")))
+    return turns.select(name.alias("conv"), "turn", "line", "role", "n_lines", "text", rendered.alias("rendered"))
 
 
 def last_before(starts: DataFrame, block_rows: int) -> DataFrame:

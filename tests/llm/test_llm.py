@@ -254,6 +254,10 @@ def test_transcript_edges(spark):
     assert sum(r.text == "Hi?" for r in got) == 2 and any(r.text == "alone" for r in got) and not any(r.conv == "2" for r in got)
     assert all(r.rendered == f"<|im_start|>{r.role}\n{r.text}<|im_end|>" for r in got)
     assert transcripts.recovered_turns(spark.createDataFrame([], kind)).count() == 0
+    # a conversation's name can't be taken for a row without one
+    named = [(str(k), 0, None, f"named {k}") for k in range(4)] + [(f"row {k}", 0, None, f"row {k}") for k in range(4)] + [(None, 0, None, f"alone {k}") for k in range(4)]
+    got = transcripts.recovered_turns(spark.createDataFrame(named, "conv_id string, turn long, role string, text string").coalesce(1)).collect()
+    assert {(r.conv, r.text, r.n_lines) for r in got} == {(c, t, 1) for c, _, _, t in named}
 
 
 # ---------------------------------------------------------------- 5 MinHash
