@@ -62,7 +62,8 @@ def matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
 
 def usual(rows: DataFrame, id_: str) -> DataFrame:
     """The rows' vectors as doubles, without those that are null, empty, or hold a null or no number."""
-    known = rows.select(id_, F.col("embedding").cast("array<double>").alias("embedding")).filter(f"{id_} is not null and size(embedding) > 0")
+    known = rows.select(id_, F.col("embedding").cast("array<double>").alias("embedding")).filter("size(embedding) > 0")
+    known = known.filter("qid is not null") if id_ == "qid" else known
     return known.filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
 
 
@@ -167,12 +168,33 @@ def search(queries: DataFrame, index: Cells, k: int | None = TOP_K) -> Found:
     return Found(hits, read.join(asked.select("q", "qid"), "q").select("qid", "n"))
 
 
+@dataclass(frozen=True)
+class Tables:
+    """What compared() needs of an index."""
+
+    centres: DataFrame
+    vectors: DataFrame
+
+
+def scan(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """The same without an index: slices of queries meet all parts of the vectors of their length, by a shuffle of both. For query sets too large to be sent."""
+    path = work_dir(corpus.sparkSession, "vector-scan")
+    length = F.size("embedding").cast("long").alias("cell")
+    asked = stored(usual(queries, "qid").withColumn("q", F.monotonically_increasing_id()), f"{path}/asked")
+    rows = usual(corpus, "doc_id").select(length, "doc_id", "embedding")
+    heads = stored(rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).alias("parts")), f"{path}/lengths")
+    # a row's part goes by all of it, so that rows without id or of one id are dealt too
+    dealt = rows.join(F.broadcast(heads), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id", "embedding"), F.col("parts")))
+    near = stored(compared(asked.select("q", length), asked, Tables(heads, dealt), k), f"{path}/near")
+    return best(near, k).join(asked.select("q", "qid"), "q").select("qid", "rank", "doc_id", "distance")
+
+
 def best(near: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("q").orderBy("distance", "doc_id")
     return near.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
-def compared(ways: DataFrame, asked: DataFrame, index: Cells, k: int) -> DataFrame:
+def compared(ways: DataFrame, asked: DataFrame, index: Cells | Tables, k: int) -> DataFrame:
     """q, doc_id, distance: the k nearest vectors of each part of the cells that ways(q, cell) leads to."""
     heads = index.centres.select("cell", "parts")
     slices = ways.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(SLICE)).alias("slices"))  # a row for each cell
@@ -180,13 +202,13 @@ def compared(ways: DataFrame, asked: DataFrame, index: Cells, k: int) -> DataFra
     dealt = ways.join(F.broadcast(slices), "cell").withColumn("slice", F.pmod(F.xxhash64("q"), F.col("slices"))).join(F.broadcast(heads), "cell").withColumn("part", each("parts"))
     left = dealt.select("q", *at).join(asked.select("q", "embedding"), "q")
     right = index.vectors.join(F.broadcast(slices), "cell").withColumn("slice", each("slices")).select(*at, "doc_id", "embedding")
-    kind = index.vectors.schema["doc_id"].dataType.simpleString()
+    kind = right.schema["doc_id"].dataType.simpleString()
 
     def near(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         n, m = queries.num_rows, vectors.num_rows
         if not n or not m:
             return pa.table({"q": pa.array([], pa.int64()), "doc_id": vectors["doc_id"].slice(0, 0), "distance": pa.array([], pa.float64())})
-        vectors = vectors.sort_by("doc_id")
+        vectors = vectors.take(pc.sort_indices(vectors["doc_id"], null_placement="at_start"))
         x, y = matrix(queries["embedding"].combine_chunks(), n), matrix(vectors["embedding"].combine_chunks(), m)
         size, out_q, out_v, out_d = (y * y).sum(1), [], [], []
         for row, q in zip(x, queries["q"].to_pylist(), strict=True):

@@ -12,42 +12,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from paperloom.operators import cells
+
 DIGITS = 9
 #: Distances that a task holds at a time, 32 MB.
 CELLS = 4_000_000
 #: What a top_k of 0 or None means.
 TOP_K = 10
-#: Query vectors that go to all tasks at a time; 64 values make it about 5 MB.
+#: Query vectors that may be sent to all tasks; 64 values make it about 5 MB.
 BLOCK = 4096
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int | None = TOP_K) -> DataFrame:
     """qid, rank, doc_id, distance of the k nearest of corpus(doc_id, embedding) for each of queries(qid, embedding).
 
-    A stated set of queries meets all rows, in blocks of BLOCK queries. In a task an Arrow batch of vectors meets
-    the block in one matrix product; what that leaves within its error of the k best is measured exactly, and a
-    task sends k rows a query. Vectors that are null or of another length than the queries' are left out. A k of 0
-    or None is the default.
+    A stated query set meets all rows. Up to BLOCK queries are sent to all tasks, where an Arrow batch of vectors meets them
+    in one matrix product; what that leaves within its error of the k best is measured exactly, and a
+    task sends k rows a query. Beyond that slices of queries and parts of vectors are shuffled to each other (``cells.scan``). Vectors that are null
+    or of another length than the queries' are left out. A k of 0 or None is the default.
     """
     k = k or TOP_K
     spark = corpus.sparkSession
     known = queries.filter("qid is not null and embedding is not null").select("qid", F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks = max(1, -(-known.count() // BLOCK))
+    asked = known.limit(BLOCK + 1).collect()
+    if len(asked) > BLOCK or len({len(r["embedding"]) for r in asked}) > 1:
+        return cells.scan(queries, corpus, k)
     kinds = queries.select("qid").schema[0].dataType, corpus.select("doc_id").schema[0].dataType
     schema = T.StructType([T.StructField("qid", kinds[0]), T.StructField("doc_id", kinds[1]), T.StructField("distance", T.DoubleType())])
-    rows = corpus.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    out = None
-    for i in range(blocks):
-        part = known.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else known
-        asked = part.collect()  # BLOCK rows on average
-        if asked:
-            shared = spark.sparkContext.broadcast(([r["qid"] for r in asked], np.array([r["embedding"] for r in asked], float)))
-            near = rows.mapInArrow(nearest(shared, k, to_arrow_schema(schema)), schema)
-        else:
-            near = spark.createDataFrame([], schema)
-        out = near if out is None else out.unionByName(near)
+    if not asked:
+        near = spark.createDataFrame([], schema)
+    else:
+        rows = corpus.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        shared = spark.sparkContext.broadcast(([r["qid"] for r in asked], np.array([r["embedding"] for r in asked], float)))
+        near = rows.mapInArrow(nearest(shared, k, to_arrow_schema(schema)), schema)
     order = Window.partitionBy("qid").orderBy("distance", "doc_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "distance")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", "distance")
 
 
 def nearest(shared, k: int, kinds: pa.Schema):
