@@ -6,16 +6,13 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from paperloom.workspace import stored, work_dir
+from paperloom.workspace import BATCH_ROWS, bound_batches, stored, work_dir
 
-__all__ = ["any_names", "bound_batches", "decoded", "map_batches", "map_rows", "place_of", "quoted", "stored", "text_bytes", "unused", "words_of", "work_dir"]
-
-#: Rows in an Arrow batch. Texts may be very long, so batches stay small: at 100 KB a text, about 25 MB.
-BATCH_ROWS = 256
+__all__ = ["BATCH_ROWS", "any_names", "bound_batches", "decoded", "map_batches", "map_rows", "place_of", "quoted", "stored", "text_bytes", "unused", "words_of", "work_dir"]
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -53,13 +50,6 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a Python worker's memory doesn't grow with text length."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
     """mapInArrow for columns of any names: they are numbered for it (c0, c1, ...), in and out, and named by schema after it."""
     bound_batches(df.sparkSession)

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators.answers import best_choice
+from paperloom.workspace import bound_batches
+
+#: Characters of texts that a tokenizer takes at a time, as its encodings are a hundred times as large as the ids; a longer text goes alone.
+CALL_CHARS = 250_000
 
 
 def batched(load: Callable[[], Callable[[pd.Series], pd.Series]], kind: str):
@@ -105,13 +110,32 @@ def chat_text(messages: Column, add_generation: bool = False) -> Column:
     return F.concat(whole, F.lit("<|im_start|>assistant\n")) if add_generation else whole
 
 
+def in_calls(model: Callable[[pd.Series], pd.Series]) -> Callable[[pd.Series], pd.Series]:
+    """The model, asked for CALL_CHARS characters at a time."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        sizes = [len(x) if isinstance(x, str) else 0 for x in texts]
+        out, at = [], 0
+        while at < len(texts):
+            end, total = at + 1, sizes[at]
+            while end < len(texts) and total + sizes[end] <= CALL_CHARS:
+                total += sizes[end]
+                end += 1
+            out.append(pd.Series([np.asarray(x, np.int64) if x is not None else None for x in model(texts.iloc[at:end].reset_index(drop=True))], dtype=object))
+            at = end
+        return pd.concat(out, ignore_index=True) if out else pd.Series([], dtype=object)
+
+    return run
+
+
 def tokenized(rows: DataFrame, load: Callable[[], Callable[[pd.Series], pd.Series]], max_length: int, truncation: bool = True, messages: str = "messages", template: Callable[[Column], Column] = chat_text) -> DataFrame:
     """id, answer, input_ids and attention_mask of rows(id, answer, messages).
 
     load() gives a tokenizer, a function from texts to lists of ids. With truncation the first max_length ids stay;
-    without it, longer rows go.
+    without it, longer rows go. Texts go to the tokenizer in small batches and calls, whatever their number.
     """
-    ids = rows.select("id", "answer", batched(load, "array<long>")(template(F.col(messages))).alias("input_ids"))
+    bound_batches(rows.sparkSession)
+    ids = rows.select("id", "answer", batched(lambda: in_calls(load()), "array<long>")(template(F.col(messages))).alias("input_ids"))
     return within_tokens(ids, "input_ids", max_length, before_truncation=not truncation).withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
 
 

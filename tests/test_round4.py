@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import bm25
+from paperloom.operators import bm25, context, labeling, models, retrieval
 
 
 def corpus(spark, n=600, words=300, seed=5):
@@ -78,3 +79,43 @@ def test_scores_are_summed_in_steps(monkeypatch):
         monkeypatch.setattr(bm25, "STEP", step)
         got = {(r["qid"], r["doc_id"]): r["score"] for r in bm25.scores_of(pa.Table.from_pylist(blocks), 1.5, 0.75, 12.0, None).to_pylist()}
         assert got == pytest.approx(want)
+
+
+def test_a_tokenizer_gets_few_texts_at_a_time(spark):
+    """A call has CALL_CHARS characters at most, or one text."""
+    asked = []
+
+    def model(texts: pd.Series) -> pd.Series:
+        asked.append([len(x) for x in texts])
+        return texts.map(lambda x: [len(x)] * 3)
+
+    texts = pd.Series(["a" * n for n in [1000] * 700 + [models.CALL_CHARS + 1, 5, 7]])
+    got = models.in_calls(model)(texts)
+    assert [list(x) for x in got] == [[len(x)] * 3 for x in texts]
+    assert len(asked) == 5 and all(sum(x) <= models.CALL_CHARS or len(x) == 1 for x in asked)
+    assert len(models.in_calls(model)(pd.Series([], dtype=object))) == 0
+    rows = spark.range(2000).select("id", F.lit(0).alias("answer"), F.array(F.struct(F.lit("user").alias("role"), F.lit("x").alias("content"))).alias("messages"))
+
+    def count_batches():
+        return lambda texts: pd.Series([[len(texts)]] * len(texts))
+
+    most = models.tokenized(rows, count_batches, 10).agg(F.max(F.col("input_ids")[0])).first()[0]
+    assert most <= 256
+
+
+def test_hits_go_to_bodies(spark):
+    """Bodies are not shuffled for a few hits, however large their table seems."""
+    corpus = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("t").alias("title"), F.col("id").cast("string").alias("body"))
+    hits = spark.range(40).select((F.col("id") % 10).alias("qid"), (F.floor(F.col("id") / 10) + 1).cast("long").alias("rank"), (F.col("id") * 7).alias("doc_id"), (50.0 - F.col("id")).alias("score"))
+    answers = spark.range(10).select(F.col("id").alias("qid"), (F.col("id") * 7).cast("string").alias("answer_text"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        for out, n in ((context.assembled(hits, corpus), 10), (retrieval.results(hits, corpus), 40)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and out.count() == n
+        out = labeling.auto_label(hits, answers, corpus)
+        assert "BroadcastHashJoin [doc_id" in out._jdf.queryExecution().executedPlan().toString() and out.count() == 10
+    finally:
+        spark.conf.set(key, before)
