@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.fixed import CONTEXT_PREFACE, NO_TITLE
 from paperloom.functions.text import stripped
+from paperloom.operators.bm25 import sent
+from paperloom.workspace import stored, work_dir
 
 #: Separators. The preface says three for any number of documents.
 SEPARATOR, MARK = "\n\n---\n\n", "\n\n[CONTEXT]\n"
@@ -17,8 +19,9 @@ def query_text(paragraph: Column, question: Column) -> Column:
 
 
 def assembled(hits: DataFrame, corpus: DataFrame, preface: str = CONTEXT_PREFACE) -> DataFrame:
-    """qid and documents: the hits' texts in order of rank, numbered. hits(qid, rank, doc_id) are top-k lists, corpus(doc_id, title, body)."""
-    rows = hits.join(corpus, "doc_id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "body"))).alias("x"))
+    """qid and documents: the hits' texts in order of rank, numbered. hits(qid, rank, doc_id) are top-k lists, which go to the bodies; corpus(doc_id, title, body)."""
+    hits = stored(hits.select("qid", "rank", "doc_id"), work_dir(hits.sparkSession, "context-hits"))
+    rows = corpus.join(sent(hits), "doc_id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "body"))).alias("x"))
     parts = F.transform("x", lambda e, i: F.concat(F.lit("#### "), (i + 1).cast("string"), F.lit(". "), F.coalesce(e["title"], F.lit(NO_TITLE)), F.lit("\n"), F.coalesce(e["body"], F.lit(""))))
     return rows.select("qid", F.concat(F.lit(preface), F.array_join(parts, SEPARATOR)).alias("documents"))
 

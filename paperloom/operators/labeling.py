@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.prompts import chooser_prompt
 from paperloom.functions.text import choice_at, normalized
+from paperloom.operators.bm25 import sent
 from paperloom.operators.models import chosen_documents
+from paperloom.workspace import stored, work_dir
 
 RATIO = 1.5
 #: Characters of a candidate that a chooser sees.
@@ -43,9 +45,11 @@ def labels_with_fallback(hits: DataFrame, answers: DataFrame, corpus: DataFrame,
     choose turns prompts into its answers, JSON lists of ids, and sees uncertain queries only. At most limit ids stay;
     an empty or unreadable answer is 'uncertain' and has none. Candidates are rank, id, title and the first characters of the body.
     """
-    sure = auto_label(hits, answers, corpus, threshold)
+    path = work_dir(hits.sparkSession, "labels")
+    hits = stored(hits, f"{path}/hits")
+    sure = stored(auto_label(hits, answers, corpus, threshold), f"{path}/sure")
     left = queries.select("qid", "text").join(sure.filter("method = 'auto_ratio'").select("qid"), "qid", "left_anti")
-    shown = hits.filter(F.col("rank") <= candidates).join(left.select("qid"), "qid").join(corpus, "doc_id")
+    shown = corpus.join(sent(hits.filter(F.col("rank") <= candidates).join(left.select("qid"), "qid")), "doc_id")
     line = F.struct("rank", F.col("doc_id").cast("string").alias("doc_id"), "title", F.substring("body", 1, SNIPPET).alias("snippet"))
     listed = shown.groupBy("qid").agg(F.array_sort(F.collect_list(line)).alias("shown"))  # a few a query
     asked = left.join(listed, "qid").withColumn("prompt", chooser_prompt(F.col("text"), F.col("shown"), limit))
@@ -60,8 +64,9 @@ def labels_with_fallback(hits: DataFrame, answers: DataFrame, corpus: DataFrame,
 def auto_label(hits: DataFrame, answers: DataFrame, corpus: DataFrame, threshold: float = RATIO) -> DataFrame:
     """qid, gold_doc_id, method: the best hit where it is confident and holds the answer, else 'uncertain'.
 
-    hits(qid, rank, doc_id, score), answers(qid, answer_text), corpus(doc_id, title, body).
+    hits(qid, rank, doc_id, score), answers(qid, answer_text), corpus(doc_id, title, body). The hits go to the bodies, not these to them.
     """
-    best = hits.filter("rank = 1").select("qid", "doc_id").join(corpus, "doc_id").join(answers, "qid").join(ratios(hits), "qid")
+    hits = stored(hits, work_dir(hits.sparkSession, "labeled-hits"))
+    best = corpus.join(sent(hits.filter("rank = 1").select("qid", "doc_id")), "doc_id").join(answers, "qid").join(ratios(hits), "qid")
     sure = confident(F.col("top1"), F.col("top2"), threshold) & holds_answer(F.col("answer_text"), F.col("title"), F.col("body"))
     return best.select("qid", F.when(sure, F.col("doc_id")).alias("gold_doc_id"), F.when(sure, "auto_ratio").otherwise("uncertain").alias("method"))

@@ -26,11 +26,12 @@ UNAVAILABLE = (ConnectionError, TimeoutError, ImportError, FileNotFoundError, Pe
 def results(hits: DataFrame, corpus: DataFrame, score: str = "score") -> DataFrame:
     """hits(qid, rank, doc_id, score) with title, metadata and content of corpus(doc_id, title, body, ...); metadata holds the corpus's further columns.
 
-    Hits are top-k lists, so only their documents' bodies travel.
+    Hits are top-k lists, and go to the bodies.
     """
+    hits = stored(hits, work_dir(hits.sparkSession, "results-hits"))
     more = [c for c in corpus.columns if c not in ("doc_id", "title", "body", "text")]
     side = corpus.select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.struct("doc_id", "title", *more).alias("metadata"), F.col("body").alias("content"))
-    return hits.join(side, "doc_id").select("qid", "rank", "doc_id", "title", F.col(score).alias("score"), "metadata", "content")
+    return side.join(bm25.sent(hits), "doc_id").select("qid", "rank", "doc_id", "title", F.col(score).alias("score"), "metadata", "content")
 
 
 class Retriever(ABC):
