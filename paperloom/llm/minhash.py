@@ -7,12 +7,12 @@
    that meets the most others over all its buckets: for copies of one text that is the text or what is
    nearest to it, so nearly all links are found with as many pairs as members. Linked nodes become
    components. Of buckets that then still hold several components, small ones (up to SMALL_BUCKET members) have
-   all pairs between components looked at, each in the first band that it shares. The nodes of larger ones are banded anew by
+   all pairs between components looked at, each in the first band that it shares. In larger ones, where many texts just below the similarity
+   meet, two nodes are compared only if they share one of their rarest shingles, at places that leave room for the similarity (see
+   ``prefix_pairs``). Pages of one template with a few words of their own have none in common, and make no pair. The pairs of a shingle are counted
+   first: where they are many for each node, more than far bands in all, these nodes are banded anew instead, by
    FAR_BANDS bands of FAR_ROWS further minima, in which texts meet that are much alike only: pairs of similarity a third, as of forms
-   with the same questions and other answers, share none with a probability of 0.9997. Buckets of these bands are looked at in the same way; in those
-   that are still large, where many texts just below the similarity meet, two nodes are compared only if they share one of their rarest
-   shingles, at places that leave room for the similarity (see ``prefix_pairs``). Pages of one template with a few words of their own
-   have none in common, and make no pair.
+   with the same questions and other answers, share none with a probability of 0.9997. Buckets of these bands are looked at in the same two ways.
 4. A pair is compared by size, then by the similarity that the signatures' equal bits give, corrected for
    chance collisions, and at last by the full sets: 100 * intersection >= percent * union.
 
@@ -42,7 +42,7 @@ from paperloom.llm.common import any_names, bound_batches, map_batches, quoted,
 from paperloom.llm.components import LOCAL_LINKS, components
 
 ROWS, BANDS = 5, 36
-#: Bands for crowded buckets, of minima of their own.
+#: Bands for nodes whose rarest shingles are common, of minima of their own.
 FAR_ROWS, FAR_BANDS = 12, 200
 #: Minima in the signature, of which the first ROWS * BANDS make the bands, and bits kept of each.
 HASHES, BITS = 360, 4
@@ -53,6 +53,8 @@ ESTIMATE = 0.7
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Buckets of so many members have all pairs between components looked at, 8 a member at most; larger ones are split.
 SMALL_BUCKET = 16
+#: Pairs for each member that a shingle may always make.
+CHEAP_PAIRS = 8
 #: Rows of ids and hashes that may be sent to all tasks, 50 MB at most; they are counted first.
 BROADCAST_ROWS = 500_000
 #: Parts that a large component is dealt in.
@@ -249,7 +251,38 @@ def between_components(docs: DataFrame, members: DataFrame, labels: DataFrame, n
 
 
 def crowd_pairs(sets: DataFrame, percent: int, path: str) -> DataFrame:
-    """Pairs (a, b) of sets(node, label, n, shingles, far), a stored table, that differ in label, share a far band and may reach the similarity."""
+    """Pairs (a, b) of sets(node, label, n, shingles), a stored table, that differ in label and may reach the similarity; those of crowded shingles, if they also share a far band.
+
+    The pairs of each shingle are counted first. Those that make more than CHEAP_PAIRS for each member are crowded; where they make more pairs in all than
+    the far bands of their nodes make rows, these nodes are banded, so the work is of the order of the postings and nodes, not of the pairs.
+    """
+    x, y = prefix_postings(sets, percent, path)
+    count = lambda rows, name: rows.groupBy(*PLACE).agg(F.count("*").alias(name))
+    made = count(x, "of_x").join(count(y, "of_y"), PLACE).withColumn("pairs", F.col("of_x") * F.col("of_y"))
+    dear = stored(made.filter(F.col("pairs") > CHEAP_PAIRS * (F.col("of_x") + F.col("of_y"))), f"{path}/dear")
+    total = dear.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    if total:
+        nodes = stored(x.select(*PLACE, F.col("node_x").alias("node")).union(y.select(*PLACE, "node_y")).join(dear, PLACE, "left_semi").select("node").distinct(), f"{path}/dear-nodes")
+        if total > FAR_BANDS * nodes.count():
+            far = far_pairs(far_bands(sets.join(nodes, "node")), percent, path)
+            return stored(met(x.join(dear, PLACE, "left_anti"), y, percent).union(far).distinct(), f"{path}/far-pairs")
+    return stored(met(x, y, percent), f"{path}/far-pairs")
+
+
+def far_bands(sets: DataFrame) -> DataFrame:
+    """sets(node, label, n, shingles) with far, the keys of the far bands."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = [np.array(x, np.int64).view(np.uint64) for x in batch.column(3).to_pylist()]
+        far = bands_of(minima(lists, FAR_ROWS * FAR_BANDS, 20240608), FAR_BANDS, FAR_ROWS) if lists else []
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(far), pa.list_(pa.int64()))], names=["node", "label", "n", "shingles", "far"])
+
+    return map_batches(sets.select("node", "label", "n", "shingles"), run, "node long, label long, n long, shingles array<long>, far array<long>")
+
+
+def far_pairs(sets: DataFrame, percent: int, path: str) -> DataFrame:
+    """Pairs (a, b) of sets(node, label, n, shingles, far) that differ in label, share a far band and may reach the similarity."""
+    sets = stored(sets, f"{path}/far-bands")
     flat = sets.select(F.explode("far").alias("bucket"), "node", "label")
     sizes = flat.groupBy("bucket").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket", "c")
     held = stored(flat.join(sizes, "bucket"), f"{path}/far-members")
@@ -259,26 +292,34 @@ def crowd_pairs(sets: DataFrame, percent: int, path: str) -> DataFrame:
     many = stored(held.filter(F.col("c") > SMALL_BUCKET).select("node").distinct(), f"{path}/far-crowd")
     if many.limit(1).count():
         close = stored(sets.drop("far").join(many, "node"), f"{path}/far-sets")
-        pairs = pairs.union(prefix_pairs(close, percent, path)).distinct()
-    return stored(pairs, f"{path}/far-pairs")
+        pairs = pairs.union(prefix_pairs(close, percent, f"{path}/far-prefixes"))
+    return pairs
 
 
 def shingles_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int, path: str) -> DataFrame:
-    """node, label, n, shingles (hashes) and far (keys of the far bands) of the nodes in wanted(node, label)."""
+    """node, label, n and shingles (hashes) of the nodes in wanted(node, label)."""
     texts = node_texts(docs, nodes, wanted.select("node"), shingle, f"{path}/crowd-texts")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x, shingle) for x in batch.column(1).to_pylist()]
-        far = bands_of(minima(sets, FAR_ROWS * FAR_BANDS, 20240608), FAR_BANDS, FAR_ROWS)
-        lists = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(list(far), pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), *lists], names=["node", "n", "shingles", "far"])
+        lists = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), lists], names=["node", "n", "shingles"])
 
-    found = map_batches(texts, run, "node long, n long, shingles array<long>, far array<long>")
+    found = map_batches(texts, run, "node long, n long, shingles array<long>")
     return stored(found.join(wanted, "node"), f"{path}/crowd-shingles")
 
 
+#: What the postings of prefixes are joined by.
+PLACE = ["s", "size", "side"]
+
+
 def prefix_pairs(sets: DataFrame, percent: int, path: str) -> DataFrame:
-    """Pairs (a, b) of sets(node, label, n, shingles), a stored table, that differ in label and may reach the similarity.
+    """Pairs (a, b) of sets(node, label, n, shingles), a stored table, that differ in label and may reach the similarity."""
+    return stored(met(*prefix_postings(sets, percent, path), percent), f"{path}/prefix-pairs")
+
+
+def prefix_postings(sets: DataFrame, percent: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """What looks (s, size, side, node_x, ...) and what is looked up (s, size, side, node_y, ...), two stored tables.
 
     Shingles are ordered: first those of one label only, then the rarest. Two sets that have overlap o in
     common have the first common shingle at places i and j with n - i >= o on both sides, and o is at least
@@ -295,8 +336,8 @@ def prefix_pairs(sets: DataFrame, percent: int, path: str) -> DataFrame:
     reach = F.greatest(F.lit(0), F.col("n") - F.ceil(p * F.col("n") / 100) + 1 - F.col("alone")).cast("int")
     posted = places.select("node", "label", "n", "alone", F.posexplode(F.slice("held", 1, reach)).alias("k", "x")).select("node", "label", "n", F.col("x.s").alias("s"), (F.col("alone") + F.col("k")).alias("at"))
     posted = stored(posted, f"{path}/posted")
-    met = posted.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("s")
-    posted = posted.join(met, "s")
+    several = posted.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("s")
+    posted = posted.join(several, "s")
 
     size_class = lambda n: F.floor(F.log(n.cast("double")) * SIZE_CLASSES).cast("int")
     least = F.ceil(p * F.col("n") / 100)
@@ -310,10 +351,16 @@ def prefix_pairs(sets: DataFrame, percent: int, path: str) -> DataFrame:
     sought = sought.join(crowds, ["s", "size"]).withColumn("side", F.explode(F.when(F.col("label") == F.col("most"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     x = sought.select("s", "size", "side", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "at")])
     y = kept.select("s", "size", "side", *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "n", "at")])
+    return stored(x, f"{path}/sought"), stored(y, f"{path}/kept")
+
+
+def met(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of prefix_postings that leave room for the similarity."""
+    p, q = percent, 100 + percent
     smaller = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("node_y") < F.col("node_x")))
     enough = q * F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= p * (F.col("n_x") + F.col("n_y"))
-    pairs = x.join(y, ["s", "size", "side"]).filter((F.col("label_x") != F.col("label_y")) & smaller & enough)
-    return stored(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), f"{path}/prefix-pairs")
+    pairs = x.join(y, PLACE).filter((F.col("label_x") != F.col("label_y")) & smaller & enough)
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, shingle: int, percent: int, local_links: int = LOCAL_LINKS) -> DataFrame:
